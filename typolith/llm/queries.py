@@ -5,22 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import secrets
 from .line_rules import clean_lines
+from .mixing import mix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document, so that the sources meet their targets."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first quality rules over every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return clean_lines(docs, with_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs)
+    base = F.filter("found", lambda x: x["rank"] < 3)
+
+    def n(rank: int):
+        return F.size(F.filter("found", lambda x: x["rank"] == rank)).cast("long")
+
+    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_line_rules,)}
+    return {f.__name__: f for f in (op2_entropy_mix, op6_line_rules, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
