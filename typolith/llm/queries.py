@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets
+from . import html_mincut, secrets, zip_warc
 from .line_rules import clean_lines
 from .mixing import mix
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_mincut.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document, so that the sources meet their targets."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -28,6 +33,12 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(docs, with_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars")
 
 
+def op7_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of a package, read back."""
+    back = zip_warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), with_payload=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,8 +52,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_entropy_mix, op6_line_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_html_mincut, op2_entropy_mix, op6_line_rules, op7_zip_warc, op10_secret_scan)}
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS hex FROM p),
+b AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS best,
+      array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INT), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS payload_digest
+      FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> best THEN best END AS refers_to
+FROM b"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_zip_warc": OP7_SQL}
