@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import html_mincut, secrets, zip_warc
 from .line_rules import clean_lines
 from .mixing import mix
+from .ngram_join import jaccard_classes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,11 @@ def op7_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents, and their links."""
+    return jaccard_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,7 +58,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_mincut, op2_entropy_mix, op6_line_rules, op7_zip_warc, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_html_mincut, op2_entropy_mix, op6_line_rules, op7_zip_warc, op8_ngram_join, op10_secret_scan)}
 
 
 OP7_SQL = """
@@ -68,5 +74,29 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM b"""
 
 
+# Links between different gram sets, by a join on grams; classes by the transitive closure.
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN []
+    WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) END AS grams
+  FROM w),
+c AS (SELECT grams, min(doc_id) AS rep, count(*) AS copies, len(grams) AS n FROM s WHERE len(grams) > 0 GROUP BY grams),
+g AS (SELECT rep, n, copies, unnest(grams) AS gram FROM c),
+p AS (
+  SELECT a.rep AS a, b.rep AS b, any_value(b.copies) AS copies
+  FROM g a JOIN g b ON a.gram = b.gram AND a.rep <> b.rep AND a.n >= 0.8 * b.n - 1e-9 AND b.n >= 0.8 * a.n - 1e-9
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) * 1.8 >= 0.8 * (a.n + b.n) - 1e-9),
+r(a, b) AS (SELECT rep, rep FROM c UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+k AS (SELECT a AS rep, min(b) AS class_id FROM r GROUP BY a),
+l AS (SELECT a AS rep, count(*) AS n_text_links, sum(copies) AS n_docs FROM p GROUP BY a)
+SELECT s.doc_id, coalesce(k.class_id, s.doc_id) AS class_id,
+  CAST(coalesce(c.copies - 1, 0) + coalesce(l.n_docs, 0) AS BIGINT) AS n_links,
+  coalesce(l.n_text_links, 0) AS n_text_links, coalesce(c.copies, 1) AS n_copies
+FROM s LEFT JOIN c ON c.grams = s.grams LEFT JOIN k ON k.rep = c.rep LEFT JOIN l ON l.rep = c.rep"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_zip_warc": OP7_SQL}
+    return {"op7_zip_warc": OP7_SQL, "op8_ngram_join": OP8_SQL}
