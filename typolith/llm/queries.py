@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_mincut, secrets, zip_warc
+from . import decontam, html_mincut, secrets, zip_warc
 from .line_rules import clean_lines
 from .mixing import mix
 from .ngram_join import jaccard_classes
@@ -28,6 +28,13 @@ def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.matches(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "first_word", "n_words")
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first quality rules over every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,7 +65,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_mincut, op2_entropy_mix, op6_line_rules, op7_zip_warc, op8_ngram_join, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_html_mincut, op2_entropy_mix, op5_decontaminate, op6_line_rules, op7_zip_warc, op8_ngram_join, op10_secret_scan)}
 
 
 OP7_SQL = """
