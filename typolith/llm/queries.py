@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_mincut, secrets, zip_warc
+from . import brown_lm, decontam, html_mincut, secrets, zip_warc
 from .line_rules import clean_lines
 from .mixing import mix
 from .ngram_join import jaccard_classes
@@ -52,6 +52,14 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, scored by the class model and by the smoothed unigrams of the training documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = brown_lm.fit(docs.where(brown_lm.training("doc_id")))
+    out = brown_lm.score(docs, model, counts)
+    return out.select("doc_id", (~brown_lm.training("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,7 +73,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_mincut, op2_entropy_mix, op5_decontaminate, op6_line_rules, op7_zip_warc, op8_ngram_join, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_html_mincut, op2_entropy_mix, op5_decontaminate, op6_line_rules, op7_zip_warc, op8_ngram_join, op9_brown_lm, op10_secret_scan)}
 
 
 OP7_SQL = """
