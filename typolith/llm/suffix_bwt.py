@@ -11,12 +11,12 @@ the texts.  Texts are UTF-8; matches never cross texts.
    Of a content that occurs twice every window is a repeat.
 3. Transforms.  Different contents with a common anchor meet in a task.  They are dealt
    to shards; a shard's suffixes are sorted and its transform holds, for each suffix, the
-   symbol before it.  Symbols are blocks of ``length / 8`` bytes, so eight of them are a
+   symbol before it.  Symbols are blocks of ``length / 4`` bytes, so four of them are a
    window.  The transforms are merged by refining the interleave of the shards: a pass
    reads every shard's transform in the present order and deals its symbols to their
    buckets, which orders all suffixes by one symbol more; no suffix is sorted anew.  The
    pass in which two neighbours part is their common prefix; what has not parted after
-   eight passes shares ``length`` bytes and is a repeated interval.
+   four passes shares ``length`` bytes and is a repeated interval.
 4. Spans go back to the runs with that content, and from runs to their texts.
 
 An anchor with very many contents is split before: windows go to pieces of 16 by their
@@ -40,9 +40,9 @@ from .bytescan import Chunk, mix
 from .rowmap import emit_text
 from .shared import cut
 
-LENGTH, DEPTH = 400, 8
+LENGTH, DEPTH = 400, 4
 #: Bytes that a task merges at once, bytes of a shard, contents beyond which an anchor is split, windows of a piece.
-MERGE_BYTES, SHARD_BYTES, MANY, PIECE = 4 << 20, 1 << 20, 2000, 16
+MERGE_BYTES, SHARD_BYTES, MANY, PIECE = 4 << 20, 1 << 18, 2000, 16
 
 
 # -- anchors ---------------------------------------------------------------
@@ -117,26 +117,30 @@ class Shard:
         rank = codes.astype(np.int64)
         # ends differ, by string and place, so that the order is total
         ends = np.flatnonzero(~self.whole)
-        rank = np.where(self.whole, rank + len(ends), 0)
+        rank += len(ends)
         rank[ends] = np.arange(len(ends))
-        step = b
+        step = self.b
+        to = np.arange(n)
+        left = self.base[1:][self.string] - to  # nodes from each one to its string's last
         while True:
             ahead = np.zeros(n, np.int64)
-            to = np.arange(n) + step
-            inside = (to < n) & (self.string[np.minimum(to, n - 1)] == self.string)
-            ahead[inside] = rank[to[inside]] + 1
+            inside = np.flatnonzero(left > step)
+            ahead[inside] = rank[inside + step] + 1
             key = rank * (int(rank.max()) + 2) + ahead
-            self.order = np.argsort(key, kind="stable")
-            new = np.zeros(n, np.int64)
+            self.order = np.argsort(key)
             s = key[self.order]
-            new[self.order[1:]] = np.cumsum(s[1:] != s[:-1])
-            if new[self.order[-1]] == n - 1 or step > int(self.at.max(initial=0)):
+            rank[self.order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
+            if rank[self.order[-1]] == n - 1:
                 break
-            rank, step = new, step * 2
-        before = self.order - b
-        has = self.at[self.order] >= b
+            step *= 2
         # the transform: the symbol before each suffix, -1 at a string's first block
+        before = self.order - self.b
+        has = self.at[self.order] >= self.b
         self.bwt = np.where(has, codes[np.where(has, before, 0)], -1)
+        # where the transform's symbols go when they are dealt to their buckets in order
+        keep = np.flatnonzero(has)
+        self.dealt = keep[np.argsort(self.bwt[keep], kind="stable")]
+        self.ends = len(ends)
 
 
 def repeated(strings: list[bytes], length: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
@@ -150,43 +154,44 @@ def repeated(strings: list[bytes], length: int, shard_bytes: int = SHARD_BYTES)
         if size >= shard_bytes or k == len(strings) - 1:
             shards.append(Shard(part, b))
             part, size = [], 0
-    symbols = np.unique(np.concatenate([s.symbol[s.whole] for s in shards]))
+    symbols = np.concatenate([s.symbol[s.whole] for s in shards])
+    codes = np.unique(symbols, return_inverse=True)[1] + 1
+    at = 0
     for s in shards:
-        codes = np.zeros(len(s.symbol), np.int64)
-        codes[s.whole] = np.searchsorted(symbols, s.symbol[s.whole]) + 1
-        s.sort(codes)
-
-    count = [len(s.bwt) for s in shards]
-    z = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint16), count)
-    block = np.zeros(len(z), np.int64)
-    ends = [int((~s.whole).sum()) for s in shards]
-    lead = np.repeat(np.arange(len(shards), dtype=z.dtype), ends)
+        n = int(s.whole.sum())
+        own = np.zeros(len(s.whole), np.int64)
+        own[s.whole] = codes[at : at + n]
+        at += n
+        s.sort(own)
+
+    # the interleave, as the place of each shard's r-th suffix among all; every shard in turn at first
+    count = np.array([len(s.bwt) for s in shards])
+    base = np.concatenate([[0], np.cumsum(count)])
+    total = int(base[-1])
+    place = np.arange(total)
+    block = np.zeros(total, np.int64)
+    source = np.concatenate([s.dealt + base[k] for k, s in enumerate(shards)])
+    symbol = np.concatenate([s.bwt[s.dealt] for s in shards])
+    target = np.concatenate([np.arange(s.ends, len(s.bwt)) + base[k] for k, s in enumerate(shards)])
+    lead = np.concatenate([np.arange(s.ends) + base[k] for k, s in enumerate(shards)])
     for _ in range(DEPTH):
-        seq = np.empty(len(z), np.int64)
-        for k, s in enumerate(shards):
-            seq[z == k] = s.bwt
-        has = np.flatnonzero(seq >= 0)
-        order = has[np.argsort(seq[has], kind="stable")]
-        sym, old = seq[order], block[order]
-        z = np.concatenate([lead, z[order]])
+        # each shard's part of a bucket is in order already: the stable sort merges runs
+        order = np.argsort(symbol * total + place[source], kind="stable")
+        sym, old = symbol[order], block[source[order]]
         # ends come first and are one block; a new block begins where symbol or old block change
-        part = np.ones(len(order), bool)
-        part[1:] = (sym[1:] != sym[:-1]) | (old[1:] != old[:-1])
-        block = np.concatenate([np.zeros(len(lead), np.int64), np.cumsum(part)])
-
-    node = np.empty(len(z), np.int64)
-    window = np.empty(len(z), bool)
-    for k, s in enumerate(shards):
-        mine = z == k
-        node[mine] = s.order
-        size = np.diff(s.base) - 1
-        window[mine] = s.at[s.order] + length <= size[s.string[s.order]]
-    times = np.bincount(block, window)
-    hit = window & (times[block] > 1)
+        new = np.ones(len(order), bool)
+        new[1:] = (sym[1:] != sym[:-1]) | (old[1:] != old[:-1])
+        place[lead] = np.arange(len(lead))
+        place[target[order]] = np.arange(len(lead), total)
+        block[lead] = 0
+        block[target[order]] = np.cumsum(new)
+
+    window = np.concatenate([(s.base[1:][s.string] - 1 - np.arange(len(s.at)) >= length)[s.order] for s in shards])
+    hit = window & (np.bincount(block, window) > 1)[block]
     flags = []
     for k, s in enumerate(shards):
         f = np.zeros(len(s.whole), bool)
-        f[node[hit & (z == k)]] = True
+        f[s.order[hit[base[k] : base[k + 1]]]] = True
         flags.append(f)
     return [flags[k][shards[k].base[j] : shards[k].base[j + 1]] for k, j in where]
 
