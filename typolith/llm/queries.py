@@ -12,6 +12,7 @@ from .line_rules import clean_lines
 from .mixing import mix
 from .ngram_join import jaccard_classes
 from .suffix_bwt import remove_repeats
+from .weak_labels import classify
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,12 @@ def op3_suffix_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs).select("doc_id", F.round("posterior", 6).alias("posterior"), F.round("score", 6).alias("score"), "keep")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents hold."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,7 +87,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_mincut, op2_entropy_mix, op3_suffix_bwt, op5_decontaminate, op6_line_rules, op7_zip_warc, op8_ngram_join, op9_brown_lm, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_html_mincut, op2_entropy_mix, op3_suffix_bwt, op4_weak_labels, op5_decontaminate, op6_line_rules, op7_zip_warc, op8_ngram_join, op9_brown_lm, op10_secret_scan)}
 
 
 OP7_SQL = """
