@@ -1 +1 @@
-"""PySpark-native panel analytics."""
+"""Column-level building blocks: ranks, standardising, modes, geometry, tail probabilities."""

@@ -1 +1 @@
-"""PySpark-native panel analytics."""
+"""Queries over the test tables: each binds operators to tables, beside the same in SQL."""

@@ -1 +1 @@
-"""PySpark-native panel analytics."""
+"""Readers and writers."""

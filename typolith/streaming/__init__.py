@@ -1 +1 @@
-"""PySpark-native panel analytics."""
+"""A panel kept up to date from a stream of events."""
