@@ -41,8 +41,10 @@ from .rowmap import emit_text
 from .shared import cut
 
 LENGTH, DEPTH = 400, 4
+#: Bytes of text whose grams are hashed at once.
+CHUNK = 1 << 20
 #: Bytes that a task merges at once, bytes of a shard, contents beyond which an anchor is split, windows of a piece.
-MERGE_BYTES, SHARD_BYTES, MANY, PIECE = 4 << 20, 1 << 18, 2000, 16
+MERGE_BYTES, SHARD_BYTES, MANY, PIECE = 1 << 20, 1 << 17, 2000, 16
 
 
 # -- anchors ---------------------------------------------------------------
@@ -248,7 +250,7 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, t, spans): the parts of each text that repeat, from rows (id, text); t is a hash of the text."""
     id_type = dict(rows.dtypes)["id"]
-    found = emit_text(rows, "text", f"f long, content long, id {id_type}, t long, start long, n int, a int", _emit_runs(length))
+    found = emit_text(rows, "text", f"f long, content long, id {id_type}, t long, start long, n int, a int", _emit_runs(length), CHUNK)
     twice = found.groupBy("f").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("f")
     shared = cut(found.join(twice, "f", "left_semi"), "bwt-runs")
     # a content stands for all its runs; one of them says where to find its bytes
