@@ -34,7 +34,7 @@ def gmm_diagonal(df: DataFrame, k: int, rounds: int = 30, seed: int = 42, floor:
     """(id, label, p) of a mixture with diagonal covariances; each round is one aggregate over rows and components."""
     d = len(df.select("vec").first()["vec"])
     start = kmeans(df, k, [seed])
-    rows = df.join(start, "id").select("id", "vec", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (j == F.col("label")).cast("double")).alias("r"))
+    rows = df.select("id", "vec").join(start, "id").select("id", "vec", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (j == F.col("label")).cast("double")).alias("r"))
 
     def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         one = rows.select("vec", F.posexplode("r").alias("j", "w")).where("w > 1e-12")

@@ -52,7 +52,7 @@ def runs(spark, sf):
     return dynamics.runs(labels_quarterly(spark, sf))
 
 
-@query(with_(PQ, LQ, _RUNS, _episodes(2), _episodes(3)) + "SELECT 2 AS h, entity, CAST(episode AS BIGINT) AS episode, label, start, CAST(length AS BIGINT) AS length FROM ep2 UNION ALL SELECT 3, entity, episode, label, start, length FROM ep3")
+@query(with_(PQ, LQ, _RUNS, _episodes(2), _episodes(3)) + "SELECT 2 AS h, entity, CAST(episode AS BIGINT) AS episode, label, start, CAST(length AS BIGINT) AS length FROM ep2 UNION ALL SELECT 3, entity, CAST(episode AS BIGINT), label, start, CAST(length AS BIGINT) FROM ep3")
 def episodes_h2_h3(spark, sf):
     labels = labels_quarterly(spark, sf)
     return dynamics.episodes(labels, 2).withColumn("h", F.lit(2)).unionByName(dynamics.episodes(labels, 3).withColumn("h", F.lit(3)))
