@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import mode_largest, mode_smallest
 
-BY = Window.partitionBy("entity").orderBy("period")
+def _by() -> WindowSpec:
+    return Window.partitionBy("entity").orderBy("period")
 
 
 def dominant_label(long: DataFrame, categories: Sequence[str]) -> DataFrame:
@@ -37,8 +38,8 @@ def by_size(labels: DataFrame) -> DataFrame:
 
 def runs(labels: DataFrame) -> DataFrame:
     """(entity, run, label, start, length): maximal stretches of one label."""
-    change = F.coalesce((F.col("label") != F.lag("label").over(BY)).cast("int"), F.lit(0))
-    numbered = labels.withColumn("_c", change).withColumn("run", F.sum("_c").over(BY))
+    change = F.coalesce((F.col("label") != F.lag("label").over(_by())).cast("int"), F.lit(0))
+    numbered = labels.withColumn("_c", change).withColumn("run", F.sum("_c").over(_by()))
     return numbered.groupBy("entity", "run").agg(F.min("label").alias("label"), F.min("period").alias("start"), F.count(F.lit(1)).alias("length"))
 
 
@@ -53,7 +54,7 @@ def episodes(labels: DataFrame, h: int) -> DataFrame:
 
 def switches(labels: DataFrame, holds: Sequence[int] = (2, 3)) -> DataFrame:
     """Raw label changes of each entity, and those between episodes for each h."""
-    raw = labels.withColumn("_c", (F.col("label") != F.lag("label").over(BY)).cast("int")).groupBy("entity").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("raw"))
+    raw = labels.withColumn("_c", (F.col("label") != F.lag("label").over(_by())).cast("int")).groupBy("entity").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("raw"))
     for h in holds:
         n = episodes(labels, h).groupBy("entity").agg((F.count(F.lit(1)) - 1).alias(f"h{h}"))
         raw = raw.join(n, "entity", "left").withColumn(f"h{h}", F.coalesce(f"h{h}", F.lit(0)))
@@ -69,7 +70,7 @@ def trajectories(labels: DataFrame) -> DataFrame:
 
 def transitions(labels: DataFrame) -> DataFrame:
     """(from_period, to_period, from_type, to_type, n) of successive periods, with the share of from_type."""
-    step = labels.select("entity", F.col("period").alias("from_period"), F.lead("period").over(BY).alias("to_period"), F.col("label").alias("from_type"), F.lead("label").over(BY).alias("to_type")).where("to_period is not null")
+    step = labels.select("entity", F.col("period").alias("from_period"), F.lead("period").over(_by()).alias("to_period"), F.col("label").alias("from_type"), F.lead("label").over(_by()).alias("to_type")).where("to_period is not null")
     n = step.groupBy("from_period", "to_period", "from_type", "to_type").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("from_period", "to_period", "from_type")
     return n.withColumn("share_of_from", F.col("n") / F.sum("n").over(w))
@@ -152,7 +153,7 @@ def adjusted_rand(cross: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def stability(labels: DataFrame) -> DataFrame:
     """One row: share of steps without change, median switches, mean modal share, mean ARI of neighbours, fewest labels."""
-    step = labels.withColumn("_c", (F.col("label") != F.lag("label").over(BY)).cast("int"))
+    step = labels.withColumn("_c", (F.col("label") != F.lag("label").over(_by())).cast("int"))
     each = step.groupBy("entity").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("changes"), F.count("_c").alias("steps"), F.count(F.lit(1)).alias("n"), mode_smallest(F.col("label")).alias("modal"))
     share = labels.join(each.select("entity", "modal"), "entity").groupBy("entity").agg((F.sum((F.col("label") == F.col("modal")).cast("int")) / F.count(F.lit(1))).alias("modal_share"))
     base = each.agg((1 - F.sum("changes") / F.sum("steps")).alias("stay_share"), F.median("changes").alias("median_switches"))
@@ -163,7 +164,7 @@ def stability(labels: DataFrame) -> DataFrame:
 
 def pattern_stability(labels: DataFrame) -> DataFrame:
     """(entity, changes, distinct, modal, modal_share); the smallest mode of equals."""
-    step = labels.withColumn("_c", (F.col("label") != F.lag("label").over(BY)).cast("int"))
+    step = labels.withColumn("_c", (F.col("label") != F.lag("label").over(_by())).cast("int"))
     each = step.groupBy("entity").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("changes"), F.countDistinct("label").alias("distinct"), mode_smallest(F.col("label")).alias("modal"))
     share = labels.join(each.select("entity", "modal"), "entity").groupBy("entity").agg((F.sum((F.col("label") == F.col("modal")).cast("int")) / F.count(F.lit(1))).alias("modal_share"))
     return each.join(share, "entity")
