@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, decontam, html_mincut, secrets, zip_warc
+from . import brown_lm, decontam, html_mincut, line_rules, secrets, zip_warc
 from .line_rules import clean_lines
 from .mixing import mix
 from .ngram_join import jaccard_classes
@@ -127,5 +127,56 @@ SELECT s.doc_id, coalesce(k.class_id, s.doc_id) AS class_id,
 FROM s LEFT JOIN c ON c.grams = s.grams LEFT JOIN k ON k.rep = c.rep LEFT JOIN l ON l.rep = c.rep"""
 
 
+_LIST = "['" + "', '".join(line_rules.SEPARATORS) + "']"
+_MENU = "['" + "', '".join(line_rules.MENU_WORDS) + "']"
+_STOCK = "|".join(line_rules.PHRASES)
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+b AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols FROM w),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS k FROM g) WHERE k > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+f AS (SELECT doc_id, line, list_sum(list_transform(ws, lambda x: length(x))) AS chars,
+    len(regexp_extract_all(line, '[#*$%&|<>]')) >= greatest(2, 0.2 * len(ws))
+    OR (len(ws) >= 3 AND len(regexp_extract_all(line, '!')) >= 0.5 * len(ws))
+    OR (NOT regexp_matches(ws[-1], '([.!?]["'')\]}*_]{0,2}|[…。！？”’›])$') AND len(regexp_extract_all(line, '[.,;:!?]')) * 8 < len(ws))
+    OR len(list_filter(ws, lambda x: list_contains(SEPS, x))) >= greatest(2, 0.2 * len(ws))
+    OR (len(ws) <= 4 AND len(list_filter(ws, lambda x: list_contains(MENU, lower(x)))) = len(ws))
+    OR (len(ws) >= 5 AND len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1])) >= 0.4 * len(ws))
+    OR regexp_matches(lower(line), 'STOCK') AS failed
+  FROM l WHERE len(ws) > 0),
+s AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (failed) AS n_failed_lines, coalesce(sum(chars) FILTER (failed), 0)::BIGINT AS lost_chars FROM f GROUP BY doc_id),
+a AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed,
+    coalesce(n_failed_lines, 0) AS n_failed_lines, coalesce(lost_chars, 0) AS lost_chars FROM b LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id))
+SELECT *, NOT base_failed AND lost_chars <= 0.5 * word_chars AS kept FROM a""".replace("SEPS", _LIST).replace("MENU", _MENU).replace("STOCK", _STOCK)
+
+
+def _spans_sql(name: str, pattern: str, rank: int, keep: str = "true") -> str:
+    p = pattern.replace("'", "''")
+    return f"""{name} AS (SELECT doc_id, s, {rank} AS rank, s + length(hit) AS e, hit FROM (
+  SELECT doc_id, hits[i] AS hit, vals[i] AS val, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM (
+    SELECT doc_id, parts, hits, vals, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, '{p}') AS parts, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {2 if keep != "true" else 0}) AS vals FROM d))) WHERE {keep})"""
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{_spans_sql("ka", secrets.ASSIGN, 0, "length(val) >= 6")},
+{_spans_sql("kc", secrets.ACCESS, 1)},
+{_spans_sql("kh", secrets.HEX, 2)},
+{_spans_sql("kr", secrets.CANDIDATE, 3)},
+base AS (SELECT * FROM ka UNION ALL SELECT * FROM kc UNION ALL SELECT * FROM kh),
+win AS (SELECT doc_id, s, e, substr(hit, CAST(k AS INT), {secrets.WINDOW}) AS w FROM (SELECT *, unnest(range(1, length(hit) - {secrets.WINDOW - 2})) AS k FROM kr
+  WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT regexp_matches(hit, '{secrets.ALLOWED}')
+  AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = kr.doc_id AND base.s < kr.e AND kr.s < base.e))),
+ent AS (SELECT DISTINCT doc_id, s, 3 AS rank, e FROM win WHERE regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]')
+  AND list_aggregate(string_split(w, ''), 'entropy') >= CASE WHEN regexp_full_match(w, '[0-9a-fA-F]+') THEN {secrets.HEX_BITS} ELSE {secrets.ANY_BITS} END - 1e-12),
+al AS (SELECT doc_id, s, rank, e FROM base UNION ALL SELECT * FROM ent),
+tx AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][rank + 1] || ':' || s || ':' || e AS x FROM al)
+SELECT d.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  sha256(coalesce(string_agg(x, ',' ORDER BY s, rank) FILTER (rank < 3), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY s, rank), '') AS spans
+FROM d LEFT JOIN tx USING (doc_id) GROUP BY d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_zip_warc": OP7_SQL, "op8_ngram_join": OP8_SQL}
+    return {"op6_line_rules": OP6_SQL, "op7_zip_warc": OP7_SQL, "op8_ngram_join": OP8_SQL, "op10_secret_scan": OP10_SQL}
