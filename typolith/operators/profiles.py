@@ -100,3 +100,17 @@ def relative_to_median(df: DataFrame, value: str, region: str) -> DataFrame:
     """The value over its region's median."""
     middle = df.groupBy(F.col(region).alias("_g")).agg(F.median(value).alias("_m"))
     return df.join(F.broadcast(middle), F.col(region) == F.col("_g"), "left").withColumn("relative", F.try_divide(value, "_m")).drop("_g", "_m")
+
+
+def place(df: DataFrame, lat: str, lon: str, other_lat: str, other_lon: str) -> DataFrame:
+    """Coordinates, from a second pair where the first lacks one."""
+    whole = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    return df.withColumns({"lat": F.when(whole, F.col(lat)).otherwise(F.col(other_lat)), "lon": F.when(whole, F.col(lon)).otherwise(F.col(other_lon))})
+
+
+def describe(found: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """(type, text): each profile in words, by its most and least typical part."""
+    ratios = F.array_sort(F.array(*[F.struct(F.round(f"ratio_{p}", 9).alias("r"), F.lit(p).alias("p")) for p in parts]))
+    low, high = F.get(ratios, F.lit(0)), F.element_at(ratios, -1)
+    words = F.format_string("%d entities; most typical %s (%.2f of the mean), least %s (%.2f)", F.col("n"), high["p"], high["r"], low["p"], low["r"])
+    return found.select("type", words.alias("text"))

@@ -67,3 +67,15 @@ def index_summary(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """For each method the 'all' row beside the median of the others."""
     whole = F.col("period") == "all"
     return table.groupBy("method").agg(*[x for c in columns for x in (F.max(F.when(whole, F.col(c))).alias(f"{c}_all"), F.median(F.when(~whole, F.col(c))).alias(f"{c}_median"))])
+
+
+def select_k(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(method, k_all, k_median): best k of each method on the 'all' rows, and on medians over the other periods."""
+    whole = borda_best(table.where("period = 'all'"), ["method"], "k", columns).select("method", F.col("k").alias("k_all"))
+    middle = table.where("period <> 'all'").groupBy("method", "k").agg(*[F.median(c).alias(c) for c in columns])
+    return whole.join(borda_best(middle, ["method"], "k", columns).select("method", F.col("k").alias("k_median")), "method")
+
+
+def final_labels(labels: DataFrame, method: str, k: int) -> DataFrame:
+    """(entity, period, label) of one method and number of clusters."""
+    return labels.where((F.col("method") == method) & (F.col("k") == k)).select("entity", "period", "label")

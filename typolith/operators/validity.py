@@ -129,3 +129,29 @@ def permutation_z(edges: DataFrame, perms: DataFrame) -> DataFrame:
     rest = F.when(F.col("perm") > 0, F.col("q"))
     out = q.agg(seen.alias("observed"), F.avg(rest).alias("mean"), F.stddev_pop(rest).alias("sd"))
     return out.withColumn("z", F.when(F.col("sd") > 0, (F.col("observed") - F.col("mean")) / F.col("sd")))
+
+
+def evaluate(df: DataFrame, edges: DataFrame | None, method: str, period: str, k_target: int) -> DataFrame:
+    """One row: clusters wanted and found, the smallest one's size, and the indices of the spaces there are.
+
+    df has (id, vec, label), or (id, label) without features; edges may be missing.
+    """
+    sizes = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    row = sizes.agg(F.count(F.lit(1)).alias("K"), F.min("n").alias("min_size"))
+    row = row.select(F.lit(method).alias("method"), F.lit(period).alias("period"), F.lit(k_target).alias("K_target"), "K", "min_size")
+    if "vec" in df.columns:
+        row = row.crossJoin(silhouette(df)).crossJoin(calinski_harabasz(df)).crossJoin(s_dbw(df))
+    if edges is not None:
+        row = row.crossJoin(graph_indices(edges, df.select("id", "label")))
+    return row
+
+
+def gradient_norms(df: DataFrame) -> DataFrame:
+    """(id, label, g): the norm of the gradient, by the own centre, of each row's cosine distance to it."""
+    long = long_vectors(df)
+    centre = long.groupBy("label", "f").agg(F.avg("x").alias("c"))
+    met = long.join(F.broadcast(centre), ["label", "f"])
+    row = met.groupBy("id", "label").agg(F.sum(F.col("x") * F.col("c")).alias("d"), F.sum(F.col("x") * F.col("x")).alias("v"), F.sum(F.col("c") * F.col("c")).alias("w"))
+    cos = F.col("d") / F.sqrt(F.col("v") * F.col("w"))
+    # |u - cos * w| of unit vectors is sqrt(1 - cos^2)
+    return row.select("id", "label", (F.sqrt(F.greatest(F.lit(0.0), 1 - cos * cos)) / F.sqrt("w")).alias("g"))

@@ -236,3 +236,15 @@ def network_ablation(spark, sf):
         row = graph.statistics(nodes, g).crossJoin(graph.edge_jaccard(base, g).select("jaccard")).crossJoin(validity.graph_indices(g, labels).select("MQ")).select(F.lit(name).alias("graph"), "*")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query(with_(EM, _LONG, "c AS (SELECT label, f, avg(x) AS c FROM lv GROUP BY label, f)", "r AS (SELECT id, label, sum(x * c) AS d, sum(x * x) AS v, sum(c * c) AS w FROM lv JOIN c USING (label, f) GROUP BY id, label)") + "SELECT id, label, round(sqrt(greatest(0, 1 - pow(d / sqrt(v * w), 2))) / sqrt(w), 5) AS g FROM r")
+def gradient_norm(spark, sf):
+    return validity.gradient_norms(vectors(spark, sf)).select("id", "label", r6("g", 5).alias("g"))
+
+
+@query()
+def evaluation_row(spark, sf):
+    """All indices of the given labels, in features and on the nearest-neighbour graph."""
+    row = validity.evaluate(vectors(spark, sf), _knn(spark, sf), "given", "all", 10)
+    return row.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in row.dtypes])

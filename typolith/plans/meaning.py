@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fca, features, methods, panel, patterns, profiles, serving
+from ..sources import tables
 from .base import EM, LQ, LY, PARTS, PY, PQ, WY, labels_quarterly, labels_yearly, query, r6, table, vectors, wide_yearly, with_, yearly
 
 _PAIRS = [(a, b) for i, a in enumerate(PARTS) for b in PARTS[i + 1 :]]
@@ -165,6 +166,22 @@ def aligned_profile(spark, sf):
     return met.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(100 * F.avg("share_PROMO"), 5).alias("pct"), r6(F.exp(F.avg(F.log("spend"))), 2).alias("spend_geo"))
 
 
+@query(with_(PY, WY, LY, _ET, _MODAL, _TB, f"pr AS (SELECT CAST(label AS VARCHAR) AS type, {_STATS} FROM tb GROUP BY label UNION ALL SELECT 'all', {_STATS} FROM tb)",
+             "ra AS (" + " UNION ALL ".join(f"SELECT type, n, '{p}' AS p, round(pct_{p} / (SELECT pct_{p} FROM pr WHERE type = 'all'), 9) AS r FROM pr" for p in PARTS) + ")")
+       + "SELECT type, printf('%d entities; most typical %s (%.2f of the mean), least %s (%.2f)', any_value(n), first(p ORDER BY r DESC, p DESC), max(r), first(p ORDER BY r, p), min(r)) AS text FROM ra GROUP BY type")
+def type_descriptions(spark, sf):
+    return profiles.describe(profiles.profiles(_entities(spark, sf), PARTS), PARTS)
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_acctbal < 0 THEN CAST(n_nationkey AS DOUBLE) ELSE s_acctbal / 1000 END AS lat, CASE WHEN s_acctbal < 0 THEN CAST(n_regionkey AS DOUBLE) ELSE 10.0 END AS lon FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def coordinates_fallback(spark, sf):
+    """Coordinates of the entity, else of its region."""
+    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    own = F.col("s_acctbal") >= 0
+    s = s.select(F.col("s_suppkey").alias("id"), F.when(own, F.col("s_acctbal") / 1000).alias("a"), F.when(own, F.lit(10.0)).alias("b"), F.col("n_nationkey").cast("double").alias("c"), F.col("n_regionkey").cast("double").alias("d"))
+    return profiles.place(s, "a", "b", "c", "d").select("id", "lat", "lon")
+
+
 # -- concepts --------------------------------------------------------------
 
 _FCA = [f"share_{p}" for p in PARTS]
@@ -266,6 +283,18 @@ def modal_label(spark, sf):
     return serving.modal_label(labels_yearly(spark, sf))
 
 
+@query(with_(PY, LY) + "SELECT entity, '[' || string_agg('{\"period\":' || period || ',\"label\":' || label || '}', ',' ORDER BY period) || ']' AS json FROM ly GROUP BY entity")
+def nested_json(spark, sf):
+    """Each entity's labels as a JSON array."""
+    return tables.nested(labels_yearly(spark, sf), "entity", ["period", "label"], "period")
+
+
+@query("SELECT '| ' || n_name || ' | ' || CASE WHEN n_regionkey = 0 THEN '—' ELSE printf('%.1f', CAST(n_regionkey AS DOUBLE)) END || ' |' AS line FROM nation")
+def markdown_rows(spark, sf):
+    n = table(spark, sf, "nation").select("n_name", F.when(F.col("n_regionkey") != 0, F.col("n_regionkey").cast("double")).alias("r"))
+    return tables.markdown(n, {"r": "%.1f"})
+
+
 # -- methods ---------------------------------------------------------------
 
 

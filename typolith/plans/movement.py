@@ -314,3 +314,29 @@ def top_flows(spark, sf):
 @query(with_(PQ, LQ, _trans("lq")) + "SELECT 'node' AS kind, period AS a_period, label AS a, NULL::INT AS b_period, NULL::INT AS b, count(*) AS n FROM lq GROUP BY period, label UNION ALL SELECT 'link', from_period, from_type, to_period, to_type, n FROM tr")
 def quarter_nodes_links(spark, sf):
     return serving.nodes_and_links(labels_quarterly(spark, sf))
+
+
+_KT = """kt AS (SELECT CAST(l_returnflag AS VARCHAR) AS method, CAST(l_linenumber AS BIGINT) AS k, CAST(year(l_shipdate) AS VARCHAR) AS period, round(avg(l_discount), 9) AS SW, round(avg(l_quantity), 9) AS CH, round(avg(l_tax), 9) AS S_Dbw FROM lineitem GROUP BY ALL
+  UNION ALL SELECT l_returnflag, l_linenumber, 'all', round(avg(l_discount), 9), round(avg(l_quantity), 9), round(avg(l_tax), 9) FROM lineitem GROUP BY ALL)"""
+
+
+def _best(source: str, out: str) -> str:
+    rank = lambda c: f"(rank() OVER (PARTITION BY method ORDER BY {_SIGN[c]}{c}) + (count(*) OVER (PARTITION BY method, {c}) - 1) / 2.0)"
+    return f"(SELECT method, k AS {out} FROM (SELECT method, k, {' + '.join(map(rank, _COLS[:3]))} AS p FROM {source}) QUALIFY row_number() OVER (PARTITION BY method ORDER BY p DESC, k) = 1)"
+
+
+@query(with_(_KT, "ka AS (SELECT * FROM kt WHERE period = 'all')", "km AS (SELECT method, k, median(SW) AS SW, median(CH) AS CH, median(S_Dbw) AS S_Dbw FROM kt WHERE period <> 'all' GROUP BY method, k)") + f"SELECT method, k_all, k_median FROM {_best('ka', 'k_all')} JOIN {_best('km', 'k_median')} USING (method)")
+def select_k(spark, sf):
+    """Best number for each method; line numbers stand for numbers of clusters."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("method"), F.col("l_linenumber").cast("long").alias("k"), F.year("l_shipdate").cast("string").alias("period"), "l_discount", "l_quantity", "l_tax")
+    stats = [F.round(F.avg(c), 9).alias(n) for c, n in (("l_discount", "SW"), ("l_quantity", "CH"), ("l_tax", "S_Dbw"))]
+    both = rows.groupBy("method", "k", "period").agg(*stats).unionByName(rows.groupBy("method", "k").agg(*stats).withColumn("period", F.lit("all")))
+    return ranking.select_k(both, _COLS[:3])
+
+
+@query(with_(PY, LY, _LEVEL) + "SELECT entity, period, label FROM lv")
+def final_labels(spark, sf):
+    """One method's labels out of several."""
+    a = labels_yearly(spark, sf).select(F.lit("greatest").alias("method"), F.lit(6).alias("k"), "entity", "period", "label")
+    b = _level_labels(spark, sf).select(F.lit("level").alias("method"), F.lit(4).alias("k"), "entity", "period", "label")
+    return ranking.final_labels(a.unionByName(b), "level", 4)

@@ -228,3 +228,22 @@ SELECT period, round(corr(rx, ry), 6) AS rho, count(*) AS n FROM r WHERE period
 def growth_autocorrelation(spark, sf):
     f = features.raw(wide_yearly(spark, sf), PARTS).select("entity", "period", "growth")
     return features.growth_autocorrelation(f).where("period > 1995").select("period", r6("rho").alias("rho"), "n")
+
+
+@query(with_(PY) + "SELECT entity, round(avg(pct), 9) AS pct FROM (SELECT entity, (rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0) / count(*) OVER () AS pct FROM py) GROUP BY entity")
+def mean_percentile(spark, sf):
+    """Mean of an entity's percentiles over the whole panel."""
+    p = features.rank_percentile(yearly(spark, sf), "value", "pct")
+    return p.groupBy("entity").agg(r6(F.avg("pct"), 9).alias("pct"))
+
+
+@query(with_(PY) + "SELECT entity, period, category, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) AS z FROM py WINDOW w AS (PARTITION BY period, category)")
+def zscore_unclipped(spark, sf):
+    z = features.standardise(yearly(spark, sf), ["value"], ["period", "category"], clip=None)
+    return z.select("entity", "period", "category", r6("value").alias("z"))
+
+
+@query(with_(PQ) + "SELECT entity, period, category, value FROM pq WHERE entity IN (SELECT entity FROM pq GROUP BY entity HAVING count(DISTINCT period) = (SELECT count(DISTINCT period) AS n FROM pq GROUP BY entity ORDER BY n DESC LIMIT 1))")
+def balanced_panel(spark, sf):
+    """Rows of the entities with every period."""
+    return panel.balanced(quarterly(spark, sf))
