@@ -188,7 +188,7 @@ def log_odds(found: list[Block], elements: list[_Element]) -> list[float]:
         score += bad + good
         score += min(1.5, 0.4 * log1p(n)) - 0.8
         score += 0.4 if text[-1] in ".!?…。»”\"" else 0.0
-        score -= 4.0 * link if link > 0.3 else 0.0
+        score -= (4.0 if good < 2.5 else 1.5) * link if link > 0.3 else 0.0
         score += 0.6 if own in HEADINGS else -0.3 if own in ("li", "td", "th") else 0.0
         score -= 3.0 if n < 40 and STOCK.search(text) else 0.0
         odds.append(score)
