@@ -119,7 +119,7 @@ def proximity_kernel(spark, sf):
     return similarity.proximity(_distances(spark, sf), 5).select("i", "j", r6("p").alias("p"))
 
 
-_NATION = """nv AS (SELECT s_nationkey AS id, p_type AS category, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS x FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+_NATION = """nv AS (SELECT CAST(s_nationkey AS BIGINT) AS id, p_type AS category, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS x FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
 nc AS (SELECT id, sqrt(sum(x * x)) AS n FROM nv GROUP BY id),
 ns AS (SELECT a.id AS i, b.id AS j, sum(a.x * b.x) / any_value(p.n * q.n) AS w FROM nv a JOIN nv b ON a.category = b.category AND a.id < b.id JOIN nc p ON p.id = a.id JOIN nc q ON q.id = b.id GROUP BY a.id, b.id)"""
 

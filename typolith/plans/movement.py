@@ -242,7 +242,7 @@ _GRADES = "gr AS (SELECT *, " + ", ".join(map(_grade, _COLS)) + " FROM ix)"
 _ARANK = lambda c: f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (PARTITION BY period ORDER BY {_SIGN[c]}{c} NULLS LAST) + (count({c}) OVER (PARTITION BY period, {c}) - 1) / 2.0 END"
 
 
-@query(with_(_IX, _GRADES) + f"SELECT method, period, {', '.join(f'grade_{c}' for c in _COLS)}, {_count(1, _COLS)} AS n_grade1, {_count(2, _COLS)} AS n_grade2, {_count(3, _COLS)} AS n_grade3, rank() OVER (PARTITION BY period ORDER BY {_count(3, _COLS)}, {_count(2, _COLS)}) AS threshold_place FROM gr")
+@query(with_(_IX, _GRADES) + f"SELECT method, period, {', '.join(f'grade_{c}' for c in _COLS)}, {_count(1, _COLS)} AS n_grade1, {_count(2, _COLS)} AS n_grade2, {_count(3, _COLS)} AS n_grade3, CAST(rank() OVER (PARTITION BY period ORDER BY {_count(3, _COLS)}, {_count(2, _COLS)}) AS INT) AS threshold_place FROM gr")
 def grades_threshold(spark, sf):
     g = ranking.threshold_places(ranking.grades(_indices(spark, sf), ["period"], _COLS), ["period"], _COLS)
     return g.select("method", "period", *[f"grade_{c}" for c in _COLS], "n_grade1", "n_grade2", "n_grade3", "threshold_place")
@@ -251,7 +251,7 @@ def grades_threshold(spark, sf):
 _BORDA = "bo AS (SELECT *, " + " + ".join(f"({_ARANK(c)}) - 1" for c in _COLS) + " AS points FROM ix WHERE period <> '1999')"
 
 
-@query(with_(_IX, _BORDA) + "SELECT method, period, CAST(points AS DOUBLE) AS borda_points, rank() OVER (PARTITION BY period ORDER BY points DESC) AS borda_place FROM bo")
+@query(with_(_IX, _BORDA) + "SELECT method, period, CAST(points AS DOUBLE) AS borda_points, CAST(rank() OVER (PARTITION BY period ORDER BY points DESC) AS INT) AS borda_place FROM bo")
 def borda_places(spark, sf):
     return ranking.borda(_indices(spark, sf).where("period <> '1999'"), ["period"], _COLS).select("method", "period", F.col("borda_points").cast("double").alias("borda_points"), "borda_place")
 
@@ -263,7 +263,7 @@ _FEW = _COLS[:-1]
              "b AS (SELECT method, period, " + " + ".join(f"({_ARANK(c)})" for c in _COLS) + " AS s1, " + " + ".join(f"({_ARANK(c)})" for c in _FEW) + " AS s2 FROM ix WHERE period <> '1999')",
              "m AS (SELECT t.method, t.period, p1, p2, rank() OVER (PARTITION BY t.period ORDER BY s1 DESC) AS b1, rank() OVER (PARTITION BY t.period ORDER BY s2 DESC) AS b2 FROM t JOIN b USING (method, period))",
              "l AS (SELECT period, list(method ORDER BY method) FILTER (p1 = 1) = list(method ORDER BY method) FILTER (p2 = 1) AS same_threshold_leader, list(method ORDER BY method) FILTER (p1 = 1) = list(method ORDER BY method) FILTER (b1 = 1) AS same_leader FROM m GROUP BY period)")
-       + "SELECT method, period, p1 AS threshold_place, p2 AS threshold_place_without, b1 AS borda_place, b2 AS borda_without_place, same_threshold_leader, same_leader FROM m JOIN l USING (period)")
+       + "SELECT method, period, CAST(p1 AS INT) AS threshold_place, CAST(p2 AS INT) AS threshold_place_without, CAST(b1 AS INT) AS borda_place, CAST(b2 AS INT) AS borda_without_place, same_threshold_leader, same_leader FROM m JOIN l USING (period)")
 def method_ranking(spark, sf):
     """Places with and without one index, and whether leaders agree."""
     r = ranking.ranking(_indices(spark, sf).where("period <> '1999'"), ["period"], _COLS, "z_AVU")
@@ -290,7 +290,7 @@ def best_by_index(spark, sf):
     return serving.best_by_index(_indices(spark, sf), _COLS, ["period"])
 
 
-@query(with_(_IX, _GRADES, f"t AS (SELECT method, period, rank() OVER (PARTITION BY period ORDER BY {_count(3, _COLS)}, {_count(2, _COLS)}) AS threshold_place FROM gr)") + "SELECT method, period, " + ", ".join(f"round({c}, 4) AS {c}" for c in _COLS) + ", threshold_place FROM ix JOIN t USING (method, period)")
+@query(with_(_IX, _GRADES, f"t AS (SELECT method, period, CAST(rank() OVER (PARTITION BY period ORDER BY {_count(3, _COLS)}, {_count(2, _COLS)}) AS INT) AS threshold_place FROM gr)") + "SELECT method, period, " + ", ".join(f"round({c}, 4) AS {c}" for c in _COLS) + ", threshold_place FROM ix JOIN t USING (method, period)")
 def method_table(spark, sf):
     """Indices beside places, one row for each method and period."""
     ix = _indices(spark, sf)
