@@ -124,7 +124,7 @@ nc AS (SELECT id, sqrt(sum(x * x)) AS n FROM nv GROUP BY id),
 ns AS (SELECT a.id AS i, b.id AS j, sum(a.x * b.x) / any_value(p.n * q.n) AS w FROM nv a JOIN nv b ON a.category = b.category AND a.id < b.id JOIN nc p ON p.id = a.id JOIN nc q ON q.id = b.id GROUP BY a.id, b.id)"""
 
 
-@query(with_(_PLACES, _DIST, _PROX, _NATION) + "SELECT px.i, px.j, round(greatest(w, 0) * p, 6) AS w FROM px JOIN ns ON ns.i = px.i AND ns.j = px.j")
+@query(with_(_PLACES, _DIST, _PROX, _NATION) + "SELECT CAST(px.i AS BIGINT) AS i, CAST(px.j AS BIGINT) AS j, round(greatest(w, 0) * p, 6) AS w FROM px JOIN ns ON ns.i = px.i AND ns.j = px.j")
 def combined_similarity(spark, sf):
     """Cosine of the nations' sales by type times their proximity."""
     home = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
