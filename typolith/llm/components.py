@@ -18,7 +18,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not large:
         both = both.where("b < a")
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    # written, so that the join that follows can split the neighbours of one node
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "cc-least")
     if large:
         both = both.where("b > a")
     met = both.join(least, "a")

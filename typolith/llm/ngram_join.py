@@ -228,7 +228,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = components(entries.join(buckets, "band").select(F.col("key").alias("a"), F.col("low").alias("b")))
     near = cut(near.withColumnsRenamed({"node": "key", "root": "comp"}), "join-comps")
 
-    sizes = near.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
+    # written, so that the join that follows can split a large component
+    sizes = cut(near.groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "join-sizes")
     active = near.join(sizes, "comp").join(classes.drop("bands"), "key")
     blocks = F.ceil(F.col("m") / block).cast("int")
     active = active.select("key", "rep", "copies", "comp", blocks.alias("nb"), F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"))
