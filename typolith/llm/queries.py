@@ -90,6 +90,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_html_mincut, op2_entropy_mix, op3_suffix_bwt, op4_weak_labels, op5_decontaminate, op6_line_rules, op7_zip_warc, op8_ngram_join, op9_brown_lm, op10_secret_scan)}
 
 
+OP3_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT *, octet_length(b) AS n, hex(b) AS h FROM d),
+w AS (SELECT doc_id, i, md5(b[i + 1:i + 400]) AS k FROM (SELECT doc_id, b, unnest(range(0, n - 399)) AS i FROM n WHERE n >= 400)),
+r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+g AS (SELECT doc_id, i, sum(c) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS c FROM r)),
+s AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS a, lo AS z FROM s UNION ALL SELECT doc_id, max(hi), NULL FROM s GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(z, n) - a)), '' ORDER BY a) AS h FROM k JOIN n USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(n.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, n.h))) AS kept_sha256
+FROM n LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+#: All windows of every text that shares a shingle with an item.
+OP5_SQL = r"""
+WITH a AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+g AS (SELECT doc_id, p - 1 AS p, array_to_string(ws[p:p + 4], ' ') AS gram, len(ws) - 4 AS size FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS p FROM a WHERE len(ws) >= 5)),
+m AS (SELECT item_id, gram, count(*) AS k, any_value(size) AS size FROM (SELECT item_id, len(ws) - 4 AS size, array_to_string(ws[p:p + 4], ' ') AS gram FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS p FROM i WHERE len(ws) >= 5)) GROUP BY item_id, gram),
+c AS (SELECT DISTINCT doc_id, item_id, g.size AS n, m.size AS z FROM g JOIN m USING (gram)),
+s AS (SELECT *, unnest(range(0, greatest(1, n - z + 1))) AS s FROM c),
+h AS (SELECT s.doc_id, s.item_id, s.s, any_value(z) AS z, any_value(n) AS n, g.gram, least(count(*), any_value(m.k)) AS common FROM s JOIN g ON g.doc_id = s.doc_id AND g.p >= s.s AND g.p < s.s + s.z JOIN m ON m.item_id = s.item_id AND m.gram = g.gram GROUP BY s.doc_id, s.item_id, s.s, g.gram),
+f AS (SELECT doc_id, item_id, s, any_value(z) AS z, sum(common) / (any_value(z) + least(any_value(z), any_value(n)) - sum(common)) AS sim FROM h GROUP BY doc_id, item_id, s)
+SELECT doc_id, item_id, round(sim, 6) AS similarity, s AS first_word, CAST(z + 4 AS BIGINT) AS n_words FROM f WHERE sim >= 0.8 - 1e-12 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, s) = 1"""
+
 OP7_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS hex FROM p),
@@ -179,4 +204,4 @@ FROM d LEFT JOIN tx USING (doc_id) GROUP BY d.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_rules": OP6_SQL, "op7_zip_warc": OP7_SQL, "op8_ngram_join": OP8_SQL, "op10_secret_scan": OP10_SQL}
+    return {"op3_suffix_bwt": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_line_rules": OP6_SQL, "op7_zip_warc": OP7_SQL, "op8_ngram_join": OP8_SQL, "op10_secret_scan": OP10_SQL}
