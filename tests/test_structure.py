@@ -216,3 +216,16 @@ def test_assignment_is_best():
         small = m if shape[0] <= shape[1] else m.T
         assert total == max(sum(small[r, p[r]] for r in range(small.shape[0])) for p in permutations(range(small.shape[1]), small.shape[0]))
         assert len({c for c in got if c >= 0}) == min(shape)
+
+
+def test_shuffles_keep_sizes_and_draws_are_without_replacement(spark):
+    lab = spark.createDataFrame([(i, i // 5) for i in range(15)], "id long, label long")
+    p = validity.permutations(lab, 6).collect()
+    by = {k: sorted((r.id, r.label) for r in p if r.perm == k) for k in range(7)}
+    assert by[0] == [(i, i // 5) for i in range(15)]
+    assert all([i for i, _ in v] == list(range(15)) and sorted(x for _, x in v) == sorted(i // 5 for i in range(15)) for v in by.values())
+    assert len({tuple(v) for v in by.values()}) == 7
+    z = validity.permutation_z(edges(spark, cliques()), validity.permutations(lab, 30)).first()
+    assert z.observed == pytest.approx(2 / 3) and z.z > 3
+    draws = methods.subsamples(lab.select("id"), 4).collect()
+    assert all(len({r.id for r in draws if r.run == k}) == 12 for k in range(4)) and len(draws) == 48

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LABELS = "period int, k int, id long, label int"
@@ -346,22 +346,19 @@ def consensus(labels: DataFrame, most: int = 20) -> DataFrame:
     return now
 
 
-def subsamples(ids: Sequence[int], runs: int, share: float = 0.8, seed: int = 42) -> list[tuple[int, int]]:
-    """(run, id): sorted draws without replacement; run r has seed + r."""
-    out = []
-    for r in range(runs):
-        rng = np.random.default_rng(seed + r)
-        out += [(r, ids[i]) for i in np.sort(rng.choice(len(ids), int(share * len(ids)), replace=False))]
-    return out
+def subsamples(ids: DataFrame, runs: int, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """(run, id): draws without replacement, the first by a hash of id and run."""
+    size = ids.agg(F.floor(F.count(F.lit(1)) * share).alias("_m"))
+    each = ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    rank = F.row_number().over(Window.partitionBy("run").orderBy(F.xxhash64("id", "run", F.lit(seed)), "id"))
+    return each.withColumn("_r", rank).crossJoin(F.broadcast(size)).where("_r <= _m").select("run", "id")
 
 
 def subsample_stability(df: DataFrame, reference: DataFrame, method: str, k: int, runs: int = 10, share: float = 0.8) -> DataFrame:
     """(run, ari): agreement of labels found on subsamples of (id, vec) with the reference (entity, label)."""
     from .dynamics import adjusted_rand
 
-    spark = df.sparkSession
-    ids = sorted(r["id"] for r in df.select("id").toLocalIterator())
-    draws = spark.createDataFrame(subsamples(ids, runs, share), "period int, id long")
+    draws = subsamples(df.select("id"), runs, share).withColumnRenamed("run", "period")
     found = sweep(draws.join(df, "id").select("period", "id", "vec"), method, [k])
     met = found.join(reference.select(F.col("entity").alias("id"), F.col("label").alias("y")), "id")
     cross = met.groupBy("period", F.col("label").alias("x"), "y").agg(F.count(F.lit(1)).alias("n"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .similarity import group_distance_sums
@@ -108,14 +107,18 @@ def graph_indices(edges: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def permutations(spark: SparkSession, labels: list[tuple[int, int]], n: int, seed: int = 42) -> DataFrame:
-    """(perm, id, label): shuffles that keep the sizes; perm 0 is the labelling itself."""
-    rng = np.random.default_rng(seed)
-    ids, own = [i for i, _ in labels], np.array([x for _, x in labels])
-    rows = [(0, i, int(x)) for i, x in zip(ids, own, strict=True)]
-    for p in range(1, n + 1):
-        rows += [(p, i, int(x)) for i, x in zip(ids, rng.permutation(own), strict=True)]
-    return spark.createDataFrame(rows, "perm int, id long, label long")
+def permutations(labels: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """(perm, id, label): shuffles of (id, label) that keep the sizes; perm 0 is the labelling itself.
+
+    The i-th row by a hash of id and permutation gets the label of the i-th by id, so a
+    permutation is one window partition and nothing passes the driver.
+    """
+    base = labels.select("id", "label")
+    perms = base.select("id", "label", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("perm"))
+    w = Window.partitionBy("perm")
+    ranked = perms.withColumns({"_i": F.row_number().over(w.orderBy("id")), "_j": F.row_number().over(w.orderBy(F.xxhash64("id", "perm", F.lit(seed)), "id"))})
+    taken = ranked.select("perm", F.col("_i").alias("_j"), "label").join(ranked.select("perm", "_j", "id"), ["perm", "_j"])
+    return base.select(F.lit(0).alias("perm"), "id", "label").unionByName(taken.select("perm", "id", "label"))
 
 
 def permutation_z(edges: DataFrame, perms: DataFrame) -> DataFrame:

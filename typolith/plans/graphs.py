@@ -218,8 +218,7 @@ def block_matrix_avi_avu_q(spark, sf):
 @query()
 def permutation_z(spark, sf):
     """Modularity against 20 shuffles of the labels."""
-    labels = [(r["id"], r["label"]) for r in vectors(spark, sf).select("id", "label").orderBy("id").toLocalIterator()]
-    z = validity.permutation_z(_knn(spark, sf), validity.permutations(spark, labels, 20))
+    z = validity.permutation_z(_knn(spark, sf), validity.permutations(vectors(spark, sf), 20))
     return z.select(*[r6(c).alias(c) for c in z.columns])
 
 
