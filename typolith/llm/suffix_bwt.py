@@ -219,16 +219,20 @@ def _emit_runs(length: int):
         content = c.span_hash(first, first + windows + length - 1).view(np.int64)
         # the anchor's place within the run is part of the content
         content = (content.view(np.uint64) + mix((anchor - first).astype(np.uint64))).view(np.int64)
-        # a text that repeats itself has a content many times: one row, with the other places in ``more``
+        # a text that has a content many times repeats it: one row, with the bytes that all its places cover in ``own``
         key = mix(content.view(np.uint64) ^ mix(row.astype(np.uint64) + np.uint64(1)))
-        _, one, group = np.unique(key, return_index=True, return_inverse=True)
-        rest = np.setdiff1d(np.arange(len(key)), one)
-        rest = rest[np.argsort(group[rest], kind="stable")]
-        ends = np.searchsorted(group[rest], np.arange(len(one) + 1))
-        some = np.diff(ends) > 0
-        offsets = pa.array(ends.astype(np.int32), mask=np.append(~some, False))
-        more = pa.ListArray.from_arrays(offsets, pa.array(first[rest] - c.offs[row[rest]]))
-        yield {"f": f.view(np.int64)[one], "content": content[one], "id": part.column("id").take(pa.array(row[one])), "t": text[row[one]], "start": first[one] - c.offs[row[one]], "n": windows[one], "a": (anchor - first)[one], "more": more}
+        _, one, group, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        many = np.flatnonzero(times[group] > 1)
+        many = many[np.lexsort((first[many], group[many]))]
+        lo, g = first[many] - c.offs[row[many]], group[many]
+        hi = lo + windows[many] + length - 1
+        new = np.ones(len(many), bool)
+        new[1:] = (g[1:] != g[:-1]) | (lo[1:] > hi[:-1])
+        last = np.append(np.flatnonzero(new)[1:], len(many)) - 1 if len(many) else many
+        ends = 2 * np.searchsorted(g[new], np.arange(len(one) + 1))
+        offsets = pa.array(ends.astype(np.int32), mask=np.append(np.diff(ends) == 0, False))
+        own = pa.ListArray.from_arrays(offsets, pa.array(np.stack([lo[new], hi[last]], axis=1).ravel()))
+        yield {"f": f.view(np.int64)[one], "content": content[one], "id": part.column("id").take(pa.array(row[one])), "t": text[row[one]], "start": first[one] - c.offs[row[one]], "n": windows[one], "a": (anchor - first)[one], "own": own}
 
     return emit
 
@@ -259,8 +263,8 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, t, spans): the parts of each text that repeat, from rows (id, text); t is a hash of the text."""
     id_type = dict(rows.dtypes)["id"]
-    found = emit_text(rows, "text", f"f long, content long, id {id_type}, t long, start long, n int, a int, more array<long>", _emit_runs(length), CHUNK)
-    times = F.sum(1 + F.coalesce(F.size("more"), F.lit(0)))
+    found = emit_text(rows, "text", f"f long, content long, id {id_type}, t long, start long, n int, a int, own array<long>", _emit_runs(length), CHUNK)
+    times = F.sum(F.when(F.col("own").isNull(), 1).otherwise(2))
     twice = found.groupBy("f").agg(times.alias("k")).where("k > 1").select("f")
     shared = cut(found.join(twice, "f", "left_semi"), "bwt-runs")
     # a content stands for all its runs; one of them says where to find its bytes
@@ -298,8 +302,8 @@ def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = merged.groupBy("f", "content").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     whole = F.array(F.lit(0).cast("long"), (F.col("one.n") + length - 1).cast("long"))
     cover = contents.join(parts, ["f", "content"], "left").select("f", "content", F.when(F.col("times") > 1, whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
-    places = F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<long>")))
-    back = shared.join(cover, ["f", "content"]).select("id", "t", F.flatten(F.transform(places, lambda s: F.transform("spans", lambda x: x + s))).alias("spans"))
+    there = F.when(F.col("own").isNull(), F.transform("spans", lambda x: x + F.col("start"))).otherwise(F.col("own"))
+    back = shared.join(cover, ["f", "content"]).select("id", "t", there.alias("spans"))
     return back.groupBy("id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
