@@ -119,9 +119,10 @@ def _copies(sizes: DataFrame, src: DataFrame, lam: DataFrame, limit: float, repa
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, repairs: int = 4) -> DataFrame:
-    """The rows of docs with size, source_size, target, rate, copies and taken."""
-    new = ("size", "source_size", "target", "copies", "taken")
-    rows = docs.select(*[c for c in docs.columns if c not in new], word_count(F.col(text_col)).alias("size"))
+    """The rows of docs with size, source_size, target, copies and taken in place of the text."""
+    new = (text_col, "size", "source_size", "target", "copies", "taken")
+    # texts are read once, to count their words
+    rows = cut(docs.select(*[c for c in docs.columns if c not in new], word_count(F.col(text_col)).alias("size")), "mix-rows")
     sized = rows.select(F.col(source_col).alias("source"), "size")
     hist = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     src = cut(targets(hist, weights, share, float(limit)), "mix-targets")
