@@ -30,6 +30,20 @@ def test_main_text():
     assert hm.main_text("<article><p>cut off &am") == "cut off &am"
 
 
+ARTICLE = "<h1>The title of it</h1><p>First paragraph, which has a few words in it.</p><p>Short.</p><ul><li>item</li></ul><p>Last words.</p>"
+AROUND = [
+    '<div class="header">Site name and slogan</div><div class="topnav"><a href=a>One</a> <a href=b>Two</a></div>',
+    '<div class="sidebar-right"><p>Some other story that is quite long, with a sentence.</p></div><div class="alert alert-info"><p>We will be down on Sunday, sorry.</p></div><ol class="commentlist"><li><p>What a fine article, I agree in full.</p></li></ol><div id="footer"><p>Copyright 2020 by the site.</p></div>',
+]
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", '<div class="entry-content">{}</div>', "<div>{}</div>", "<section>{}</section>", "<table><tr><td>{}</td></tr></table>", "{}", '<ARTICLE><div class="entry-header">{}</div></ARTICLE>'])
+def test_articles_in_many_containers(wrap):
+    want = ["The title of it", "First paragraph, which has a few words in it.", "Short.", "item", "Last words."]
+    for a, b in (AROUND, AROUND[::-1]):
+        assert hm.main_text(f'<html><body class="has-sidebar">{a}{wrap.format(ARTICLE)}{b}</body></html>').split("\n\n") == want
+
+
 def test_cut_is_minimal():
     rng = np.random.default_rng(0)
     for _ in range(150):

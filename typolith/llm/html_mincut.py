@@ -43,6 +43,8 @@ GOOD_TAGS = {"article": 3.0, "main": 2.5}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BAD_WORD = re.compile(r"(?:^|[^a-z])(?:nav\w*|menus?|sidebars?|side|foot(?:er)?s?|page-?header|site-?header|topbar|header|masthead|banners?|ad|ads|advert\w*|adv|adsense|adbox|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|notification\w*|alerts?|popups?|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|comments?|commentlist|comment-?\w*|disqus|replies|respond|related|recommend\w*|breadcrumbs?|widgets?|toolbar|pagination|pager|copyright|legal|disclaimer|search\w*|form|skip\w*|hidden)(?:$|[^a-z])")
 GOOD_WORD = re.compile(r"(?:^|[^a-z])(?:article\w*|content|post|entry|story|main|maincontent|bodytext|text)(?:$|[^a-z])")
+#: Names of an article's own parts.
+OWN_WORD = re.compile(r"(?:^|[^a-z])(?:entry|post|article|story)[-_]?(?:header|head|title|body|text|content)(?:$|[^a-z])")
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 STOCK = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b)|all rights reserved|(?:we|site) uses? cookies", re.I)
 
@@ -63,7 +65,9 @@ def _hints(tag: str, attrs: str) -> tuple[float, float]:
         for key, a, b, c in ATTR.findall(attrs):
             key, value = key.lower(), (a or b or c).lower()
             if key in ("class", "id"):
-                if BAD_WORD.search(value):
+                if OWN_WORD.search(value):
+                    good = max(good, 1.5)
+                elif BAD_WORD.search(value):
                     bad = min(bad, -6.0)
                 elif GOOD_WORD.search(value):
                     good = max(good, 1.5)
@@ -186,7 +190,7 @@ def log_odds(found: list[Block], elements: list[_Element]) -> list[float]:
             good = max(good, e.good)
             inside = inside or e.tag == "article"
         score += bad + good
-        score += min(1.5, 0.4 * log1p(n)) - 0.8
+        score += min(1.5, 0.4 * log1p(n)) + 0.3
         score += 0.4 if text[-1] in ".!?…。»”\"" else 0.0
         score -= (4.0 if good < 2.5 else 1.5) * link if link > 0.3 else 0.0
         score += 0.6 if own in HEADINGS else -0.3 if own in ("li", "td", "th") else 0.0
