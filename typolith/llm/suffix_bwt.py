@@ -265,7 +265,8 @@ def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     id_type = dict(rows.dtypes)["id"]
     found = emit_text(rows, "text", f"f long, content long, id {id_type}, t long, start long, n int, a int, own array<long>", _emit_runs(length), CHUNK)
     times = F.sum(F.when(F.col("own").isNull(), 1).otherwise(2))
-    twice = found.groupBy("f").agg(times.alias("k")).where("k > 1").select("f")
+    # written, as is cover below, so that Spark can split an anchor that many runs have
+    twice = cut(found.groupBy("f").agg(times.alias("k")).where("k > 1").select("f"), "bwt-anchors")
     shared = cut(found.join(twice, "f", "left_semi"), "bwt-runs")
     # a content stands for all its runs; one of them says where to find its bytes
     one = F.min(F.struct("id", "t", "start", "n", "a")).alias("one")
@@ -301,7 +302,8 @@ def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     merged = loaded.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _merge(it, length), "f long, content long, spans array<long>")
     parts = merged.groupBy("f", "content").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     whole = F.array(F.lit(0).cast("long"), (F.col("one.n") + length - 1).cast("long"))
-    cover = contents.join(parts, ["f", "content"], "left").select("f", "content", F.when(F.col("times") > 1, whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
+    cover = contents.join(parts, ["f", "content"], "left").select("f", "content", F.when(F.col("times") > 1, whole).otherwise(F.col("spans")).alias("spans"))
+    cover = cut(cover.where("spans is not null"), "bwt-cover")
     there = F.when(F.col("own").isNull(), F.transform("spans", lambda x: x + F.col("start"))).otherwise(F.col("own"))
     back = shared.join(cover, ["f", "content"]).select("id", "t", there.alias("spans"))
     return back.groupBy("id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
