@@ -265,14 +265,14 @@ def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     id_type = dict(rows.dtypes)["id"]
     found = emit_text(rows, "text", f"f long, content long, id {id_type}, t long, start long, n int, a int, own array<long>", _emit_runs(length), CHUNK)
     times = F.sum(F.when(F.col("own").isNull(), 1).otherwise(2))
-    # written, as is cover below, so that Spark can split an anchor that many runs have
+    # written, as are kinds and cover below, so that Spark can split an anchor that many runs have
     twice = cut(found.groupBy("f").agg(times.alias("k")).where("k > 1").select("f"), "bwt-anchors")
     shared = cut(found.join(twice, "f", "left_semi"), "bwt-runs")
     # a content stands for all its runs; one of them says where to find its bytes
     one = F.min(F.struct("id", "t", "start", "n", "a")).alias("one")
     contents = cut(shared.groupBy("f", "content").agg(times.alias("times"), one), "bwt-contents")
-    kinds = contents.groupBy("f").agg(F.count(F.lit(1)).alias("kinds"))
-    wanted = contents.join(kinds.where("kinds > 1"), "f").select("f", "content", (F.col("kinds") > MANY).alias("many"), "one.*")
+    kinds = cut(contents.groupBy("f").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "bwt-kinds")
+    wanted = contents.join(kinds, "f").select("f", "content", (F.col("kinds") > MANY).alias("many"), "one.*")
     wanted = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("f", "content", "many", "start", "n", "a")).alias("runs"))
     texts = rows.withColumnRenamed("id", "_id").join(wanted, F.col("_id").eqNullSafe(F.col("id"))).select("text", "t", "runs")
 
