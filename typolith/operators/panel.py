@@ -122,7 +122,6 @@ def section_code(text: Column, pattern: str, look_alikes: tuple[str, str], defau
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row for each column: count, nulls, mean, population deviation, least, quartiles, greatest."""
-    out = None
     stats = [F.count("x").alias("n"), F.count_if(F.isnull("x")).alias("nulls"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.min("x").alias("least"), F.percentile("x", [0.25, 0.5, 0.75]).alias("q"), F.max("x").alias("greatest")]
     one = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("s")).select("s.*")
     out = one.groupBy("column").agg(*stats)
