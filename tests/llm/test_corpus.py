@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -335,6 +336,39 @@ def test_exchange_raises_the_likelihood():
     assert all(len(set(label[:12][own == k])) == 1 for k in range(3)) and len(set(label[:12])) == 3 and label[12] == 3
 
 
+def test_every_word_above_a_small_count_gets_a_class_by_exchange(spark):
+    rng = random.Random(2)
+    kinds = [[f"{2 * k + s:04d}ab" for k in range(300)] for s in (0, 1)]  # one shape, told apart by their places only
+    rows = []
+    for k in range(50):
+        a, b = (rng.sample(x, len(x)) for x in kinds)
+        rows.append((k, " ".join(w for p in zip(a, b) for w in p)))
+    model, counts = brown_lm.fit(spark.createDataFrame([*rows, (99, "rare")], "doc_id long, text string"), classes=6)
+    u = model.units
+    assert u.words == 600 and counts.count() == 601
+    own = np.flatnonzero(u.unit >= 0)
+    odd = brown_lm.tokens(next(iter(brown_lm.chunks(pa.array([" ".join(kinds[1])])))))[0]
+    is_odd = np.isin(u.h[own], odd)
+    label = model.label[u.unit[own]]
+    assert is_odd.sum() == 300 and not set(label[is_odd]) & set(label[~is_odd])
+
+
+def test_gain_of_a_move_is_the_rise_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 9, (9, 9)).astype(np.int64)
+    start = np.array([0, 1, 2, 0, 1, 2, 0, 1, 3])
+
+    def big(label):
+        one = np.eye(4)[label]
+        return one.T @ n @ one
+
+    r, l = n @ np.eye(4)[start], n.T @ np.eye(4)[start]
+    b, gain = brown_lm.best_moves(big(start), r[:8], l[:8], np.diag(n)[:8].astype(float), start[:8])
+    for v in range(8):
+        tries = [brown_lm.likelihood(big(np.where(np.arange(9) == v, c, start))) for c in range(3)]
+        assert math.isclose(max(tries) - tries[start[v]], gain[v], abs_tol=1e-6) and math.isclose(tries[b[v]], max(tries), abs_tol=1e-6)
+
+
 def test_language_model_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     model, counts = brown_lm.fit(empty)

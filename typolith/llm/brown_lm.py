@@ -1,10 +1,12 @@
 """Brown class-based bigram model of a corpus.
 
 Tokens: words, lower-cased A-Z, then one end of text.  Training counts of all tokens are
-a table keyed by word (64-bit hash).  The most frequent words are units of their own;
-every other word belongs to the unit of its shape (length, ending, letters beyond ASCII).
-Exchange clustering moves units between classes while the likelihood of the class bigrams
-rises, so each word has a class.  The probability of a token is that of its class after
+a table keyed by word (64-bit hash).  Words that train ``least`` times are units of their
+own, so the units grow with the corpus; every rarer word belongs to the unit of its shape
+(length, ending, letters beyond ASCII).  Exchange clustering moves units between classes
+while the likelihood of the class bigrams rises: one at a time for the first ``seeds`` words
+and the shapes, then for all units over a table of unit bigrams, to convergence.
+So each word has a class.  The probability of a token is that of its class after
 the class before it (add-``alpha``) times that of the word in its class (add-``delta``,
 with one unknown word).
 
@@ -98,6 +100,7 @@ class Units:
 
     h: np.ndarray
     c: np.ndarray
+    shape: np.ndarray
     unit: np.ndarray
     words: int
 
@@ -130,23 +133,25 @@ class Units:
         return np.where(own >= 0, own, unit)
 
 
-def frequent(counts: DataFrame, head: int, words: int) -> Units:
-    """The words of the least count that no more than head words reach; the first ``words`` of them are units."""
+def frequent(counts: DataFrame, head: int, words: int | None, least: int = 50) -> Units:
+    """The words of the least count that no more than head words reach; the first ``words`` of them are units, or all words with ``least``, whatever head is."""
     by_count = counts.groupBy("c").agg(F.count(F.lit(1)).alias("k"))
     # distinct counts up to c sum to at most the tokens, so these rows are few: their number grows as the root of the corpus
-    seen, least = 0, None
+    seen, low = 0, None
     for r in by_count.orderBy(F.col("c").desc()).toLocalIterator():
         seen += r["k"]
-        if seen > head:
+        if seen > head and (words is not None or r["c"] < least):
             break
-        least = r["c"]
-    top = counts.where(F.col("c") >= (least if least is not None else 1 << 62)).select("h", "c").toArrow()
-    h, c = (top.column(n).to_numpy().astype(np.int64) for n in ("h", "c"))
+        low = r["c"]
+    top = counts.where(F.col("c") >= (low if low is not None else 1 << 62)).select("h", "c", "shape").toArrow()
+    h, c, shape = (top.column(n).to_numpy().astype(np.int64) for n in ("h", "c", "shape"))
     order = np.argsort(h)
-    h, c = h[order], c[order]
+    h, c, shape = h[order], c[order], shape[order]
+    if words is None:
+        words = int((c >= least).sum())
     unit = np.full(len(h), -1, np.int32)
     unit[np.lexsort((h, -c))[:words]] = np.arange(min(words, len(h)))
-    return Units(h, c, unit, words)
+    return Units(h, c, shape, unit, words)
 
 
 def _sequence(c: Chunk, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -160,48 +165,202 @@ def _sequence(c: Chunk, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return place, h, row, seq
 
 
-def bigrams(texts: DataFrame, u: Units, text_col: str = "text") -> np.ndarray:
-    """Counts of adjacent units over all texts; an end stands before each."""
+def neighbours(texts: DataFrame, u: Units, text_col: str = "text") -> DataFrame:
+    """Counts of adjacent units over all texts, an end before each; a row packs some units with all that stand beside them.
+
+    v, side, o, n are arrays: o follows v (side 0) or goes before it (side 1) n times.
+    """
     n = u.n
     shared = texts.sparkSession.sparkContext.broadcast(u)
+    kinds = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n * n, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            pair, c = (np.concatenate(x) for x in zip(*held))
+            p, inv = np.unique(pair, return_inverse=True)
+            return p, np.bincount(inv, c, len(p)).astype(np.int64)
+
         for batch in batches:
             for c in chunks(batch.column(0)):
                 seq = _sequence(c, shared.value)[3]
-                before = np.concatenate([[n - 1], seq[:-1]])
-                total += np.bincount(before * n + seq, minlength=n * n)
+                held.append(np.unique(np.concatenate([[n - 1], seq[:-1]]) * n + seq, return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], schema=kinds)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], schema=kinds)
+
+    def pack(key: tuple, part: pa.Table) -> pa.Table:
+        v, side, o, c = (part.column(x).to_numpy() for x in ("v", "side", "o", "n"))
+        order = np.lexsort((o, side, v))
+        got = {"v": v.astype(np.int32), "side": side.astype(np.int8), "o": o.astype(np.int32), "n": c.astype(np.int64)}
+        return pa.table({k: pa.array([x[order].tobytes()], pa.binary()) for k, x in got.items()})
+
+    pairs = texts.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    a, b = F.expr(f"pair div {n}"), F.expr(f"pair % {n}")
+    each = pairs.select("n", F.inline(F.array(F.struct(a.alias("v"), F.lit(0).alias("side"), b.alias("o")), F.struct(b.alias("v"), F.lit(1).alias("side"), a.alias("o")))))
+    # about as many units in a row at any size of the corpus
+    each = each.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(max(24, n // 2000))))
+    return cut(each.groupBy("bucket").applyInArrow(pack, "v binary, side binary, o binary, n binary"), "lm-pairs")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    for batch in batches:
+        for row in zip(*(batch.column(k) for k in ("v", "side", "o", "n"))):
+            yield tuple(np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.int32, np.int8, np.int32, np.int64)))
+
+
+def between(table: DataFrame, label: np.ndarray, classes: int) -> np.ndarray:
+    """Counts of adjacent classes."""
+    shared = table.sparkSession.sparkContext.broadcast(label)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, lab = np.zeros(classes * classes), shared.value
+        for v, side, o, n in _unpacked(batches):
+            on = side == 0
+            total += np.bincount(lab[v[on]] * classes + lab[o[on]], n[on], classes * classes)
         at = np.flatnonzero(total)
-        for lo in range(0, len(at), 100_000):
-            part = at[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["pair", "n"])
 
-    made = texts.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(n * n, np.int64)
+    made = table.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(classes * classes)
     out[made.column("pair").to_numpy()] = made.column("n").to_numpy()
-    return out.reshape(n, n)
+    shared.unpersist()
+    return out.reshape(classes, classes)
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(big: np.ndarray) -> float:
+    """Log likelihood of class bigrams, but for what no exchange changes."""
+    return float(_f(big).sum() - _f(big.sum(axis=1)).sum() - _f(big.sum(axis=0)).sum())
+
+
+def least_gain(big: np.ndarray) -> float:
+    """Gains below it are rounding."""
+    return 1e-9 + 1e-13 * float(_f(big.sum()))
+
 
+def best_moves(big: np.ndarray, r: np.ndarray, l: np.ndarray, own: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best class of each unit while the others stay, and what the move there gains.
 
-def exchange(n: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
-    """The class of each unit; the last unit, the end, has the last class alone."""
+    r and l: counts of the unit before and after each class, itself among class a; own: of the unit before itself.
+    """
+    at, classes = np.arange(len(a)), len(big)
+    r, l = r.copy(), l.copy()
+    r[at, a] -= own
+    l[at, a] -= own
+    m = np.repeat(big[None], len(a), axis=0)
+    m[at, a] -= r
+    m[at, :, a] -= l
+    m[at, a, a] -= own
+    fm = np.repeat(_f(big)[None], len(a), axis=0)
+    fm[at, a] = _f(m[at, a])
+    fm[at, :, a] = _f(m[at, :, a])
+    gain = (_f(m + r[:, None, :]) - fm).sum(axis=2) + (_f(m + l[:, :, None]) - fm).sum(axis=1)
+    d, o = np.einsum("kcc->kc", m), own[:, None]
+    rows, cols = m.sum(axis=2) + l, m.sum(axis=1) + r
+    gain += _f(d + r + l + o) + _f(d) - _f(d + r) - _f(d + l)
+    gain -= _f(rows + r.sum(axis=1)[:, None] + o) - _f(rows) + _f(cols + l.sum(axis=1)[:, None] + o) - _f(cols)
+    gain[:, classes - 1] = -np.inf
+    b = gain.argmax(axis=1)
+    return b, gain[at, b] - gain[at, a]
+
+
+def proposals(table: DataFrame, label: np.ndarray, big: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units that gain by a move, their best classes and the gains."""
+    classes, end, least = len(big), len(label) - 1, least_gain(big)
+    shared = table.sparkSession.sparkContext.broadcast((label, big))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lab, whole = shared.value
+        for v, side, o, n in _unpacked(batches):
+            units, start = np.unique(v, return_index=True)
+            start = np.append(start, len(v))
+            for lo in range(0, len(units), 64):
+                some = units[lo : lo + 64]
+                k = len(some)
+                part = slice(start[lo], start[lo + k])
+                at = np.searchsorted(some, v[part])
+                both = np.bincount((side[part] * k + at) * classes + lab[o[part]], n[part], 2 * k * classes).reshape(2, k, classes)
+                self_ = (v[part] == o[part]) & (side[part] == 0)
+                own = np.bincount(at[self_], n[part][self_], k)
+                b, gain = best_moves(whole, both[0], both[1], own, lab[some])
+                on = (gain > least) & (some != end)
+                yield pa.RecordBatch.from_arrays([pa.array(some[on].astype(np.int64)), pa.array(b[on]), pa.array(gain[on])], names=["v", "b", "gain"])
+
+    made = table.mapInArrow(run, "v long, b long, gain double").toArrow()
+    shared.unpersist()
+    v, b, gain = (made.column(k).to_numpy() for k in ("v", "b", "gain"))
+    order = np.lexsort((v, -gain))
+    return v[order], b[order], gain[order]
+
+
+def climb(table: DataFrame, label: np.ndarray, classes: int, alone: int = 1000, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Exchange of all units over the table of neighbours, from given classes until no move gains or a round
+    raises the log likelihood by less than ``tolerance`` of itself; classes and their bigrams.
+
+    Each round moves the ``alone`` units that gain most one after another, which raises the
+    likelihood; those that gain less move together, as many as raise it further.
+    """
+    big = between(table, label, classes)
+    while True:
+        v, b, _ = proposals(table, label, big)
+        if not len(v):
+            return label, big
+        before = likelihood(big)
+        some = v[:alone]
+        place = len(some) + label
+        place[some] = np.arange(len(some))
+        small = exchange(between(table, place, len(some) + classes), classes, np.concatenate([label[some], np.arange(classes)]), len(some))
+        label = label.copy()
+        label[some] = small[: len(some)]
+        big = between(table, label, classes)
+        skip = alone
+        while skip < len(v):
+            new = label.copy()
+            new[v[skip:]] = b[skip:]
+            now = between(table, new, classes)
+            if likelihood(now) > likelihood(big) + least_gain(big):
+                label, big = new, now
+                break
+            skip *= 2
+        if likelihood(big) - before < tolerance * abs(before):
+            return label, big
+
+
+def exchange(n: np.ndarray, classes: int, start: np.ndarray | None = None, free: int | None = None) -> np.ndarray:
+    """The class of each unit, from ``start`` where given, until no move gains; the last unit, the end, has the last class alone.
+
+    With ``free``, only so many first units move.
+    """
     units = len(n)
     freq = n.sum(axis=0)
     order = np.lexsort((np.arange(units), -freq))
-    order = order[(order != units - 1) & (freq[order] > 0)]
-    label = np.zeros(units, np.int64)
-    label[order] = np.arange(len(order)) % (classes - 1)
-    label[units - 1] = classes - 1
-
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1))
-
+    order = order[(order != units - 1) & (freq[order] > 0) & (order < (units if free is None else free))]
+    if start is None:
+        label = np.zeros(units, np.int64)
+        label[order] = np.arange(len(order)) % (classes - 1)
+        label[units - 1] = classes - 1
+    else:
+        label = start.copy()
+    f = _f
     one = np.zeros((units, classes))
     one[np.arange(units), label] = 1
     big = one.T @ n @ one
     here = n @ one  # from each unit to each class
     there = n.T @ one
-    for _ in range(sweeps):
+    least, moved = least_gain(big), 1
+    while moved:
         moved = 0
         for v in order:
             a = label[v]
@@ -211,14 +370,14 @@ def exchange(n: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
             big[a] -= r
             big[:, a] -= l
             big[a, a] -= own
-            rows, cols = big.sum(axis=1), big.sum(axis=0)
+            rows, cols = big.sum(axis=1) + l, big.sum(axis=0) + r
             gain = (f(big + r[None, :]) - f(big)).sum(axis=1) + (f(big + l[:, None]) - f(big)).sum(axis=0)
             d = np.diag(big)
             gain += f(d + r + l + own) - f(d) - (f(d + r) - f(d)) - (f(d + l) - f(d))
             gain -= f(rows + r.sum() + own) - f(rows) + f(cols + l.sum() + own) - f(cols)
             gain[classes - 1] = -np.inf
             b = int(np.argmax(gain))
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = a
             big[b] += r
             big[:, b] += l
@@ -230,14 +389,12 @@ def exchange(n: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
                 here[:, b] += n[:, v]
                 there[:, a] -= n[v]
                 there[:, b] += n[v]
-        if not moved:
-            break
     return label
 
 
 @dataclass
 class Model:
-    """Broadcast to score: its size depends on ``head``, ``words`` and ``classes`` only."""
+    """Broadcast to score: its size depends on ``head``, the words that are units and ``classes``."""
 
     units: Units
     label: np.ndarray
@@ -270,33 +427,35 @@ class Model:
         return out, (r[first], x[first], np.diff(np.append(first, len(r))))
 
 
-def fit(texts: DataFrame, text_col: str = "text", head: int = 400_000, words: int = 500, classes: int = 48, alpha: float = 0.5, delta: float = 0.5) -> tuple[Model, DataFrame]:
+def fit(texts: DataFrame, text_col: str = "text", head: int = 400_000, words: int | None = None, classes: int = 48, alpha: float = 0.5, delta: float = 0.5, least: int = 50, seeds: int = 500) -> tuple[Model, DataFrame]:
     """The model of all texts, and the table of their word counts."""
     counts = cut(word_counts(texts, text_col), "lm-counts")
     ends = texts.count()
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    u = frequent(counts, head, words)
-    pairs = bigrams(texts, u, text_col)
-    label = exchange(pairs, classes)
-    one = np.zeros((u.n, classes))
-    one[np.arange(u.n), label] = 1
-    big = one.T @ pairs @ one
+    u = frequent(counts, head, words, least)
+    own = np.flatnonzero(u.unit >= 0)
+    table = neighbours(texts, u, text_col)
+    # units are numbered by falling counts: the first stay alone at the start, the others are with their shape
+    first = min(seeds, u.words)
+    coarse = np.concatenate([np.arange(u.words), first + np.arange(SHAPES + 1)])
+    late = own[u.unit[own] >= first]
+    coarse[u.unit[late]] = first + u.shape[late]
+    coarse[max(first, len(own)) : u.words] = first
+    small = exchange(between(table, coarse, first + SHAPES + 1), classes)
+    label, big = climb(table, small[coarse], classes)
     after = np.log10((big + alpha) / (big.sum(axis=1, keepdims=True) + alpha * classes))
 
     # tokens and distinct words of each unit
-    own = np.flatnonzero(u.unit >= 0)
     by_shape = counts.groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).toArrow().to_pylist()
     size, kinds = np.zeros(u.n), np.zeros(u.n)
     for r in by_shape:
         size[u.words + r["shape"]], kinds[u.words + r["shape"]] = r["c"], r["k"]
-    shapes = {r["h"]: r["shape"] for r in counts.where(F.col("h").isin(*map(int, u.h[own]))).select("h", "shape").toArrow().to_pylist()} if len(own) else {}
-    for k in own:
-        s = u.words + shapes[int(u.h[k])]
-        size[s] -= u.c[k]
-        kinds[s] -= 1
-        size[u.unit[k]], kinds[u.unit[k]] = u.c[k], 1
+    np.subtract.at(size, u.words + u.shape[own], u.c[own])
+    np.subtract.at(kinds, u.words + u.shape[own], 1)
+    size[u.unit[own]], kinds[u.unit[own]] = u.c[own], 1
     size[u.n - 1], kinds[u.n - 1] = ends, 1 if ends else 0
-    room = np.log10(one.T @ size + delta * (one.T @ kinds + 1))
+    size, kinds = (np.bincount(label, x, classes) for x in (size, kinds))
+    room = np.log10(size + delta * (kinds + 1))
     return Model(u, label, after, room, delta, int(total) + ends, int(types) + (1 if ends else 0), ends), counts
 
 
