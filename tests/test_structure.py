@@ -187,6 +187,26 @@ def test_leiden_finds_cliques():
     assert rand_index(methods.leiden_at(a, 3), np.arange(15) // 5) == 1.0
 
 
+def test_methods_search_as_long_as_their_operators(monkeypatch):
+    import inspect
+
+    x = np.random.default_rng(6).normal(size=(24, 3))
+    tried, norms, starts = [], [], []
+    monkeypatch.setattr(methods, "leiden", lambda a, gamma, seed: tried.append((gamma, seed)) or np.zeros(len(a), int))
+    methods.METHODS["leiden"](x, 3)
+    assert len(tried) == 150 and len({s for _, s in tried}) == 5
+    norm = methods.gradient_norm
+    monkeypatch.setattr(methods, "gradient_norm", lambda v, c: norms.append(1) or norm(v, c))
+    methods.METHODS["canus"](x, 2)
+    assert len(norms) >= 600
+    monkeypatch.setattr(methods, "lloyd", lambda x, k, seed, n_init=10: starts.append(n_init))
+    methods.METHODS["kmeans"](x, 2)
+    assert starts == [20]
+    default = lambda f, p: inspect.signature(f).parameters[p].default
+    assert default(methods.canus, "rate") == 1e-3 and len(default(methods.kmeans, "seeds")) == 20
+    assert default(methods.gmm_diagonal, "starts") == 5 and default(methods.gmm_diagonal, "rounds") is None
+
+
 def test_jobs_of_kmeans_and_mixture(spark):
     x, y = blobs(3, 40)
     v = vectors(spark, x)

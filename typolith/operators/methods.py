@@ -8,6 +8,7 @@ a period's entities; periods and numbers of clusters run in parallel.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -20,18 +21,26 @@ LABELS = "period int, k int, id long, label int"
 # -- jobs ------------------------------------------------------------------
 
 
-def kmeans(df: DataFrame, k: int, seeds: Sequence[int] = range(5)) -> DataFrame:
+def kmeans(df: DataFrame, k: int, seeds: Sequence[int] = range(20)) -> DataFrame:
     """(id, label): the run of least cost among seeds."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     data = df.select("id", array_to_vector("vec").alias("features"))
-    best = min((KMeans(k=k, seed=s, maxIter=50).fit(data) for s in seeds), key=lambda m: m.summary.trainingCost)
+    best = min((KMeans(k=k, seed=s, maxIter=300).fit(data) for s in seeds), key=lambda m: m.summary.trainingCost)
     return best.transform(data).select("id", F.col("prediction").alias("label"))
 
 
-def gmm_diagonal(df: DataFrame, k: int, rounds: int = 30, seed: int = 42, floor: float = 1e-6) -> DataFrame:
-    """(id, label, p) of a mixture with diagonal covariances; each round is one aggregate over rows and components."""
+def gmm_diagonal(df: DataFrame, k: int, rounds: int | None = None, seed: int = 42, floor: float = 1e-6, starts: int = 5) -> DataFrame:
+    """(id, label, p) of a mixture with diagonal covariances: the most likely of some starts, each until the likelihood stands still, or for ``rounds``.
+
+    Each round is one aggregate over rows and components.
+    """
+    return max((_gmm(df, k, rounds, seed + s, floor) for s in range(starts)), key=lambda x: x[1])[0]
+
+
+def _gmm(df: DataFrame, k: int, rounds: int | None, seed: int, floor: float) -> tuple[DataFrame, float]:
+    """The mixture from one start, and the mean log likelihood of a row."""
     d = len(df.select("vec").first()["vec"])
     start = kmeans(df, k, [seed])
     rows = df.select("id", "vec").join(start, "id").select("id", "vec", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (j == F.col("label")).cast("double")).alias("r"))
@@ -48,7 +57,7 @@ def gmm_diagonal(df: DataFrame, k: int, rounds: int = 30, seed: int = 42, floor:
 
     base = df.select("id", "vec")
     last = -np.inf
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         pi, mean, var = moments(rows)
         parts = []
         for j in range(k):
@@ -61,16 +70,16 @@ def gmm_diagonal(df: DataFrame, k: int, rounds: int = 30, seed: int = 42, floor:
         scored = scored.withColumn("ll", F.col("top") + F.log(total))
         rows = scored.select("id", "vec", "ll", F.transform("l", lambda x: F.exp(x - F.col("ll"))).alias("r"))
         now = rows.agg(F.avg("ll")).first()[0]
-        if now - last < 1e-6:
+        done, last = now - last < 1e-6, now
+        if done:
             break
-        last = now
-    return rows.select("id", (F.array_position("r", F.array_max("r")) - 1).cast("int").alias("label"), F.array_max("r").alias("p"))
+    return rows.select("id", (F.array_position("r", F.array_max("r")) - 1).cast("int").alias("label"), F.array_max("r").alias("p")), last
 
 
 # -- one period ------------------------------------------------------------
 
 
-def lloyd(x: np.ndarray, k: int, seed: int, n_init: int = 10, rounds: int = 100) -> np.ndarray:
+def lloyd(x: np.ndarray, k: int, seed: int, n_init: int = 10, rounds: int = 300) -> np.ndarray:
     """k-means of a small matrix, seeded by distance."""
     rng, best, cost = np.random.default_rng(seed), None, np.inf
     for _ in range(n_init):
@@ -223,7 +232,7 @@ def gradient_norm(v: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(((u - (u @ w)[:, None] * w[None, :]) ** 2).sum(axis=1)) / size
 
 
-def canus(y: np.ndarray, a: np.ndarray, k: int, zeta: float = 1.0, tau: float = 1.0, epochs: int = 300, rate: float = 1e-2, seed: int = 42) -> np.ndarray:
+def canus(y: np.ndarray, a: np.ndarray, k: int, zeta: float = 1.0, tau: float = 1.0, epochs: int = 300, rate: float = 1e-3, seed: int = 42) -> np.ndarray:
     """Centres by gradient steps; only rows whose gradient norm is within tau deviations of the mean take part."""
     lab = kefrin(y, a, k, 1.0, zeta, 1, 20, seed)
     c = np.stack([y[lab == j].mean(axis=0) if (lab == j).any() else y[j] for j in range(k)])
@@ -255,12 +264,12 @@ def knn_matrix(x: np.ndarray, k: int = 10) -> np.ndarray:
 
 
 METHODS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
-    "kmeans": lambda x, k: lloyd(x, k, 42),
+    "kmeans": lambda x, k: lloyd(x, k, 42, n_init=20),
     "ward": ward,
     "spectral": lambda x, k: spectral(knn_matrix(x), k),
-    "leiden": lambda x, k: leiden_at(knn_matrix(x), k, steps=8, seeds=1),
+    "leiden": lambda x, k: leiden_at(knn_matrix(x), k),
     "kefrin": lambda x, k: kefrin(x, knn_matrix(x), k),
-    "canus": lambda x, k: canus(x, knn_matrix(x), k, epochs=60),
+    "canus": lambda x, k: canus(x, knn_matrix(x), k),
 }
 
 

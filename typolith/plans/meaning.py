@@ -305,7 +305,7 @@ def kmeans(spark, sf):
 
 @query()
 def gmm_diag(spark, sf):
-    return methods.gmm_diagonal(vectors(spark, sf), 6, rounds=8)
+    return methods.gmm_diagonal(vectors(spark, sf), 6)
 
 
 def _features(spark, sf):
