@@ -249,3 +249,30 @@ def test_shuffles_keep_sizes_and_draws_are_without_replacement(spark):
     assert z.observed == pytest.approx(2 / 3) and z.z > 3
     draws = methods.subsamples(lab.select("id"), 4).collect()
     assert all(len({r.id for r in draws if r.run == k}) == 12 for k in range(4)) and len(draws) == 48
+
+
+def test_subsamples_are_held_against_each_label(spark):
+    x, y = blobs(3, 20)
+    v = vectors(spark, x).select("id", "vec")
+    ref = spark.createDataFrame([(i, int(k)) for i, k in enumerate(y)], "entity long, label int")
+    runs = methods.subsample_stability(v, ref, "kmeans", 3, 4)
+    got = runs.collect()
+    assert len(got) == 12 and all(r.ari == r.jaccard == 1.0 for r in got)
+    s = methods.stability_summary(runs.select(F.lit("all").alias("period"), "*"), ["period"]).collect()
+    assert sorted((r.period, r.label, r.runs, r.ari_q05, r.jaccard_mean, r.jaccard_q95) for r in s) == [("all", k, 4, 1.0, 1.0, 1.0) for k in range(3)]
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_stability_covers_the_whole_period_and_four_years(spark, monkeypatch):
+    from typolith.plans import meaning
+
+    asked = []
+
+    def found(df, ref, method, k, runs):
+        asked.append((method, k, runs))
+        return spark.createDataFrame([(0, 1.0, 0, 1.0)], "run int, ari double, label int, jaccard double")
+
+    monkeypatch.setattr(methods, "subsample_stability", found)
+    rows = meaning.bootstrap_stability(spark, "/root/testdata/sf0.001").collect()
+    assert asked == [("kefrin", 7, 100)] + 4 * [("kefrin", 7, 10)]
+    assert {r.period for r in rows} == {"all", "1995", "1997", "1999", "2001"}

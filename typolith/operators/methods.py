@@ -364,11 +364,23 @@ def subsamples(ids: DataFrame, runs: int, share: float = 0.8, seed: int = 42) ->
 
 
 def subsample_stability(df: DataFrame, reference: DataFrame, method: str, k: int, runs: int = 10, share: float = 0.8) -> DataFrame:
-    """(run, ari): agreement of labels found on subsamples of (id, vec) with the reference (entity, label)."""
-    from .dynamics import adjusted_rand
+    """(run, ari, label, jaccard): agreement of labels found on subsamples of (id, vec) with the reference (entity, label), in a row for each of its labels."""
+    from .dynamics import adjusted_rand, cluster_jaccard
 
     draws = subsamples(df.select("id"), runs, share).withColumnRenamed("run", "period")
-    found = sweep(draws.join(df, "id").select("period", "id", "vec"), method, [k])
-    met = found.join(reference.select(F.col("entity").alias("id"), F.col("label").alias("y")), "id")
-    cross = met.groupBy("period", F.col("label").alias("x"), "y").agg(F.count(F.lit(1)).alias("n"))
-    return adjusted_rand(cross, ["period"]).withColumnRenamed("period", "run")
+    found = sweep(draws.join(df, "id").select("period", "id", "vec"), method, [k]).withColumnRenamed("label", "y")
+    met = found.join(reference.select(F.col("entity").alias("id"), F.col("label").alias("x")), "id")
+    cross = met.groupBy("period", "x", "y").agg(F.count(F.lit(1)).alias("n")).cache()
+    out = adjusted_rand(cross, ["period"]).join(cluster_jaccard(cross, ["period"]), "period")
+    return out.select(F.col("period").alias("run"), "ari", F.col("x").alias("label"), "jaccard")
+
+
+def stability_summary(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """By keys: number of runs, mean and 5/95 % quantiles of ARI, and for each label those of Jaccard."""
+    k = list(keys)
+
+    def stats(c: str) -> list:
+        return [F.avg(c).alias(f"{c}_mean"), F.percentile(c, F.lit(0.05)).alias(f"{c}_q05"), F.percentile(c, F.lit(0.95)).alias(f"{c}_q95")]
+
+    whole = runs.select(*k, "run", "ari").distinct().groupBy(*k).agg(F.count(F.lit(1)).alias("runs"), *stats("ari"))
+    return whole.join(runs.groupBy(*k, "label").agg(*stats("jaccard")), k)
