@@ -327,6 +327,15 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose((mass + model.delta) / 10**model.room, 1)
 
 
+def test_base_probabilities_sum_to_one(spark):
+    texts = ["a a b", "b c", "d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, counts = brown_lm.fit(df, words=4, classes=3)
+    asked = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "unseen"), (5, "")], df.schema)
+    got = {r.doc_id: 10**r.base_score for r in brown_lm.score(asked, model, counts).collect()}
+    assert math.isclose(sum(got[k] / got[5] for k in range(5)) + got[5], 1)
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(0)
     own = np.arange(12) % 3

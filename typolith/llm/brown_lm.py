@@ -418,7 +418,7 @@ class Model:
         count = u.c[place[known]] if known.any() else np.zeros(0, np.int64)
         score += np.bincount(row[known], np.log10(count + self.delta), n)
         base = np.bincount(row[known], np.log10(count + 1.0), n) + np.log10(self.ends + 1.0)
-        base -= (words + 1) * np.log10((self.total + 1.0) * (self.types + 1.0))
+        base -= (words + 1) * np.log10(self.total + self.types + 1.0)
         out = {"n_tokens": words + 1, "n_known": np.bincount(row[known], minlength=n) + (self.ends > 0), "base": base, "score": score}
         r, x = row[~known], h[~known]
         order = np.lexsort((x, r))
