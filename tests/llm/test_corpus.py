@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from typolith.llm import brown_lm, decontam, ngram_join, suffix_bwt, weak_labels, zip_warc
+from typolith.llm.bytescan import chunks
 from typolith.llm.components import components
 from typolith.llm.shared import shared_path
 
@@ -305,7 +306,7 @@ def test_language_model(spark):
         model, counts = brown_lm.fit(df.where(brown_lm.training("doc_id")), head=head, words=8, classes=6)
         got = brown_lm.score(df, model, counts).collect()
         assert model.total == total and model.types == types and len(got) == len(rows)
-        want = Counter((i, len(ts), sum(count[w] > 0 for w in ts), round(sum(math.log10((count[w] + 1) / ((total + 1) * (types + 1))) for w in ts), 6)) for (i, _), ts in zip(rows, tok))
+        want = Counter((i, len(ts), sum(count[w] > 0 for w in ts), round(sum(math.log10((count[w] + 1) / (total + types + 1)) for w in ts), 6)) for (i, _), ts in zip(rows, tok))
         assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
         out = [r for r in got if r.doc_id is not None and held_out(r.doc_id)]
         model_bits = sum(r.score for r in out) / sum(r.n_tokens for r in out)
@@ -336,6 +337,43 @@ def test_base_probabilities_sum_to_one(spark):
     assert math.isclose(sum(got[k] / got[5] for k in range(5)) + got[5], 1)
 
 
+def test_gain_of_a_move_is_the_change_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 9, (14, 14)).astype(float)
+    label = rng.integers(0, 5, 14)
+    one = np.eye(5)[label]
+    big = one.T @ n @ one
+    for v in range(14):
+        for b in range(5):
+            new = label.copy()
+            new[v] = b
+            to = np.eye(5)[new]
+            want = brown_lm.likelihood(to.T @ n @ to) - brown_lm.likelihood(big)
+            got = brown_lm.move_gain(big, (n[v] @ one)[None], (n[:, v] @ one)[None], n[v, v][None], label[[v]], np.array([b]))
+            assert math.isclose(got[0], want, abs_tol=1e-7)
+
+
+def test_neighbours_and_exchange_over_the_table(spark):
+    rows = lm_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = brown_lm.word_counts(df).cache()
+    u = brown_lm.frequent(counts, 400_000, 8, tokens=3000)
+    table = brown_lm.neighbours(df, u)
+    want = np.zeros((u.n, u.n))
+    for _, t in rows:
+        c = next(chunks(pa.array([t], pa.string())))
+        seq = [u.n - 1, *brown_lm._sequence(c, u)[3]]
+        for a, b in zip(seq, seq[1:]):
+            want[a, b] += 1
+    assert (brown_lm.between(table, [np.arange(u.n)], u.n)[0] == want).all()
+    label = np.arange(u.n) % 5
+    label[-1] = 5
+    new, big = brown_lm.climb(table, label, 6)
+    one = np.eye(6)[new]
+    assert (one.T @ want @ one == big).all() and new[-1] == 5
+    assert brown_lm.likelihood(big) > brown_lm.likelihood(np.eye(6)[label].T @ want @ np.eye(6)[label])
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(0)
     own = np.arange(12) % 3

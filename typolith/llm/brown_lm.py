@@ -2,11 +2,11 @@
 
 Tokens: words, lower-cased A-Z, then one end of text.  Training counts of all tokens are
 a table keyed by word (64-bit hash).  Words that train ``least`` times are units of their
-own, so the units grow with the corpus; every rarer word belongs to the unit of its shape
-(length, ending, letters beyond ASCII).  Exchange clustering moves units between classes
-while the likelihood of the class bigrams rises: one at a time for the first ``seeds`` words
-and the shapes, then for all units over a table of unit bigrams, to convergence.
-So each word has a class.  The probability of a token is that of its class after
+own, up to the ``head`` most frequent, so the units grow with the corpus and their broadcast
+is bounded; every other word belongs to the unit of its shape (length, ending, letters
+beyond ASCII).  Exchange clustering moves units between classes while the likelihood of the
+class bigrams rises: one at a time for the first ``seeds`` words and the shapes, then for
+all units, in rounds over a table of unit bigrams, to convergence.  So each word has a class.  The probability of a token is that of its class after
 the class before it (add-``alpha``) times that of the word in its class (add-``delta``,
 with one unknown word).
 
@@ -103,6 +103,8 @@ class Units:
     shape: np.ndarray
     unit: np.ndarray
     words: int
+    #: Tokens of the corpus.
+    tokens: int = 0
 
     def __post_init__(self) -> None:
         self.bits = max(1, int(len(self.h)).bit_length())
@@ -133,17 +135,17 @@ class Units:
         return np.where(own >= 0, own, unit)
 
 
-def frequent(counts: DataFrame, head: int, words: int | None, least: int = 50) -> Units:
-    """The words of the least count that no more than head words reach; the first ``words`` of them are units, or all words with ``least``, whatever head is."""
+def frequent(counts: DataFrame, head: int, words: int | None, least: int = 50, tokens: int = 0) -> Units:
+    """The words of the least count that no more than head words reach; the first ``words`` of them are units, or those with ``least``."""
     by_count = counts.groupBy("c").agg(F.count(F.lit(1)).alias("k"))
     # distinct counts up to c sum to at most the tokens, so these rows are few: their number grows as the root of the corpus
-    seen, low = 0, None
+    seen, low = 0, 1 << 62
     for r in by_count.orderBy(F.col("c").desc()).toLocalIterator():
         seen += r["k"]
-        if seen > head and (words is not None or r["c"] < least):
+        if seen > head:
             break
         low = r["c"]
-    top = counts.where(F.col("c") >= (low if low is not None else 1 << 62)).select("h", "c", "shape").toArrow()
+    top = counts.where(F.col("c") >= low).select("h", "c", "shape").toArrow()
     h, c, shape = (top.column(n).to_numpy().astype(np.int64) for n in ("h", "c", "shape"))
     order = np.argsort(h)
     h, c, shape = h[order], c[order], shape[order]
@@ -151,7 +153,7 @@ def frequent(counts: DataFrame, head: int, words: int | None, least: int = 50) -
         words = int((c >= least).sum())
     unit = np.full(len(h), -1, np.int32)
     unit[np.lexsort((h, -c))[:words]] = np.arange(min(words, len(h)))
-    return Units(h, c, shape, unit, words)
+    return Units(h, c, shape, unit, words, tokens)
 
 
 def _sequence(c: Chunk, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -165,75 +167,128 @@ def _sequence(c: Chunk, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return place, h, row, seq
 
 
-def neighbours(texts: DataFrame, u: Units, text_col: str = "text") -> DataFrame:
-    """Counts of adjacent units over all texts, an end before each; a row packs some units with all that stand beside them.
+_CODEC = pa.Codec("zstd")
 
-    v, side, o, n are arrays: o follows v (side 0) or goes before it (side 1) n times.
+
+def _packed(x: np.ndarray, kind: str) -> bytes:
+    """Numbers by planes of bytes, compressed; most planes are zeros."""
+    raw = np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return len(x).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def _numbers(x: pa.Scalar, kind: str) -> np.ndarray:
+    raw, width = x.as_buffer(), np.dtype(kind).itemsize
+    size = int.from_bytes(raw.slice(0, 8).to_pybytes(), "little")
+    if not size:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(_CODEC.decompress(raw.slice(8), size * width), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size).T).view(kind).ravel()
+
+
+def _counted(pair: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    p, at, inv = np.unique(np.concatenate(pair), return_index=True, return_inverse=True)
+    return p, np.bincount(inv, np.concatenate(n), len(p)).astype(np.int64)
+
+
+#: A row of the table of neighbours: for units of a bucket, what follows them (0) and what goes before (1).
+SIDES = ("0", "1")
+TABLE = "bucket int, " + ", ".join(f"v{k} binary, o{k} binary, n{k} binary" for k in SIDES)
+
+
+def neighbours(texts: DataFrame, u: Units, tokens_of_bucket: int = 1_000_000, text_col: str = "text") -> DataFrame:
+    """Counts of adjacent units over all texts, an end before each, packed by bucket of units.
+
+    Unit v is in bucket v % buckets; o0 follows v0 n0 times, o1 goes before v1 n1 times, each sorted by v and o.
+    Buckets follow the tokens, so a row stays about as large; a hot unit has at most as many neighbours as there are units.
     """
     n = u.n
+    buckets = max(24, int(u.tokens // tokens_of_bucket))
     shared = texts.sparkSession.sparkContext.broadcast(u)
-    kinds = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+    kinds = pa.schema([("bucket", pa.int32()), ("side", pa.int8()), *((x, pa.binary()) for x in "von")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            pair, c = (np.concatenate(x) for x in zip(*held))
-            p, inv = np.unique(pair, return_inverse=True)
-            return p, np.bincount(inv, c, len(p)).astype(np.int64)
+        def flush() -> Iterator[pa.RecordBatch]:
+            before, after = (np.concatenate(x) for x in zip(*held))
+            for side, (v, o) in enumerate(((before, after), (after, before))):
+                key, times = np.unique((v % buckets) * (n * n) + v * n + o, return_counts=True)
+                bucket, pair = key // (n * n), key % (n * n)
+                edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+                rows = [(int(bucket[x]), _packed(pair[x:y] // n, "<i4"), _packed(pair[x:y] % n, "<i4"), _packed(times[x:y], "<i8")) for x, y in zip(edge[:-1], edge[1:])]
+                for lo in range(0, len(rows), 64):
+                    part = list(zip(*rows[lo : lo + 64]))
+                    yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array([side] * len(part[0]), pa.int8()), *(pa.array(x, pa.binary()) for x in part[1:])], schema=kinds)
 
         for batch in batches:
             for c in chunks(batch.column(0)):
-                seq = _sequence(c, shared.value)[3]
-                held.append(np.unique(np.concatenate([[n - 1], seq[:-1]]) * n + seq, return_counts=True))
-                size += len(held[-1][0])
+                seq = _sequence(c, shared.value)[3].astype(np.int64)
+                held.append((np.concatenate([[n - 1], seq[:-1]]), seq))
+                size += len(seq)
                 if size > HELD:
-                    held = [merged()]
-                    size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], schema=kinds)
-                        held, size = [], 0
+                    yield from flush()
+                    held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], schema=kinds)
+            yield from flush()
 
-    def pack(key: tuple, part: pa.Table) -> pa.Table:
-        v, side, o, c = (part.column(x).to_numpy() for x in ("v", "side", "o", "n"))
-        order = np.lexsort((o, side, v))
-        got = {"v": v.astype(np.int32), "side": side.astype(np.int8), "o": o.astype(np.int32), "n": c.astype(np.int64)}
-        return pa.table({k: pa.array([x[order].tobytes()], pa.binary()) for k, x in got.items()})
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(bucket: int, held: list[list]) -> pa.RecordBatch:
+            out = []
+            for part in held:
+                pair, times = _counted(*zip(*part)) if part else (np.zeros(0, np.int64),) * 2
+                out += [_packed(pair // n, "<i4"), _packed(pair % n, "<i4"), _packed(times, "<i8")]
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in out)], names=["bucket", *(f"{x}{k}" for k in SIDES for x in "von")])
 
-    pairs = texts.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    a, b = F.expr(f"pair div {n}"), F.expr(f"pair % {n}")
-    each = pairs.select("n", F.inline(F.array(F.struct(a.alias("v"), F.lit(0).alias("side"), b.alias("o")), F.struct(b.alias("v"), F.lit(1).alias("side"), a.alias("o")))))
-    # about as many units in a row at any size of the corpus
-    each = each.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(max(24, n // 2000))))
-    return cut(each.groupBy("bucket").applyInArrow(pack, "v binary, side binary, o binary, n binary"), "lm-pairs")
+        now, held, size = None, [[], []], [0, 0]
+        for batch in batches:
+            for k, bucket, side in zip(range(batch.num_rows), batch.column("bucket").to_pylist(), batch.column("side").to_pylist()):
+                if now is not None and bucket != now:
+                    yield row(now, held)
+                    held, size = [[], []], [0, 0]
+                now = bucket
+                v, o, times = (_numbers(batch.column(x)[k], t) for x, t in (("v", "<i4"), ("o", "<i4"), ("n", "<i8")))
+                held[side].append((v.astype(np.int64) * n + o, times))
+                size[side] += len(v)
+                if size[side] > 4 * HELD:
+                    held[side] = [_counted(*zip(*held[side]))]
+                    size[side] = len(held[side][0][0])
+        if now is not None:
+            yield row(now, held)
+
+    dealt = texts.select(text_col).mapInArrow(deal, "bucket int, side byte, v binary, o binary, n binary")
+    table = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, TABLE)
+    out = cut(table, "lm-pairs")
+    shared.unpersist()
+    return out
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    for batch in batches:
-        for row in zip(*(batch.column(k) for k in ("v", "side", "o", "n"))):
-            yield tuple(np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.int32, np.int8, np.int32, np.int64)))
+def _unpacked(batch: pa.RecordBatch, k: int, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(_numbers(batch.column(f"{x}{side}")[k], t) for x, t in (("v", "<i4"), ("o", "<i4"), ("n", "<i8")))
 
 
-def between(table: DataFrame, label: np.ndarray, classes: int) -> np.ndarray:
-    """Counts of adjacent classes."""
-    shared = table.sparkSession.sparkContext.broadcast(label)
+def between(table: DataFrame, labels: list[np.ndarray], classes: int) -> np.ndarray:
+    """Counts of adjacent classes for each of the labellings, in one pass."""
+    shared = table.sparkSession.sparkContext.broadcast(labels)
+    cells = classes * classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, lab = np.zeros(classes * classes), shared.value
-        for v, side, o, n in _unpacked(batches):
-            on = side == 0
-            total += np.bincount(lab[v[on]] * classes + lab[o[on]], n[on], classes * classes)
+        held = shared.value
+        total = np.zeros((len(held), cells))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                v, o, n = _unpacked(batch, k, "0")
+                for j, lab in enumerate(held):
+                    total[j] += np.bincount(lab[v].astype(np.int64) * classes + lab[o], n, cells)
+        total = total.ravel()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["pair", "n"])
 
-    made = table.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(classes * classes)
+    made = table.select("v0", "o0", "n0").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(labels) * cells)
     out[made.column("pair").to_numpy()] = made.column("n").to_numpy()
     shared.unpersist()
-    return out.reshape(classes, classes)
+    return out.reshape(len(labels), classes, classes)
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -241,8 +296,8 @@ def _f(x: np.ndarray) -> np.ndarray:
 
 
 def likelihood(big: np.ndarray) -> float:
-    """Log likelihood of class bigrams, but for what no exchange changes."""
-    return float(_f(big).sum() - _f(big.sum(axis=1)).sum() - _f(big.sum(axis=0)).sum())
+    """Log likelihood of class bigrams over that of the classes apart, but for what no exchange changes."""
+    return float(_f(big).sum() - _f(big.sum(axis=1)).sum() - _f(big.sum(axis=0)).sum() + _f(big.sum()))
 
 
 def least_gain(big: np.ndarray) -> float:
@@ -250,90 +305,109 @@ def least_gain(big: np.ndarray) -> float:
     return 1e-9 + 1e-13 * float(_f(big.sum()))
 
 
-def best_moves(big: np.ndarray, r: np.ndarray, l: np.ndarray, own: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The best class of each unit while the others stay, and what the move there gains.
+def move_gain(big: np.ndarray, r: np.ndarray, l: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What the likelihood gains if one unit moves from class a to b while the others stay, for each unit.
 
     r and l: counts of the unit before and after each class, itself among class a; own: of the unit before itself.
     """
-    at, classes = np.arange(len(a)), len(big)
+    k, classes = np.arange(len(a)), len(big)
     r, l = r.copy(), l.copy()
-    r[at, a] -= own
-    l[at, a] -= own
-    m = np.repeat(big[None], len(a), axis=0)
-    m[at, a] -= r
-    m[at, :, a] -= l
-    m[at, a, a] -= own
-    fm = np.repeat(_f(big)[None], len(a), axis=0)
-    fm[at, a] = _f(m[at, a])
-    fm[at, :, a] = _f(m[at, :, a])
-    gain = (_f(m + r[:, None, :]) - fm).sum(axis=2) + (_f(m + l[:, :, None]) - fm).sum(axis=1)
-    d, o = np.einsum("kcc->kc", m), own[:, None]
-    rows, cols = m.sum(axis=2) + l, m.sum(axis=1) + r
-    gain += _f(d + r + l + o) + _f(d) - _f(d + r) - _f(d + l)
-    gain -= _f(rows + r.sum(axis=1)[:, None] + o) - _f(rows) + _f(cols + l.sum(axis=1)[:, None] + o) - _f(cols)
-    gain[:, classes - 1] = -np.inf
-    b = gain.argmax(axis=1)
-    return b, gain[at, b] - gain[at, a]
-
-
-def proposals(table: DataFrame, label: np.ndarray, big: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units that gain by a move, their best classes and the gains."""
+    r[k, a] -= own
+    l[k, a] -= own
+    # rows and columns of both classes; the four cells where they cross are counted by the rows
+    ra, rb, ca, cb = big[a], big[b], big[:, a].T, big[:, b].T
+    ra2, rb2, ca2, cb2 = ra - r, rb + r, ca - l, cb + l
+    ra2[k, a] -= l[k, a] + own
+    ra2[k, b] += l[k, a]
+    rb2[k, a] -= l[k, b]
+    rb2[k, b] += l[k, b] + own
+    other = np.ones((len(a), classes), bool)
+    other[k, a] = other[k, b] = False
+    gain = (_f(ra2) - _f(ra) + _f(rb2) - _f(rb)).sum(axis=1) + (np.where(other, _f(ca2) - _f(ca) + _f(cb2) - _f(cb), 0.0)).sum(axis=1)
+    rows, cols = big.sum(axis=1), big.sum(axis=0)
+    out, into = r.sum(axis=1) + own, l.sum(axis=1) + own
+    gain -= _f(rows[a] - out) - _f(rows[a]) + _f(rows[b] + out) - _f(rows[b])
+    gain -= _f(cols[a] - into) - _f(cols[a]) + _f(cols[b] + into) - _f(cols[b])
+    return np.where(a == b, 0.0, gain)
+
+
+def best_moves(big: np.ndarray, r: np.ndarray, l: np.ndarray, own: np.ndarray, a: np.ndarray, tried: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """A better class for each unit while the others stay, and what the move there gains.
+
+    The first derivative of the gain ranks the classes; the gain itself is taken for the ``tried`` first.
+    """
+    classes = len(big)
+    some = big + 0.5
+    rows, cols = np.log(some.sum(axis=1)), np.log(some.sum(axis=0))
+    slope = r @ (np.log(some) - rows[:, None]).T + l @ (np.log(some) - cols[None, :])
+    slope[:, classes - 1] = -np.inf
+    best, at = a.copy(), np.arange(len(a))
+    most = np.zeros(len(a))
+    for _ in range(min(tried, classes - 1)):
+        b = slope.argmax(axis=1)
+        slope[at, b] = -np.inf
+        gain = move_gain(big, r, l, own, a, b)
+        best, most = np.where(gain > most, b, best), np.maximum(gain, most)
+    return best, most
+
+
+def proposals(table: DataFrame, label: np.ndarray, big: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Units that gain by a move, those that gain most first, and the classes they go to."""
     classes, end, least = len(big), len(label) - 1, least_gain(big)
     shared = table.sparkSession.sparkContext.broadcast((label, big))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lab, whole = shared.value
-        for v, side, o, n in _unpacked(batches):
-            units, start = np.unique(v, return_index=True)
-            start = np.append(start, len(v))
-            for lo in range(0, len(units), 64):
-                some = units[lo : lo + 64]
-                k = len(some)
-                part = slice(start[lo], start[lo + k])
-                at = np.searchsorted(some, v[part])
-                both = np.bincount((side[part] * k + at) * classes + lab[o[part]], n[part], 2 * k * classes).reshape(2, k, classes)
-                self_ = (v[part] == o[part]) & (side[part] == 0)
-                own = np.bincount(at[self_], n[part][self_], k)
-                b, gain = best_moves(whole, both[0], both[1], own, lab[some])
-                on = (gain > least) & (some != end)
-                yield pa.RecordBatch.from_arrays([pa.array(some[on].astype(np.int64)), pa.array(b[on]), pa.array(gain[on])], names=["v", "b", "gain"])
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sides = [_unpacked(batch, k, side) for side in SIDES]
+                units = np.unique(np.concatenate([s[0] for s in sides]))
+                both = []
+                for v, o, n in sides:
+                    # v is sorted: the place of each unit is the number of changes before
+                    place = np.searchsorted(units, v[np.flatnonzero(np.diff(v, prepend=-1))]) if len(v) else np.zeros(0, np.int64)
+                    at = np.repeat(place, np.diff(np.append(np.flatnonzero(np.diff(v, prepend=-1)), len(v))))
+                    both.append(np.bincount(at * classes + lab[o], n, len(units) * classes).reshape(len(units), classes))
+                v, o, n = sides[0]
+                own = np.bincount(np.searchsorted(units, v[v == o]), n[v == o], len(units))
+                b, gain = best_moves(whole, both[0], both[1], own, lab[units].astype(np.int64))
+                on = (gain > least) & (units != end)
+                yield pa.RecordBatch.from_arrays([pa.array(units[on].astype(np.int64)), pa.array(b[on]), pa.array(gain[on])], names=["v", "b", "gain"])
 
     made = table.mapInArrow(run, "v long, b long, gain double").toArrow()
     shared.unpersist()
     v, b, gain = (made.column(k).to_numpy() for k in ("v", "b", "gain"))
     order = np.lexsort((v, -gain))
-    return v[order], b[order], gain[order]
+    return v[order], b[order]
 
 
-def climb(table: DataFrame, label: np.ndarray, classes: int, alone: int = 1000, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def climb(table: DataFrame, label: np.ndarray, classes: int, tolerance: float = 1e-4, shares: tuple[float, ...] = (1.0, 0.5, 0.2, 0.05)) -> tuple[np.ndarray, np.ndarray]:
     """Exchange of all units over the table of neighbours, from given classes until no move gains or a round
     raises the log likelihood by less than ``tolerance`` of itself; classes and their bigrams.
 
-    Each round moves the ``alone`` units that gain most one after another, which raises the
-    likelihood; those that gain less move together, as many as raise it further.
+    In a round every unit names a better class.  Moves made together can spoil each other, so the ``shares``
+    of them that gain most are tried in one pass and the best is kept, or if none gains the first half of the least share.
     """
-    big = between(table, label, classes)
+    label = label.astype(np.int16)
+    big = between(table, [label], classes)[0]
     while True:
-        v, b, _ = proposals(table, label, big)
+        v, b = proposals(table, label, big)
         if not len(v):
             return label, big
         before = likelihood(big)
-        some = v[:alone]
-        place = len(some) + label
-        place[some] = np.arange(len(some))
-        small = exchange(between(table, place, len(some) + classes), classes, np.concatenate([label[some], np.arange(classes)]), len(some))
-        label = label.copy()
-        label[some] = small[: len(some)]
-        big = between(table, label, classes)
-        skip = alone
-        while skip < len(v):
-            new = label.copy()
-            new[v[skip:]] = b[skip:]
-            now = between(table, new, classes)
-            if likelihood(now) > likelihood(big) + least_gain(big):
-                label, big = new, now
+        tries = sorted({max(1, int(len(v) * x)) for x in shares}, reverse=True)
+        while tries:
+            made = []
+            for k in tries:
+                new = label.copy()
+                new[v[:k]] = b[:k]
+                made.append(new)
+            found = between(table, made, classes)
+            best = int(np.argmax([likelihood(x) for x in found]))
+            if likelihood(found[best]) > before:
+                label, big = made[best], found[best]
                 break
-            skip *= 2
+            tries = sorted({k // 4 for k in tries if k // 4}, reverse=True)
         if likelihood(big) - before < tolerance * abs(before):
             return label, big
 
@@ -432,16 +506,16 @@ def fit(texts: DataFrame, text_col: str = "text", head: int = 400_000, words: in
     counts = cut(word_counts(texts, text_col), "lm-counts")
     ends = texts.count()
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    u = frequent(counts, head, words, least)
+    u = frequent(counts, head, words, least, int(total) + ends)
     own = np.flatnonzero(u.unit >= 0)
-    table = neighbours(texts, u, text_col)
+    table = neighbours(texts, u, text_col=text_col)
     # units are numbered by falling counts: the first stay alone at the start, the others are with their shape
     first = min(seeds, u.words)
     coarse = np.concatenate([np.arange(u.words), first + np.arange(SHAPES + 1)])
     late = own[u.unit[own] >= first]
     coarse[u.unit[late]] = first + u.shape[late]
     coarse[max(first, len(own)) : u.words] = first
-    small = exchange(between(table, coarse, first + SHAPES + 1), classes)
+    small = exchange(between(table, [coarse], first + SHAPES + 1)[0], classes)
     label, big = climb(table, small[coarse], classes)
     after = np.log10((big + alpha) / (big.sum(axis=1, keepdims=True) + alpha * classes))
 
