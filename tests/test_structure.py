@@ -105,40 +105,84 @@ def test_dtw_against_the_table(spark):
     assert got[0, 2] == pytest.approx(slow(z[0], z[2], 3))
 
 
-OBJECTS = [3, 5, 7, 4]  # a = 1, b = 2, c = 4
-
-
-def test_concepts_of_the_toy_lattice(spark):
-    ob = spark.createDataFrame(list(enumerate(OBJECTS)), "id long, mask long")
-    got = {(r.intent, r.extent) for r in fca.concepts(ob, fca.generators(spark, 3, 3)).collect()}
-    assert got == {(0, 4), (1, 3), (4, 3), (3, 2), (5, 2), (7, 1)}
-    exact = {i: s for i, _, s in fca.exact_stability(OBJECTS, 7)}
-    assert exact[1] == 0.25 and exact[4] == 0.5 and exact[0] == 0.25
-    for r in fca.stability_bounds(fca.concepts(ob, fca.generators(spark, 3, 3)), ob, 3).collect():
-        assert r.sigma_low <= exact[r.intent] + 1e-12 and (r.intent == 7 or exact[r.intent] <= r.sigma_up + 1e-12)
-    assert fca.intent(ob.where("false"), 7).first().intent == 7
-    assert fca.extent(ob, 4).count() == 3
+def lattice(objects, full):
+    """Closed sets of attributes with the numbers of their objects, by intersecting sets of objects."""
+    out = {}
+    for chosen in range(1 << len(objects)):
+        own = full
+        for k, o in enumerate(objects):
+            if chosen >> k & 1:
+                own &= o
+        out[own] = sum(o & own == own for o in objects)
+    return out
+
+
+def subset_stability(objects, intent, full):
+    """The share of subsets of a concept's objects that have its attributes and no more in common."""
+    members = [o for o in objects if o & intent == intent]
+    hit = 0
+    for chosen in range(1 << len(members)):
+        own = full
+        for k, o in enumerate(members):
+            if chosen >> k & 1:
+                own &= o
+        hit += own == intent
+    return hit / (1 << len(members))
+
+
+def test_concepts_against_all_intersections(spark):
+    rng = np.random.default_rng(21)
+    n, full = 5, 31
+    objects = [int(x) for x in rng.integers(0, 32, 8)]
+    want = lattice(objects, full)
+    ob = spark.createDataFrame(list(enumerate(objects)), "id long, mask long")
+    found = fca.concepts(ob, fca.generators(spark, n, n))
+    got = {r.intent: r.extent for r in found.collect()}
+    assert got == {i: c for i, c in want.items() if c}
+    exact = {i: s for i, _, s in fca.exact_stability(objects, full)}
+    assert exact == {i: subset_stability(objects, i, full) for i in want}
+    for r in fca.stability_bounds(found, ob, n).collect():
+        assert r.sigma_low <= exact[r.intent] + 1e-12 and (r.intent == full or exact[r.intent] <= r.sigma_up + 1e-12)
+    assert fca.intent(ob.where("false"), full).first().intent == full
+    for a in (1, 6, 20):
+        assert fca.extent(ob, a).count() == sum(o & a == a for o in objects)
 
 
 def test_readable_drops_what_is_implied(spark):
-    df = spark.createDataFrame([(0b0011,), (0b1100,), (0b0110,)], "m long")
-    assert [r.r for r in df.select(fca.readable(F.col("m"), 1).alias("r")).collect()] == [0b0001, 0b1000, 0b0110]
+    # of two features' four levels each: the lowest quarter implies the lower half, the highest the upper
+    masks = list(range(256))
+    want = [m & ~(2 * (m & 0b00010001)) & ~((m & 0b10001000) >> 1) for m in masks]
+    df = spark.createDataFrame([(m,) for m in masks], "m long")
+    assert [r.r for r in df.select("m", fca.readable(F.col("m"), 2).alias("r")).orderBy("m").collect()] == want
 
 
 def test_patterns(spark):
-    rows = [(3, 2, 1), (30, 20, 10), (0.9, 0.5, 0.1), (2, 1, 3), (5, 4, 9), (2, 2, 1)]
-    df = spark.createDataFrame([tuple(map(float, r)) for r in rows], "a double, b double, c double").withColumn("code", patterns.codes(["a", "b", "c"]))
-    got = patterns.clusters(df).select("a", "cluster", patterns.text(F.col("code"), ["a", "b", "c"]).alias("t")).collect()
-    assert {(r.a, r.cluster) for r in got} == {(3.0, 0), (30.0, 0), (0.9, 0), (2.0, 1), (5.0, 1), (2.0, 2)}
-    assert {r.t for r in got} == {"a > b > c", "c > a > b", "a = b > c"}
-    one = spark.createDataFrame([(1.0, 1.04, 0.5)], "a double, b double, c double")
-    assert one.select(patterns.codes(["a", "b", "c"], "all", 0.05).alias("x")).first().x == [0, 1, 1]
-    assert one.select(patterns.codes(["a", "b", "c"], "adjacent").alias("x")).first().x == [-1, 1]
+    rng = np.random.default_rng(22)
+    rows = [tuple(float(v) for v in r) for r in rng.integers(1, 4, (40, 3))]
+    df = spark.createDataFrame(rows, "x double, y double, z double").withColumn("code", patterns.codes(["x", "y", "z"]))
+    sign = lambda v: (v > 0) - (v < 0)
+    code = lambda r: (sign(r[0] - r[1]), sign(r[0] - r[2]), sign(r[1] - r[2]))
+    got = patterns.clusters(df).select("x", "y", "z", "code", "cluster", patterns.text(F.col("code"), ["x", "y", "z"]).alias("t")).collect()
+    size = {c: sum(code(r) == c for r in rows) for c in {code(r) for r in rows}}
+    number = {c: k for k, c in enumerate(sorted(size, key=lambda c: (-size[c], c)))}
+    for r in got:
+        own = (r.x, r.y, r.z)
+        assert tuple(r.code) == code(own) and r.cluster == number[code(own)]
+        # names by falling values, equal ones joined by a sign of equality
+        names = sorted("xyz", key=lambda c: (-own["xyz".index(c)], c))
+        want = names[0] + "".join((" = " if own["xyz".index(p)] == own["xyz".index(q)] else " > ") + q for p, q in zip(names, names[1:]))
+        assert r.t == want
+    near = spark.createDataFrame([(7.0, 7.04, 2.0)], "x double, y double, z double")
+    assert near.select(patterns.codes(["x", "y", "z"], "all", 0.05).alias("v")).first().v == [0, 1, 1]
+    assert near.select(patterns.codes(["x", "y", "z"], "adjacent").alias("v")).first().v == [-1, 1]
 
 
 def test_pattern_merge_joins_the_nearest():
-    out = patterns.merge([([1, 1, 1], 5, [5.0]), ([1, 1, 0], 5, [5.1]), ([-1, -1, -1], 5, [0.0])], 2)
-    assert out[3] == [0, 1, 2] and out[2] == [0, 0, 1]
+    # the second and the fourth differ in one place and lie close; the others differ in more
+    rows = [([1, 1, -1, 1], 4, [9.0]), ([-1, 1, 1, 0], 6, [2.0]), ([-1, -1, -1, -1], 3, [0.0]), ([-1, 1, 1, 1], 6, [2.2])]
+    out = patterns.merge(rows, 3)
+    same = {(a, b) for a in range(4) for b in range(a) if out[3][a] == out[3][b]}
+    assert same == {(3, 1)}
 
 
 def test_mirkin_sums_to_the_explained_share(spark):
