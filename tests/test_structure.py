@@ -254,7 +254,7 @@ def test_methods_search_as_long_as_their_operators(monkeypatch):
 def test_jobs_of_kmeans_and_mixture(spark):
     x, y = blobs(3, 40)
     v = vectors(spark, x)
-    for found in (methods.kmeans(v, 3, [1, 2]), methods.gmm_diagonal(v, 3, rounds=5)):
+    for found in (methods.kmeans(v, 3, [1, 2]), methods.gmm_diagonal(v, 3)):
         assert rand_index(np.array([r.label for r in found.orderBy("id").collect()]), y) == 1.0
 
 
@@ -320,3 +320,36 @@ def test_stability_covers_the_whole_period_and_four_years(spark, monkeypatch):
     rows = meaning.bootstrap_stability(spark, "/root/testdata/sf0.001").collect()
     assert asked == [("kefrin", 7, 100)] + 4 * [("kefrin", 7, 10)]
     assert {r.period for r in rows} == {"all", "1995", "1997", "1999", "2001"}
+
+
+def test_ward_joins_what_adds_least():
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(40, 3))
+    for k in (2, 5, 11):
+        groups = [[i] for i in range(len(x))]
+        while len(groups) > k:
+            def cost(a, b):
+                p, q = x[a], x[b]
+                return len(a) * len(b) / (len(a) + len(b)) * ((p.mean(axis=0) - q.mean(axis=0)) ** 2).sum()
+
+            i, j = min(((i, j) for i in range(len(groups)) for j in range(i)), key=lambda t: cost(groups[t[0]], groups[t[1]]))
+            groups[j] += groups.pop(i)
+        want = np.zeros(len(x), int)
+        for c, g in enumerate(sorted(groups, key=min)):
+            want[g] = c
+        assert (methods.ward(x, k) == want).all()
+
+
+def test_mixture_climbs_to_a_standstill(spark):
+    x, _ = blobs(2, 50, 2, seed=9)
+    x[:50] *= 0.4
+    rows = vectors(spark, x)
+    got = {r.id: (r.label, r.p) for r in methods.gmm_diagonal(rows, 2, tolerance=1e-9).collect()}
+    lab = np.array([got[i][0] for i in range(len(x))])
+    # one more round by hand from the hard labels' neighbourhood changes no label
+    r = np.stack([np.where(lab == j, [got[i][1] for i in range(len(x))], 1 - np.array([got[i][1] for i in range(len(x))])) for j in range(2)], axis=1)
+    n = r.sum(axis=0)
+    mean = r.T @ x / n[:, None]
+    var = r.T @ (x * x) / n[:, None] - mean**2 + 1e-6
+    new, _ = methods._densities(x, n / n.sum(), mean, var)
+    assert np.allclose(new, r, atol=1e-4)

@@ -7,11 +7,12 @@ a period's entities; periods and numbers of clusters run in parallel.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,59 +22,161 @@ LABELS = "period int, k int, id long, label int"
 # -- jobs ------------------------------------------------------------------
 
 
-def kmeans(df: DataFrame, k: int, seeds: Sequence[int] = range(20)) -> DataFrame:
-    """(id, label): the run of least cost among seeds."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _passes(df: DataFrame) -> Callable[[Callable[[np.ndarray], np.ndarray], int], np.ndarray]:
+    """What adds up fn(matrix of a batch's vectors), an array of so many numbers, over all rows: one job a call."""
+    rows = df.select("vec")
 
-    data = df.select("id", array_to_vector("vec").alias("features"))
-    best = min((KMeans(k=k, seed=s, maxIter=300).fit(data) for s in seeds), key=lambda m: m.summary.trainingCost)
-    return best.transform(data).select("id", F.col("prediction").alias("label"))
+    def total(fn: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(size)
+            for b in batches:
+                if b.num_rows:
+                    held += fn(matrix(b.column("vec")))
+            at = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["at", "x"])
 
+        got = rows.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        out = np.zeros(size)
+        out[got.column("at").to_numpy()] = got.column("x").to_numpy()
+        return out
 
-def gmm_diagonal(df: DataFrame, k: int, rounds: int | None = None, seed: int = 42, floor: float = 1e-6, starts: int = 5) -> DataFrame:
-    """(id, label, p) of a mixture with diagonal covariances: the most likely of some starts, each until the likelihood stands still, or for ``rounds``.
+    return total
 
-    Each round is one aggregate over rows and components.
+
+def matrix(vec: pa.Array) -> np.ndarray:
+    """A column of equally long vectors."""
+    return vec.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vec), -1)
+
+
+def _named(df: DataFrame, fn: Callable[[np.ndarray], tuple[np.ndarray, ...]], schema: str) -> DataFrame:
+    """(id, ...): the columns that fn makes of each row's vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                made = fn(matrix(b.column("vec")))
+                yield pa.RecordBatch.from_arrays([b.column("id"), *map(pa.array, made)], names=["id", *(x.split()[0] for x in schema.split(", "))])
+
+    return df.select("id", "vec").mapInArrow(run, f"id {dict(df.dtypes)['id']}, {schema}")
+
+
+def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of rows from centres."""
+    return ((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)[None, :]).clip(0)
+
+
+def _starts(df: DataFrame, k: int, seeds: Sequence[int], sample: int) -> np.ndarray:
+    """First centres for each seed, drawn by distance from ``sample`` rows, the first by a hash of the id."""
+    some = df.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toArrow().column("vec").combine_chunks()
+    x, out = matrix(some), []
+    for s in seeds:
+        rng = np.random.default_rng(s)
+        pick = [int(rng.integers(len(x)))]
+        near = _squares(x, x[pick])[:, 0]
+        while len(pick) < k:
+            pick.append(int(rng.choice(len(x), p=near / near.sum())) if near.sum() > 0 else int(rng.integers(len(x))))
+            near = np.minimum(near, _squares(x, x[pick[-1:]])[:, 0])
+        out.append(x[pick])
+    return np.stack(out)
+
+
+def _lloyd(total, start: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and cost of all starts, each until its centres stand still; a pass serves all of them."""
+    centres = start.copy()
+    cost, live = np.full(len(start), np.inf), np.arange(len(start))
+    k, d = start.shape[1:]
+    for _ in range(rounds):
+        now = centres[live]
+
+        def sums(x: np.ndarray, now=now) -> np.ndarray:
+            out = np.zeros((len(now), k * (d + 1) + 1))
+            for s, c in enumerate(now):
+                gap = _squares(x, c)
+                one = np.eye(k)[gap.argmin(axis=1)]
+                out[s, : k * d] = (one.T @ x).ravel()
+                out[s, k * d : -1], out[s, -1] = one.sum(axis=0), gap.min(axis=1).sum()
+            return out.ravel()
+
+        got = total(sums, len(live) * (k * (d + 1) + 1)).reshape(len(live), -1)
+        n = got[:, k * d : -1, None]
+        new = np.where(n > 0, got[:, : k * d].reshape(-1, k, d) / np.maximum(n, 1), now)
+        cost[live], centres[live] = got[:, -1], new
+        live = live[~np.isclose(new, now, rtol=1e-9, atol=1e-9).all(axis=(1, 2))]
+        if not len(live):
+            break
+    return centres, cost
+
+
+def kmeans(df: DataFrame, k: int, seeds: Sequence[int] = range(20), rounds: int = 300, sample: int = 5000) -> DataFrame:
+    """(id, label): the run of least cost among seeds; each round is one pass for all of them."""
+    df = df.select("id", "vec").persist()
+    if df.isEmpty():
+        return df.select("id", F.lit(0).alias("label"))
+    centres, cost = _lloyd(_passes(df), _starts(df, k, seeds, sample), rounds)
+    best = centres[int(np.argmin(cost))]
+    return _named(df, lambda x: (_squares(x, best).argmin(axis=1).astype(np.int32),), "label int")
+
+
+def _densities(x: np.ndarray, pi: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of each component, and log likelihood, of each row."""
+    inv = 1 / var
+    quad = (x * x) @ inv.T - 2 * x @ (mean * inv).T + (mean * mean * inv).sum(axis=1)
+    l = np.log(np.maximum(pi, 1e-300)) - 0.5 * np.log(2 * np.pi * var).sum(axis=1) - 0.5 * quad
+    top = l.max(axis=1, keepdims=True)
+    ll = top[:, 0] + np.log(np.exp(l - top).sum(axis=1))
+    return np.exp(l - ll[:, None]), ll
+
+
+def gmm_diagonal(df: DataFrame, k: int, rounds: int | None = None, seed: int = 42, floor: float = 1e-6, starts: int = 5, tolerance: float = 1e-3, sample: int = 5000) -> DataFrame:
+    """(id, label, p) of a mixture with diagonal covariances: the most likely of some starts, each until the mean
+    log likelihood of a row rises by less than ``tolerance``, or for ``rounds``.
+
+    Starts are k-means runs of one seed each; a round is one pass for all starts.
     """
-    return max((_gmm(df, k, rounds, seed + s, floor) for s in range(starts)), key=lambda x: x[1])[0]
-
-
-def _gmm(df: DataFrame, k: int, rounds: int | None, seed: int, floor: float) -> tuple[DataFrame, float]:
-    """The mixture from one start, and the mean log likelihood of a row."""
-    d = len(df.select("vec").first()["vec"])
-    start = kmeans(df, k, [seed])
-    rows = df.select("id", "vec").join(start, "id").select("id", "vec", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (j == F.col("label")).cast("double")).alias("r"))
-
-    def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        one = rows.select("vec", F.posexplode("r").alias("j", "w")).where("w > 1e-12")
-        x = one.select("j", "w", F.posexplode("vec").alias("f", "x"))
-        got = x.groupBy("j", "f").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("x")).alias("s"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("q")).collect()  # k x d rows
-        n, s, q = np.full((k, d), 1e-9), np.zeros((k, d)), np.zeros((k, d))
-        for r in got:
-            n[r["j"], r["f"]], s[r["j"], r["f"]], q[r["j"], r["f"]] = r["n"], r["s"], r["q"]
-        mean = s / n
-        return n[:, 0] / n[:, 0].sum(), mean, np.maximum(q / n - mean * mean, 0) + floor
-
-    base = df.select("id", "vec")
-    last = -np.inf
+    df = df.select("id", "vec").persist()
+    if df.isEmpty():
+        return df.select("id", F.lit(0).alias("label"), F.lit(1.0).alias("p"))
+    total = _passes(df)
+    centres, _ = _lloyd(total, _starts(df, k, range(seed, seed + starts), sample), 300)
+    d = centres.shape[2]
+    width = k * (2 * d + 1) + 2
+
+    def moments(weigh: Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray]], live: np.ndarray) -> np.ndarray:
+        def sums(x: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(live), width))
+            for j, s in enumerate(live):
+                r, ll = weigh(int(s), x)
+                out[j, :k], out[j, k : k + k * d], out[j, k + k * d : -2] = r.sum(axis=0), (r.T @ x).ravel(), (r.T @ (x * x)).ravel()
+                out[j, -2:] = ll.sum(), len(x)
+            return out.ravel()
+
+        return total(sums, len(live) * width).reshape(len(live), width)
+
+    def model(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = row[:k, None] + 1e-9
+        mean = row[k : k + k * d].reshape(k, d) / n
+        return row[:k] / row[:k].sum(), mean, np.maximum(row[k + k * d : -2].reshape(k, d) / n - mean * mean, 0) + floor
+
+    live = np.arange(starts)
+    got = moments(lambda s, x: (np.eye(k)[_squares(x, centres[s]).argmin(axis=1)], np.zeros(1)), live)
+    models, seen = [model(r) for r in got], np.full(starts, -np.inf)
     for _ in count() if rounds is None else range(rounds):
-        pi, mean, var = moments(rows)
-        parts = []
-        for j in range(k):
-            const = float(np.log(pi[j]) - 0.5 * np.log(2 * np.pi * var[j]).sum())
-            gap = F.zip_with("vec", F.array(*map(F.lit, mean[j].tolist())), lambda x, m: (x - m) * (x - m))
-            quad = F.aggregate(F.zip_with(gap, F.array(*map(F.lit, var[j].tolist())), lambda g, v: g / v), F.lit(0.0), lambda a, x: a + x)
-            parts.append(const - 0.5 * quad)
-        scored = base.withColumn("l", F.array(*parts)).withColumn("top", F.array_max("l"))
-        total = F.aggregate(F.transform("l", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
-        scored = scored.withColumn("ll", F.col("top") + F.log(total))
-        rows = scored.select("id", "vec", "ll", F.transform("l", lambda x: F.exp(x - F.col("ll"))).alias("r"))
-        now = rows.agg(F.avg("ll")).first()[0]
-        done, last = now - last < 1e-6, now
-        if done:
+        held = list(models)
+        got = moments(lambda s, x, held=held: _densities(x, *held[s]), live)
+        ll = got[:, -2] / got[:, -1]
+        for s, row in zip(live, got):
+            models[s] = model(row)
+        still = ll - seen[live] >= tolerance
+        seen[live], live = ll, live[still]
+        if not len(live):
             break
-    return rows.select("id", (F.array_position("r", F.array_max("r")) - 1).cast("int").alias("label"), F.array_max("r").alias("p")), last
+    best = models[int(np.argmax(seen))]
+
+    def name(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r = _densities(x, *best)[0]
+        return r.argmax(axis=1).astype(np.int32), r.max(axis=1)
+
+    return _named(df, name, "label int, p double")
 
 
 # -- one period ------------------------------------------------------------
@@ -100,28 +203,45 @@ def lloyd(x: np.ndarray, k: int, seed: int, n_init: int = 10, rounds: int = 300)
 
 
 def ward(x: np.ndarray, k: int) -> np.ndarray:
-    """Agglomeration that adds the least scatter each time; the first pair of equals."""
+    """Agglomeration that adds the least scatter each time, by chains of nearest neighbours; clusters are numbered by their first rows.
+
+    Two clusters that are each other's nearest join whatever else does, so a chain finds all joins in quadratic
+    time and linear memory; the cheapest n - k of them make the partition, the first found of equals.
+    """
     n = len(x)
-    size, centre = np.ones(n), x.astype(float).copy()
-    gap = ((x[:, None] - x[None]) ** 2).sum(axis=2) / 2
-    np.fill_diagonal(gap, np.inf)
-    member, alive = [[i] for i in range(n)], np.ones(n, bool)
-    for _ in range(n - k):
-        i, j = np.unravel_index(np.argmin(gap), gap.shape)
-        i, j = min(i, j), max(i, j)
-        centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / (size[i] + size[j])
-        size[i] += size[j]
-        member[i] += member[j]
-        alive[j] = False
-        gap[j], gap[:, j] = np.inf, np.inf
-        d = size[i] * size / (size[i] + size) * ((centre - centre[i]) ** 2).sum(axis=1)
-        d[~alive] = np.inf
-        d[i] = np.inf
-        gap[i], gap[:, i] = d, d
-    lab = np.zeros(n, int)
-    for c, i in enumerate(np.flatnonzero(alive)):
-        lab[member[i]] = c
-    return lab
+    size, centre, alive = np.ones(n), x.astype(float).copy(), np.ones(n, bool)
+    joins: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while len(joins) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        i = chain[-1]
+        gap = size * size[i] / (size + size[i]) * ((centre - centre[i]) ** 2).sum(axis=1)
+        gap[~alive] = np.inf
+        gap[i] = np.inf
+        j = int(np.argmin(gap))
+        if len(chain) > 1 and gap[chain[-2]] <= gap[j]:
+            j = chain[-2]
+            del chain[-2:]
+            a, b = min(i, j), max(i, j)
+            joins.append((float(gap[j]), a, b))
+            centre[a] = (size[a] * centre[a] + size[b] * centre[b]) / (size[a] + size[b])
+            size[a] += size[b]
+            alive[b] = False
+        else:
+            chain.append(j)
+    root = np.arange(n)
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = int(root[i])
+        return i
+
+    for _, a, b in sorted(joins, key=lambda t: t[0])[: max(0, n - k)]:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    return np.unique([top(i) for i in range(n)], return_inverse=True)[1]
 
 
 def spectral(a: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
