@@ -44,6 +44,72 @@ def test_articles_in_many_containers(wrap):
         assert hm.main_text(f'<html><body class="has-sidebar">{a}{wrap.format(ARTICLE)}{b}</body></html>').split("\n\n") == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<div id="side-effects"><p>The drug has some effects that are rare.</p><p>Most pass.</p></div>', ["The drug has some effects that are rare.", "Most pass."]),
+    ('<div class="post-legal-analysis"><p>The ruling was read in court.</p></div>', ["The ruling was read in court."]),
+    ("<article class='post-5 category-social tag-search'><p>Text of it.</p></article>", ["Text of it."]),
+    ("<article><p class=it's>One.</p><p title='a>b' id=x>Two here.</p><p>Three's.</p></article>", ["One.", "Two here.", "Three's."]),
+    ("<article><p>The area is <math><mi>a</mi><mo>=</mo><mn>2</mn></math> now.</p></article>", ["The area is a=2 now."]),
+    ("<div id=comments>" + "<article><p>I like this very much indeed, thanks a lot for writing it.</p></article>" * 4 + "</div><div><p>The article.</p><p>Is short here.</p></div>", ["The article.", "Is short here."]),
+    ("<div class='comment-list'>" + "<div><p>I like this very much indeed, thanks a lot for writing it.</p></div>" * 9 + "</div><div><p>The article is short.</p></div>", ["The article is short."]),
+    ("<aside class=sidebar><article><p>A teaser text that is long, a sentence.</p></article></aside><p>Main text here, of some words.</p>", ["Main text here, of some words."]),
+    ("<footer><article><p>Another teaser text, and it is long.</p></article></footer><p>Main text here, of some words.</p>", ["Main text here, of some words."]),
+    ("<form class='modal-open'><div class='content-sidebar-wrap'><main><p>All of the page's words are in here.</p></main><div class=sidebar><p>Not these.</p></div></div></form>", ["All of the page's words are in here."]),
+    ("<article><p>Terms of the book were read out.</p><p>All rights reserved.</p></article>", ["Terms of the book were read out.", "All rights reserved."]),
+    ("<p>Text <!-- a > b --!> goes on.</p><script>if (a</b) '</scripty>'</script ><p>And ends here.</p>", ["Text goes on.", "And ends here."]),
+])
+def test_names_and_markup_that_mislead(page, want):
+    assert [x for x in hm.main_text(page).split("\n\n") if x] == want
+
+
+def labels(page):
+    found, elements = hm.blocks(page)
+    odds = hm.log_odds(found, elements)
+    keep = hm.min_cut(odds, hm.edges(found, elements))
+    return [(b[0], u >= 0, k) for b, u, k in zip(found, odds, keep, strict=True)]
+
+
+def test_the_cut_decides_where_containers_say_nothing():
+    say = "<p>A paragraph that has quite a few words in it, as they do.</p>"
+    inner = f"<div>{say}<p>So be it</p>{say}<ul><li>first</li><li>second</li></ul>{say}</div>"
+    links = "<div><a href=a>One</a></div><div><a href=b>Two of them</a></div><div>More</div><div><a href=c>Three</a></div>"
+    got = labels(links + inner + links)
+    changed = {t for t, classifier, cut in got if classifier != cut}
+    assert {"So be it", "first", "second"} <= changed
+    assert [t for t, _, cut in got if cut] == [x[0] for x in hm.blocks(inner)[0]]
+
+
+def brute_labels(odds, pairs):
+    best = min(product([True, False], repeat=len(odds)), key=lambda x: sum(max(v, 0) if not k else max(-v, 0) for v, k in zip(odds, x)) + sum(w for i, j, w in pairs if x[i] != x[j]))
+    return list(best)
+
+
+def test_extraction_takes_the_least_of_all_labellings():
+    rng = np.random.default_rng(8)
+    pieces = ["<p>One more line of words, which is longer.</p>", "<p>Short</p>", "<li>item</li>", "<div><a href=x>link text</a></div>", "<h2>Head</h2>", "<div class=ad>Buy.</div>", "<section><p>Said so.</p></section>", "<td>cell</td>"]
+    flipped = 0
+    for _ in range(60):
+        page = "".join(rng.choice(pieces, 9))
+        found, elements = hm.blocks(page)
+        odds = hm.log_odds(found, elements)
+        want = brute_labels(odds, hm.edges(found, elements))
+        assert hm.main_text(page) == "\n\n".join(b[0] for b, k in zip(found, want, strict=True) if k)
+        flipped += sum((u >= 0) != k for u, k in zip(odds, want, strict=True))
+    assert flipped > 60
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    for make in (lambda n: "<div>some text." * n, lambda n: "<ul><li>" + "<div>" * n + "x</li>" * n, lambda n: "<p><i>" + "<b>" * n + "x</i>" * n, lambda n: '<a b="' * n, lambda n: "<!--" * n + "<" * n, lambda n: "<p>" + "</div>" * n):
+        took = []
+        for n in (5_000, 20_000):
+            began = time.thread_time()
+            hm.main_text(make(n))
+            took.append(time.thread_time() - began)
+        assert took[1] < 12 * took[0] + 0.2
+
+
 def test_cut_is_minimal():
     rng = np.random.default_rng(0)
     for _ in range(150):

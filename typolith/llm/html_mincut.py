@@ -8,15 +8,23 @@ Neighbours in page order, and neighbours under one parent, are joined by smoothn
 edges whose capacity falls with the tree distance of the two.  The minimum cut, found by
 maximum flow, separates content from boilerplate, and the content blocks are the text.
 
+A container that names itself (``nav``, ``class="sidebar"``) outweighs any smoothness;
+one whose name merely has such a word in it (``class="side-effects"``) is weak evidence.
+Where containers say little, length, links and the cut decide.  Of containers that hold the
+page's largest article, or nearly all its words, those that only wrap (header, form, modal)
+don't count, comments, asides and footers do.
+
 Blocks whose terminal capacity outweighs all their edges are labelled first and folded
-into their neighbours, which leaves the cut the same.  Null, empty and text-free pages
+into their neighbours, which leaves the cut the same.  Time and memory are linear in the
+page up to the flow, however deep its tags are nested.  Null, empty and text-free pages
 have an empty text.  A page's text depends on its html alone, so repeated rows agree.
+Other columns pass unchanged; those named text or n_chars are replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 from math import log1p
@@ -26,66 +34,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"(class|id|role|style|aria-hidden|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# a quote opens a value only where the value begins
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
+ATTR = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?+|'([^']*+)'?+|([^\s>]++)))?+")
+NAMED = re.compile(r"class|id|role|style|hidden", re.I)
 
 #: Whose contents are no text of the page, up to their end tag.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "select", "button", "audio", "video"}
-RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "annotation", "annotation-xml", "canvas", "object", "select", "button", "audio", "video"}
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "picture", "map", "area", "source", "embed", "param", "track"}
+#: Formulas stay in the line of text.
+INLINE |= {"math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "mfenced", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd", "maction", "semantics"}
 #: Start tags that end an open element of the given kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 
-BAD_TAGS = {"nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "menu": -6.0, "dialog": -6.0, "header": -6.0, "figcaption": -0.5, "address": -1.0}
-GOOD_TAGS = {"article": 3.0, "main": 2.5}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-BAD_WORD = re.compile(r"(?:^|[^a-z])(?:nav\w*|menus?|sidebars?|side|foot(?:er)?s?|page-?header|site-?header|topbar|header|masthead|banners?|ad|ads|advert\w*|adv|adsense|adbox|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|notification\w*|alerts?|popups?|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|comments?|commentlist|comment-?\w*|disqus|replies|respond|related|recommend\w*|breadcrumbs?|widgets?|toolbar|pagination|pager|copyright|legal|disclaimer|search\w*|form|skip\w*|hidden)(?:$|[^a-z])")
-GOOD_WORD = re.compile(r"(?:^|[^a-z])(?:article\w*|content|post|entry|story|main|maincontent|bodytext|text)(?:$|[^a-z])")
-#: Names of an article's own parts.
-OWN_WORD = re.compile(r"(?:^|[^a-z])(?:entry|post|article|story)[-_]?(?:header|head|title|body|text|content)(?:$|[^a-z])")
-BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
+#: How surely a container's own name says boilerplate: it may wrap the article, it may be a theme's word, or it never holds the article.
+SOFT, NAME, HARD = 1, 2, 3
+BAD_TAGS = {"nav": HARD, "footer": HARD, "aside": HARD, "menu": HARD, "form": SOFT, "dialog": SOFT, "header": SOFT}
+BAD_ROLES = {"navigation": HARD, "banner": SOFT, "contentinfo": HARD, "complementary": HARD, "search": SOFT, "dialog": SOFT, "alert": NAME, "alertdialog": NAME, "menu": HARD, "menubar": HARD, "form": SOFT}
+GOOD_TAGS = {"article": 1.5, "main": 1.2}
+BAD_WORDS = {w: k for k, words in ((HARD, "comment comments commentlist commentform disqus reply replies respond"), (NAME, "nav navs navbar navigation navmenu topnav subnav menu menus submenu sidebar sidebars side aside footer footers foot topbar masthead banner banners ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot promo promos promotion sponsor sponsors sponsored cookie cookies consent gdpr notice notices notification notifications alert alerts newsletter newsletters subscribe subscription signup share sharing social related recommend recommended recommendations breadcrumb breadcrumbs widget widgets toolbar pagination pager copyright legal disclaimer skip skiplink"), (SOFT, "header modal overlay popup popups form search searchbox searchform login dialog hidden")) for w in words.split()}
+GOOD_WORDS = set("article articles content post entry story main maincontent bodytext articlebody text".split())
+#: Words that say where or how large a thing is, or what it belongs to.
+PLAIN = GOOD_WORDS | set("site page top bottom left right center middle inner outer global primary secondary tertiary upper lower box boxes wrap wrapper container area section block blocks list lists item items link links bar bars col column columns row rows panel group holder module unit slot body title head heading fixed sticky mobile desktop small large big mini first last region zone posts entries stories news blog user users reader readers info icon icons button buttons btn js is ui fluid default layout policy message messages feed tray stack the of by and".split())
+#: Names with these speak of something else's presence.
+ABOUT = {"has", "with", "no", "without", "not"}
+OWN = {"entry", "post", "article", "story"}
+OWN_PARTS = {"header", "head", "title", "body", "text", "content"}
+SURE, DOUBT = -6.0, -0.4
 STOCK = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b)|all rights reserved|(?:we|site) uses? cookies", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+PARTS = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-Block = tuple[str, int, float, tuple[int, ...], str]
+#: Text, words, share of them that is linked, number of the element that holds it.
+Block = tuple[str, int, float, int]
 
 
 class _Element:
-    __slots__ = ("tag", "num", "hint", "good", "words", "holds", "up")
-
-    def __init__(self, tag: str, num: int, hint: float, good: float, up: int):
-        self.tag, self.num, self.hint, self.good, self.words, self.holds, self.up = tag, num, hint, good, 0, False, up
-
-
-def _hints(tag: str, attrs: str) -> tuple[float, float]:
-    """Log-odds that a container takes from and gives to what is within it."""
-    bad, good = BAD_TAGS.get(tag, 0.0), GOOD_TAGS.get(tag, 0.0)
-    if attrs and tag not in ("html", "body"):
+    __slots__ = ("tag", "up", "depth", "kind", "doubt", "good", "own", "words", "bad", "gain", "inside")
+
+    def __init__(self, tag: str, up: int, depth: int, kind: int = 0, doubt: bool = False, good: float = 0.0, own: bool = False):
+        self.tag, self.up, self.depth, self.kind, self.doubt, self.good, self.own = tag, up, depth, kind, doubt, good, own
+        self.words, self.bad, self.gain, self.inside = 0, 0.0, 0.0, False
+
+
+def _name(token: str) -> tuple[int, bool, float]:
+    """Of a class or id: how surely it is boilerplate's, whether it may be, and how much it speaks for content."""
+    words = PARTS.findall(CAMEL.sub(" ", token).lower())
+    if not words or ABOUT.intersection(words):
+        return 0, False, 0.0
+    if len(words) == 2 and words[0] in OWN and words[1] in OWN_PARTS:
+        return 0, False, 1.0
+    kind = max(BAD_WORDS.get(w, 0) for w in words)
+    if kind:
+        return (kind, False, 0.0) if all(w in BAD_WORDS or w in PLAIN or len(w) < 2 for w in words) else (0, True, 0.0)
+    return 0, False, 0.8 if GOOD_WORDS.intersection(words) else 0.0
+
+
+def _element(tag: str, attrs: str, up: int, depth: int) -> _Element:
+    kind, good, doubt = BAD_TAGS.get(tag, 0), GOOD_TAGS.get(tag, 0.0), False
+    own = tag in GOOD_TAGS
+    if attrs and tag not in ("html", "body") and NAMED.search(attrs):
+        seen = set()
         for key, a, b, c in ATTR.findall(attrs):
-            key, value = key.lower(), (a or b or c).lower()
+            key, value = key.lower(), a or b or c
+            if key in seen:
+                continue
+            seen.add(key)
             if key in ("class", "id"):
-                if OWN_WORD.search(value):
-                    good = max(good, 1.5)
-                elif BAD_WORD.search(value):
-                    bad = min(bad, -6.0)
-                elif GOOD_WORD.search(value):
-                    good = max(good, 1.5)
+                for token in value.split():
+                    k, d, g = _name(token)
+                    kind, doubt, good = max(kind, k), doubt or d, max(good, g)
             elif key == "role":
-                bad = min(bad, -6.0) if value in BAD_ROLES else bad
-                good = max(good, 2.5) if value in ("main", "article") else good
-            elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                bad = min(bad, -6.0)
-    return bad, good
+                role = value.strip().lower()
+                kind = max(kind, BAD_ROLES.get(role, 0))
+                if role in ("main", "article"):
+                    good, own = max(good, 1.2), True
+            elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and HIDDEN.search(value.lower())):
+                kind = max(kind, SOFT)
+    # of an article's many class names one that may be boilerplate's says nothing
+    return _Element(tag, up, depth, kind, doubt and not own, good, own and not kind)
 
 
 def blocks(html: str) -> tuple[list[Block], list[_Element]]:
-    """Blocks in page order: text, words, link share, numbers of ancestors, tag."""
+    """Blocks in page order, and the block-level elements, each after its parent."""
     out: list[Block] = []
-    root = _Element("", 0, 0.0, 0.0, 0)
-    elements, stack = [root], [root]
+    root = _Element("", 0, 0)
+    elements, stack = [root], [0]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked = total = links = 0
+    linked = total = 0
+    link_from = 0  # the depth of the stack where the open link began; 0 without one
 
     def flush() -> None:
         nonlocal linked, total
@@ -94,17 +137,17 @@ def blocks(html: str) -> tuple[list[Block], list[_Element]]:
             parts.clear()
             if text:
                 n = text.count(" ") + 1
-                for e in stack:
-                    e.words += n
-                own = next((e.tag for e in reversed(stack) if e.tag not in INLINE), "")
-                out.append((text, n, linked / max(total, 1), tuple(e.num for e in stack if e.tag not in INLINE), own))
+                elements[stack[-1]].words += n
+                out.append((text, n, linked / max(total, 1), stack[-1]))
         linked = total = 0
 
     def close(k: int) -> None:
-        nonlocal links
+        nonlocal link_from
         for e in stack[k:]:
-            links -= e.tag == "a"
+            opened[elements[e].tag] -= 1
         del stack[k:]
+        if link_from > k:
+            link_from = 0
 
     def say(raw: str) -> None:
         nonlocal linked, total
@@ -112,7 +155,7 @@ def blocks(html: str) -> tuple[list[Block], list[_Element]]:
         parts.append(text)
         n = len(text.strip())
         total += n
-        if links > 0:
+        if link_from:
             linked += n
 
     at, end = 0, len(html)
@@ -129,17 +172,17 @@ def blocks(html: str) -> tuple[list[Block], list[_Element]]:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag not in INLINE:
-                flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break
+            if tag == "a":
+                link_from = 0
+            if tag in INLINE:
+                continue
+            flush()
+            if opened[tag]:
+                k = next(k for k in range(len(stack) - 1, 0, -1) if elements[stack[k]].tag == tag)
+                close(k)
             continue
         if tag in RAW:
-            if tag not in ("svg", "math", "button"):
+            if tag not in ("svg", "button", "annotation", "annotation-xml"):
                 flush()
             if not m[3].endswith("/"):
                 e = RAW_END[tag].search(html, at)
@@ -148,75 +191,106 @@ def blocks(html: str) -> tuple[list[Block], list[_Element]]:
         if tag == "br":
             parts.append(" ")
             continue
-        if tag not in INLINE:
-            flush()
-            if tag in ENDS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in SCOPE[tag] if tag in SCOPE else False:
-                        break
-                    if stack[k].tag in ENDS[tag]:
-                        close(k)
-                        break
-            for k in range(len(stack) - 1, 0, -1):  # an open paragraph ends where a block begins
-                if stack[k].tag == "p" or stack[k].tag in HEADINGS and tag in HEADINGS:
-                    close(k)
+        if tag in INLINE:
+            if tag == "a":
+                link_from = len(stack)
+            continue
+        flush()
+        if tag in ENDS and any(opened[t] for t in ENDS[tag]):
+            for k in range(len(stack) - 1, 0, -1):
+                now = elements[stack[k]].tag
+                if now in SCOPE.get(tag, ()):
                     break
-                if stack[k].tag not in INLINE:
+                if now in ENDS[tag]:
+                    close(k)
                     break
+        now = elements[stack[-1]].tag
+        if now == "p" or now in HEADINGS and tag in HEADINGS:  # an open paragraph ends where a block begins
+            close(len(stack) - 1)
         if tag not in VOID and not m[3].endswith("/"):
-            hint, good = _hints(tag, m[3]) if tag not in INLINE else (0.0, 0.0)
-            if good >= 2.5 and hint == 0.0:
-                for e in stack:
-                    e.holds = True
-            new = _Element(tag, len(elements), hint, good, stack[-1].num)
-            elements.append(new)
-            stack.append(new)
-            links += tag == "a"
+            elements.append(_element(tag, m[3], stack[-1], len(stack)))
+            stack.append(len(elements) - 1)
+            opened[tag] += 1
     flush()
     return out, elements
 
 
-def log_odds(found: list[Block], elements: list[_Element]) -> list[float]:
+def _inherit(elements: list[_Element]) -> None:
+    """Words of whole subtrees, then what each element's containers say of what is in it."""
+    for e in reversed(elements[1:]):
+        elements[e.up].words += e.words
     page = max(1, elements[0].words)
+    shut = [False] * len(elements)
+    for k, e in enumerate(elements[1:], 1):
+        shut[k] = shut[e.up] or e.kind == HARD
+    largest = max((k for k, e in enumerate(elements) if e.own and not shut[k]), key=lambda k: elements[k].words, default=0)
+    holds = set()
+    k = largest
+    while k:
+        holds.add(k)
+        k = elements[k].up
+    half = largest and elements[largest].words >= 0.5 * page
+    for k, e in enumerate(elements[1:], 1):
+        up = elements[e.up]
+        e.bad, e.gain, e.inside = up.bad, max(up.gain, e.good), up.inside or e.tag in GOOD_TAGS
+        kind = e.kind
+        if kind == SOFT and (k in holds or e.words >= 0.7 * page or e.tag == "header" and up.inside):
+            kind = 0
+        elif kind == NAME and k in holds and half:
+            kind = 0
+        if kind:
+            e.bad = SURE
+        elif e.doubt:
+            e.bad = min(e.bad, DOUBT)
+
+
+def log_odds(found: list[Block], elements: list[_Element]) -> list[float]:
+    _inherit(elements)
     odds = []
-    for text, n, link, chain, own in found:
-        score, bad, good, inside = 0.0, 0.0, 0.0, False
-        for k in chain:
-            e = elements[k]
-            # a container of the article itself, or of nearly all the page, is no boilerplate
-            wrapper = e.holds or (e.tag in ("form", "div", "section", "header") and e.words >= 0.7 * page)
-            if e.hint and not wrapper and not (e.tag == "header" and inside):
-                bad = min(bad, e.hint)
-            good = max(good, e.good)
-            inside = inside or e.tag == "article"
-        score += bad + good
-        score += min(1.5, 0.4 * log1p(n)) + 0.3
-        score += 0.4 if text[-1] in ".!?…。»”\"" else 0.0
-        score -= (4.0 if good < 2.5 else 1.5) * link if link > 0.3 else 0.0
-        score += 0.6 if own in HEADINGS else -0.3 if own in ("li", "td", "th") else 0.0
-        score -= 3.0 if n < 40 and STOCK.search(text) else 0.0
+    for text, n, link, at in found:
+        e = elements[at]
+        score = 0.3 + e.bad + e.gain + min(2.0, 0.6 * log1p(n) - 1.2)
+        score += 0.6 if text[-1] in ".!?…。»”\"" else 0.0
+        score -= 2.5 * link if link > 0.3 else 0.0
+        score += 0.6 if e.tag in HEADINGS else -0.2 if e.tag in ("td", "th") else 0.0
+        if n < 40 and STOCK.search(text):  # an article can have such a line of its own
+            score -= 1.0 if e.gain >= 1.2 else 3.0
         odds.append(score)
     return odds
 
 
-def edges(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness between neighbours in page order and between neighbours under one parent."""
-    out, last = [], {}
-    for i, (_, _, _, chain, _) in enumerate(found):
-        if i:
-            other = found[i - 1][3]
-            common = 0
-            for a, b in zip(chain, other):
-                if a != b:
-                    break
-                common += 1
-            apart = len(chain) + len(other) - 2 * common
-            out.append((i - 1, i, 1.2 / (1.0 + 0.5 * apart)))
-        parent = chain[-2] if len(chain) > 1 else chain[-1]
-        j = last.get(parent)
-        if j is not None and j < i - 1:
-            out.append((j, i, 0.5))
-        last[parent] = i
+def edges(found: list[Block], elements: list[_Element]) -> list[tuple[int, int, float]]:
+    """Smoothness between neighbours in page order and between neighbours under one parent.
+
+    What stands in a container that is surely boilerplate says little of what is around it: it is
+    passed over, and the blocks before and after it are neighbours.
+    """
+    out: list[tuple[int, int, float]] = []
+    before: dict[bool, int] = {}
+    under: dict[tuple[int, bool], int] = {}
+
+    def apart(a: int, b: int) -> int:
+        n = 0
+        while a != b:
+            if elements[a].depth >= elements[b].depth:
+                a = elements[a].up
+            else:
+                b = elements[b].up
+            n += 1
+        return n
+
+    for i, block in enumerate(found):
+        sure = elements[block[3]].bad == SURE
+        if i and before.get(sure) != i - 1:
+            out.append((i - 1, i, 0.2 / (1.0 + 0.5 * apart(found[i - 1][3], block[3]))))
+        if (j := before.get(sure)) is not None:
+            # in page order all paths of either kind pass an element twice at most
+            out.append((j, i, 1.5 / (1.0 + 0.5 * apart(found[j][3], block[3]))))
+        before[sure] = i
+        parent = elements[block[3]].up, sure
+        if (k := under.get(parent)) is not None and k != j:
+            out.append((k, i, 0.3))
+        under[parent] = i
     return out
 
 
@@ -325,7 +399,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     found, elements = blocks(html)
-    keep = min_cut(log_odds(found, elements), edges(found))
+    odds = log_odds(found, elements)
+    keep = min_cut(odds, edges(found, elements))
     return "\n\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
 
 
