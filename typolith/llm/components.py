@@ -40,7 +40,7 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     for _ in range(most):
         if not seen[0]:
             break
-        now = cut(_star(_star(now, True), False), "cc")
+        now = cut(_star(_star(now, True), False), "cc", now)
         then, seen = seen, mark(now)
         if then == seen:
             break

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, packed
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 256
@@ -77,6 +77,7 @@ def multipliers(sizes: DataFrame, src: DataFrame, limit: float, chained: int = 3
     ).withColumn("lam", F.when(F.col("done"), F.col("hi")).otherwise(F.lit(0.0)))
     state = cut(state, "mix-state")
     for _ in range(0, most, chained):
+        state_before = state
         for _ in range(chained):
             row = sizes.join(state, "sid")
             x = F.col("size") / F.col("mean")
@@ -91,7 +92,7 @@ def multipliers(sizes: DataFrame, src: DataFrame, limit: float, chained: int = 3
             got = got.select("sid", "mean", "target", lo.alias("lo"), hi.alias("hi"), (F.col("done") | near).alias("done"), "lam", (F.col("lam") - F.try_divide(off * F.col("g"), F.col("d"))).alias("step"))
             inside = F.col("step").isNotNull() & ~F.isnan("step") & (F.col("step") > F.col("lo")) & (F.col("step") < F.col("hi"))
             state = got.withColumn("lam", F.when(F.col("done"), F.col("lam")).when(inside, F.col("step")).otherwise((F.col("lo") + F.col("hi")) / 2)).drop("step")
-        state = cut(state, "mix-state")
+        state = cut(state, "mix-state", state_before)
         if state.where(~F.col("done")).isEmpty():
             break
     return state.select("sid", "lam")
@@ -107,6 +108,7 @@ def _copies(sizes: DataFrame, src: DataFrame, lam: DataFrame, limit: float, repa
     row = row.withColumn("cum", cum).withColumn("m", F.col("cum") - F.coalesce(F.lag("cum").over(W.partitionBy("sid").orderBy("size")), F.lit(0)))
     row = cut(row.select("sid", "size", "n", "target", "m"), "mix-copies")
     for _ in range(repairs):
+        row_before = row
         left = row.groupBy("sid").agg((F.max("target") - F.sum(F.col("m") * F.col("size"))).alias("left"))
         one = row.join(left, "sid").where(F.col("size") > 0)
         more = F.when(F.col("m") < F.col("n") * int(limit), F.abs(F.col("left") - F.col("size")))
@@ -114,7 +116,7 @@ def _copies(sizes: DataFrame, src: DataFrame, lam: DataFrame, limit: float, repa
         best = one.withColumn("off", F.least(more, less)).where(F.col("off") < F.abs("left")).groupBy("sid").agg(F.min(F.struct("off", "size", F.when(more <= less, 1).when(less.isNull(), 1).otherwise(-1).alias("by"))).alias("b"))
         best = best.select("sid", F.col("b.size").alias("size"), F.col("b.by").alias("by"))
         row = row.join(best, ["sid", "size"], "left").withColumn("m", F.col("m") + F.coalesce("by", F.lit(0))).drop("by")
-        row = cut(row, "mix-copies")
+        row = cut(row, "mix-copies", row_before)
     return row.select("sid", "size", "n", "m")
 
 
@@ -122,25 +124,24 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """The rows of docs with size, source_size, target, copies and taken in place of the text."""
     new = (text_col, "size", "source_size", "target", "copies", "taken")
     # texts are read once, to count their words
-    rows = cut(docs.select(*[c for c in docs.columns if c not in new], word_count(F.col(text_col)).alias("size")), "mix-rows")
-    sized = rows.select(F.col(source_col).alias("source"), "size")
-    hist = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
+    rows = docs.select(packed(docs, *new).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = cut(rows, "mix-rows")
+    hist = cut(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     src = cut(targets(hist, weights, share, float(limit)), "mix-targets")
-    ids = hist.join(src.select(F.col("source").alias("_s"), "sid"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    ids = hist.join(src.select(F.col("source").alias("s"), "sid"), F.col("source").eqNullSafe(F.col("s")))
     sizes = cut(ids.select("sid", "size", "n"), "mix-sizes")
     plan = _copies(sizes, src, multipliers(sizes, src, float(limit)), float(limit), repairs)
-    plan = plan.join(src.select(F.col("source").alias("_s"), "sid", "source_size", "target"), "sid").withColumnRenamed("size", "_z")
-
-    bucket = F.pmod(F.xxhash64(F.col(id_col)), F.lit(BUCKETS))
-    rows = rows.withColumn("_b", bucket)
-    key = [source_col, "size", "_b"]
-    quota = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_k"))
-    upto = W.partitionBy(source_col, "size").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    quota = quota.withColumn("_before", F.coalesce(F.sum("_k").over(upto), F.lit(0)))
-    quota = quota.join(plan, quota[source_col].eqNullSafe(plan["_s"]) & (quota["size"] == plan["_z"]))
+    plan = plan.join(src.select(F.col("source").alias("s"), "sid", "source_size", "target"), "sid").withColumnRenamed("size", "z")
+
+    key = ["source", "size", "bucket"]
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)))
+    quota = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("k"))
+    upto = W.partitionBy("source", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    quota = quota.withColumn("before", F.coalesce(F.sum("k").over(upto), F.lit(0)))
+    quota = quota.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
     whole = F.floor(F.col("m") / F.col("n"))
-    quota = quota.select(F.col(source_col).alias("_s2"), F.col("size").alias("_z2"), F.col("_b").alias("_b2"), "source_size", "target", whole.alias("_whole"), (F.col("m") - whole * F.col("n") - F.col("_before")).alias("_extra"))
-    rows = rows.withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy(id_col)))
-    rows = rows.join(quota, rows[source_col].eqNullSafe(F.col("_s2")) & (F.col("size") == F.col("_z2")) & (F.col("_b") == F.col("_b2")))
-    rows = rows.withColumn("copies", (F.col("_whole") + (F.col("_rn") <= F.col("_extra")).cast("int")).cast("long"))
-    return rows.withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("_b", "_rn", "_s2", "_z2", "_b2", "_whole", "_extra")
+    quota = quota.select("s", "z", F.col("bucket").alias("b"), "source_size", "target", whole.alias("whole"), (F.col("m") - whole * F.col("n") - F.col("before")).alias("extra"))
+    rows = rows.withColumn("rn", F.row_number().over(W.partitionBy(*key).orderBy("id")))
+    rows = rows.join(quota, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("b")))
+    copies = (F.col("whole") + (F.col("rn") <= F.col("extra")).cast("int")).cast("long")
+    return rows.select("row.*", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
