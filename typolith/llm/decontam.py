@@ -11,6 +11,9 @@ Other windows share no shingle with any item, so their similarity is 0.  At 0.8
 fingerprints differ in 10 bits on average and in over 23 less than once in 10,000.
 A text shorter than an item is compared whole.  Items of fewer than five words, or null,
 match nothing; null and empty texts are clean; equal rows and equal items each count.
+Ids of either table can be of any type, and null.  Of windows equally similar to an item
+the first counts.  Other columns don't matter to ``matches`` and pass ``clean`` whatever
+their names.
 
 Items are a stated query set: they go to the executors in blocks of bounded bytes, and
 each block is one pass over the texts.
@@ -156,7 +159,7 @@ def _found(c: Chunk, index: Index, threshold: float) -> Iterator[tuple[int, list
 def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8, limit: int = BLOCK_BYTES) -> DataFrame:
     """(id, item, similarity, first_word, n_words): the best window of each text for each item that it holds."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, item long, similarity double, first_word long, n_words long"
+    schema = f"id {dict(docs.dtypes)[id_col]}, item {dict(items.dtypes)[item_col]}, similarity double, first_word long, n_words long"
     out = None
     for index in indexes(items, item_col, item_text_col, limit):
         held = docs.sparkSession.sparkContext.broadcast(index)
@@ -176,13 +179,16 @@ def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_c
 
 def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8, limit: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that hold no item."""
+    leak = "leak"
+    while leak in docs.columns:
+        leak += "_"
     for index in indexes(items, item_col, item_text_col, limit):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def judge(c: Chunk, held=held) -> dict:
             bad = np.zeros(c.n, bool)
             bad[[r for r, _ in _found(c, held.value, threshold)]] = True
-            return {"_leak": bad}
+            return {leak: bad}
 
-        docs = map_text(docs, text_col, "_leak boolean", judge).where("not _leak").drop("_leak")
+        docs = map_text(docs, text_col, f"{leak} boolean", judge).where(f"not {leak}").drop(leak)
     return docs
