@@ -7,6 +7,11 @@ end record where sizes or counts ask for it, and the central directory;
 ``read_records`` then takes records by ranges of the package file, without extraction.
 
 Paths are URIs of any file system that pyarrow reaches (file, hdfs, s3, gs).
+
+Null html is an empty payload.  A null url has no target in its record and is read back
+as null; white space within a url goes.  Null ids are kept.  Rows with equal ids are
+records of their own.  Pages of any length are one record.  Of the pages' other columns
+none is written, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,7 +58,7 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, size: in
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload or b"")
     ident = "" if page_id is None else page_id
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{ident}>", "WARC-Date: 1970-01-01T00:00:00Z", "WARC-Target-URI: " + "".join((url or "").split()), f"WARC-Payload-Digest: sha1:{sha}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{ident}>", "WARC-Date: 1970-01-01T00:00:00Z", *([] if url is None else ["WARC-Target-URI: " + "".join(url.split())]), f"WARC-Payload-Digest: sha1:{sha}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -200,25 +205,23 @@ def read_records(f: BinaryIO, length: int) -> Iterator[tuple[dict[str, str], byt
 # -- Spark -----------------------------------------------------------------
 
 
-def with_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = 0) -> DataFrame:
-    """Append payload, sha and refers_to: of equal payloads of least bytes or more, rows with the largest id are responses."""
-    payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
-    df = pages.withColumn("payload", payload).withColumn("sha", F.sha1("payload"))
-    best = df.select("sha", F.octet_length("payload").alias("n"), id_col).where(F.col("n") >= least).groupBy("sha").agg(F.max(id_col).alias("_best"), F.count(F.lit(1)).alias("_n"))
-    best = best.where("_n > 1 and _best is not null").select(F.col("sha").alias("_sha"), "_best")
-    df = df.join(best, F.col("sha") == F.col("_sha"), "left")
-    other = F.col("_best").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_best"))
-    return df.withColumn("refers_to", F.when(other, F.col("_best"))).withColumn("revisit", other).drop("_sha", "_best")
+def with_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = 0, **more: str) -> DataFrame:
+    """(id, more names for columns, payload, sha, refers_to, revisit): of equal payloads of least bytes or more, rows with the largest id are responses."""
+    df = pages.select(F.col(id_col).alias("id"), F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b"")).alias("payload"), *[F.col(c).alias(n) for n, c in more.items()])
+    df = df.withColumn("sha", F.sha1("payload"))
+    best = df.select("sha", F.octet_length("payload").alias("n"), "id").where(F.col("n") >= least).groupBy("sha").agg(F.max("id").alias("best"), F.count(F.lit(1)).alias("k"))
+    best = best.where("k > 1 and best is not null").select(F.col("sha").alias("same"), "best")
+    other = F.col("best").isNotNull() & ~F.col("id").eqNullSafe(F.col("best"))
+    return df.join(best, F.col("sha") == F.col("same"), "left").select("id", *more, "payload", "sha", F.when(other, F.col("best")).alias("refers_to"), other.alias("revisit"))
 
 
 def write_packages(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Write packages under to and return their manifest (path, bytes, records).
 
     Each attempt of a task writes files with names of its own, and the manifest is
-    committed by Spark, so a retried task leaves files that nothing refers to.  Null
-    html is an empty payload, a null url an empty target; a null id is kept as such.
+    committed by Spark, so a retried task leaves files that nothing refers to.
     """
-    rows = with_revisits(pages, id_col, html_col, least).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.when(~F.col("revisit"), F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("size"), "sha", F.col("refers_to").cast("long").alias("refers_to"))
+    rows = with_revisits(pages, id_col, html_col, least, url=url_col).select(F.col("id").cast("long").alias("id"), "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("size"), "sha", F.col("refers_to").cast("long").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = open_uri(to)
@@ -278,15 +281,15 @@ def read_packages(manifest: DataFrame, batch: int = 256, with_payload: bool = Tr
                         size = int(http.decode().lower().partition("content-length:")[2].split("\r\n")[0])
                         if kind == "response" and (digest(payload) != sha or len(payload) != size):
                             raise ValueError(f"payload of {h['warc-record-id']} in {path} isn't what its header says")
-                        rows.append({"page_id": number(h["warc-record-id"]), "url": h["warc-target-uri"], "record_type": kind, "refers_to": number(h["warc-refers-to"]) if kind == "revisit" else None, "payload_bytes": size, "payload_digest": sha, "payload": payload if with_payload and kind == "response" else None})
+                        rows.append({"page_id": number(h["warc-record-id"]), "url": h.get("warc-target-uri"), "record_type": kind, "refers_to": number(h["warc-refers-to"]) if kind == "revisit" else None, "payload_bytes": size, "payload_digest": sha, "payload": payload if with_payload and kind == "response" else None})
                         if len(rows) == batch:
                             yield pa.RecordBatch.from_pylist(rows, schema=kinds)
                             rows = []
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    # a package is a task's work; their number follows the data
-    return manifest.repartition(max(1, manifest.count()), "path").mapInArrow(run, schema)
+    # a package is a task's work; dealt in turn, as a hash of the path would give some tasks several
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, with_payload: bool = True) -> DataFrame:
