@@ -164,7 +164,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     labels = estimate(patterns, counts)
 
     share = min(1.0, train_rows / max(1.0, counts.sum()))
-    picked = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * train_rows)
+    # about train_rows by a hash of id and text; rows equal in both are picked together, and count once
+    picked = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
 
     def load(c: Chunk, part: pa.RecordBatch) -> Iterator[dict]:
         row, feature, n = features(c)
@@ -173,7 +174,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
         edge = np.searchsorted(key // DIMS, np.arange(c.n + 1))
         yield {"p": p, "f": [(key[a:b] % DIMS).astype(np.int32).tobytes() for a, b in zip(edge, edge[1:])], "v": [(times[a:b] / max(1, n[k])).astype(np.float32).tobytes() for k, (a, b) in enumerate(zip(edge, edge[1:]))]}
 
-    sample = emit_text(picked, "text", "p int, f binary, v binary", load).toArrow().to_pylist()
+    sample = emit_text(picked, "text", "p int, f binary, v binary", load).distinct().toArrow().to_pylist()
     sample.sort(key=lambda r: (r["p"], r["f"], r["v"]))
     good = labels.posterior(np.array([r["p"] for r in sample], np.int64)) if sample else []
     scorer = train([(float(y), np.frombuffer(r["f"], np.int32), np.frombuffer(r["v"], np.float32)) for y, r in zip(good, sample, strict=True)])
