@@ -191,9 +191,9 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 {_spans_sql("kh", secrets.HEX, 2)},
 {_spans_sql("kr", secrets.CANDIDATE, 3)},
 base AS (SELECT * FROM ka UNION ALL SELECT * FROM kc UNION ALL SELECT * FROM kh),
-win AS (SELECT doc_id, s, e, substr(hit, CAST(k AS INT), {secrets.WINDOW}) AS w FROM (SELECT *, unnest(range(1, length(hit) - {secrets.WINDOW - 2})) AS k FROM kr
-  WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT regexp_matches(hit, '{secrets.ALLOWED}')
-  AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = kr.doc_id AND base.s < kr.e AND kr.s < base.e))),
+part AS (SELECT doc_id, s, e, unnest(string_split_regex(hit, '{secrets.ALLOWED}')) AS hit FROM kr WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = kr.doc_id AND base.s < kr.e AND kr.s < base.e)),
+win AS (SELECT doc_id, s, e, substr(hit, CAST(k AS INT), {secrets.WINDOW}) AS w FROM (SELECT *, unnest(range(1, length(hit) - {secrets.WINDOW - 2})) AS k FROM part
+  WHERE length(hit) >= {secrets.WINDOW} AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]'))),
 ent AS (SELECT DISTINCT doc_id, s, 3 AS rank, e FROM win WHERE regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]')
   AND list_aggregate(string_split(w, ''), 'entropy') >= CASE WHEN regexp_full_match(w, '[0-9a-fA-F]+') THEN {secrets.HEX_BITS} ELSE {secrets.ANY_BITS} END - 1e-12),
 al AS (SELECT doc_id, s, rank, e FROM base UNION ALL SELECT * FROM ent),

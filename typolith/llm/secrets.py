@@ -9,11 +9,13 @@ code point offsets, end exclusive, each with its kind.
   20 characters slides over it; its symbol counts change by one character in and one
   out, and so does the sum of c*log2(c) that its Shannon entropy follows from.  A window
   counts if it has a digit and a letter and its entropy reaches the threshold of its
-  class: hex digits only, or any.  A candidate with such a window is a span, unless it
-  matches the allow-list or overlaps a span of another kind.
+  class: hex digits only, or any.  Windows that touch a match of the allow-list don't
+  count.  A candidate with a window that does is a span, unless it overlaps a span of
+  another kind.
 
-A null or empty text has no spans.  Rows are independent, so repeated rows get equal
-results; a column named like a result is replaced.
+A null or empty text has no spans, a text of any length is scanned whole.  Rows are
+independent, so repeated rows get equal results.  All other columns pass, whatever their
+names; one named ``found`` is replaced by ``scan``, and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import packed
+
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{16,}"
@@ -91,8 +95,8 @@ def _log2(c: int) -> float:
     return math.log2(c)
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Append ``found``, the array of spans (start, rank in KINDS, end) by start and rank."""
+def _found(docs: DataFrame, text_col: str, *drop: str) -> DataFrame:
+    """(row, text, found): the columns of docs but some, the text and its spans."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast(SPAN)
     assign = F.when((F.instr(text, "=") > 0) | (F.instr(text, ":") > 0), _placed(text, ASSIGN, 0, lambda x: F.length(x["value"]) >= 6)).otherwise(none)
@@ -101,15 +105,20 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # long words are candidates by the thousand; a digit among the characters is needed first
     digit_near = text.rlike("(?=[A-Za-z0-9+/_=-]{20})[A-Za-z+/_=-]*[0-9]")
     runs = F.when(digit_near, _placed(text, CANDIDATE, 3, None)).otherwise(none)
-    df = docs.withColumns({"_base": F.concat(assign, access, hexes), "_runs": runs})
+    df = docs.select(packed(docs, *drop).alias("row"), F.col(text_col).alias("text"), F.concat(assign, access, hexes).alias("base"), runs.alias("runs"))
 
     def wanted(r: Column) -> Column:
-        s = F.substring(F.col(text_col), (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int"))
-        free = ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-        plain = free & s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~s.rlike(ALLOWED)
-        return F.when(plain, _high_entropy(s)).otherwise(F.lit(False))
+        s = F.substring(F.col("text"), (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int"))
+        free = ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+        parts = F.filter(F.split(s, ALLOWED, -1), lambda x: (F.length(x) >= WINDOW) & x.rlike("[0-9]") & x.rlike("[A-Za-z]"))
+        return F.when(free, F.exists(parts, _high_entropy)).otherwise(F.lit(False))
+
+    return df.select("row", "text", F.array_sort(F.concat("base", F.filter("runs", wanted))).alias("found"))
 
-    return df.withColumn("found", F.array_sort(F.concat("_base", F.filter("_runs", wanted)))).drop("_base", "_runs")
+
+def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Append ``found``, the array of spans (start, rank in KINDS, end) by start and rank."""
+    return _found(docs, text_col, "found").select("row.*", "found")
 
 
 def joined(spans: Column) -> Column:
@@ -120,7 +129,7 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The rows of docs, with a mark in place of each stretch that spans cover; a null text stays null."""
-    text = F.col(text_col)
+    text = F.col("text")
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -129,4 +138,5 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(apart, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
     rebuilt = F.aggregate("found", state, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return scan(docs, text_col).withColumn(text_col, F.when(F.size("found") > 0, rebuilt).otherwise(text)).drop("found")
+    clean = F.when(F.size("found") > 0, rebuilt).otherwise(text)
+    return _found(docs, text_col).select(*[clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
