@@ -92,6 +92,15 @@ def test_estimate_recovers_accuracies():
         assert m.table[1, k, 2] / (1 - m.table[1, k, 1]) == pytest.approx(a, abs=0.04)
 
 
+def test_sample_of_the_classifier_is_bounded(spark, monkeypatch):
+    seen = []
+    fit = weak_labels.train
+    monkeypatch.setattr(weak_labels, "train", lambda rows: seen.append(len(rows)) or fit(rows))
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("the same text for a third")).otherwise(F.concat(F.lit("some text of number "), F.col("id").cast("string"))).alias("text"))
+    assert weak_labels.classify(df, train_rows=300).count() == 3000
+    assert 100 < seen[0] < 400
+
+
 def test_classifier_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, "One plain sentence, and then another one. " * 5, 1.0), (3, "One plain sentence, and then another one. " * 5, 1.0)], "doc_id long, text string, score double")
     rows = weak_labels.classify(df).collect()
@@ -146,6 +155,16 @@ def test_leaks_against_brute_force(spark):
     assert decontam.clean(d, b.limit(0)).count() == len(docs)
 
 
+def test_leaks_with_ids_of_any_type(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    d = spark.createDataFrame([("a", text, 1, True), (None, text, 2, True), ("c", "other words", 3, True)], "doc_id string, text string, item_id int, leak boolean")
+    b = spark.createDataFrame([("x-1", text)], "item_id string, text string")
+    got = decontam.matches(d, b).collect()
+    assert sorted((r.doc_id or "", r.item_id, r.similarity) for r in got) == [("", "x-1", 1.0), ("a", "x-1", 1.0)]
+    kept = decontam.clean(d, b)
+    assert kept.columns == d.columns and [tuple(r) for r in kept.collect()] == [("c", "other words", 3, True)]
+
+
 def test_blocks_guarantee_the_radius():
     rng = np.random.default_rng(0)
     g = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
@@ -163,7 +182,7 @@ def test_blocks_guarantee_the_radius():
 def test_packages_round_trip(spark):
     html = ["<p>a</p>", "<p>a</p>", "", None, "é" * 2000, "<p>a</p>", "x" * 300_000]
     rows = [(k, f"http://h/{k}", h, "clash") for k, h in enumerate(html)] + [(6, "http://h/6", html[6], "clash"), (None, None, "<p>a</p>", "clash")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string").withColumns({c: F.lit(1) for c in ("_best", "_sha", "sha", "best", "id", "n")})
     to = shared_path(spark, "t")
     manifest = zip_warc.write_packages(df.repartition(2), to, package_bytes=400)
     got = zip_warc.read_packages(manifest).collect()
@@ -175,6 +194,7 @@ def test_packages_round_trip(spark):
         (i, len((h or "").encode()), zip_warc.digest((h or "").encode()), "response" if i == best[h or ""] else "revisit", None if i == best[h or ""] else best[h or ""]) for i, _, h, _ in rows
     )
     assert all(r.payload == (html[r.page_id] or "").encode() for r in got if r.record_type == "response")
+    assert all(r.url == (None if r.page_id is None else f"http://h/{r.page_id}") for r in got)
     for m in manifest.collect():  # any reader of ZIP archives sees them
         z = zipfile.ZipFile(zip_warc.open_uri(m.path)[1])
         assert z.testzip() is None and set(z.namelist()) == {zip_warc.DATA, zip_warc.INDEX} and all(i.compress_type == 0 for i in z.infolist())
@@ -429,8 +449,11 @@ def test_language_model_of_nothing(spark):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline_against_brute_force(spark):
+    import duckdb
+
     import corpus_pipeline as cp
-    from typolith.llm.line_rules import clean_lines
+    from test_extract_mix_rules import brute, fill
+    from typolith.llm.queries import OP6_SQL
 
     assert len(cp.STAGES) == 5 and [len(s) for s in cp.STAGES] == [2] * 5
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -438,7 +461,14 @@ def test_pipeline_against_brute_force(spark):
     docs = docs.unionByName(extra).unionByName(docs.where("doc_id < 5"))
     rules, near, leaks, secret, mix = (f for _, f in cp.STAGES)
     a = rules(spark, docs, SF).cache()
-    assert a.columns == docs.columns and a.count() == clean_lines(docs).where("kept").count()
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    kept = {r[0] for r in duck.execute(f"SELECT doc_id FROM ({OP6_SQL}) WHERE kept").fetchall()}
+    assert a.columns == docs.columns and Counter(r.doc_id for r in a.collect()) == Counter([*kept, *(i for i in range(5) if i in kept)])
+    whole = {r.doc_id: r.text for r in docs.collect()}
+    for r in a.collect():  # what is left are lines of the text, in order
+        lines = iter((whole[r.doc_id] or "").split("\n"))
+        assert all(any(x == y for y in lines) for x in r.text.split("\n"))
     rows = [(r.doc_id, r.text) for r in a.collect()]
     b = near(spark, a, SF).cache()
     assert b.columns == docs.columns
@@ -448,7 +478,29 @@ def test_pipeline_against_brute_force(spark):
     c = leaks(spark, b, SF).cache()
     assert {r.doc_id for r in c.collect()} == {r.doc_id for r in b.collect()} - bad
     d = secret(spark, c, SF).cache()
-    assert d.columns == docs.columns and d.count() == c.count() and all(len(r.text) == r.n_chars for r in d.collect())
+    assert d.columns == docs.columns
+
+    def blotted(t):
+        out, at = "", 0
+        for lo, _, hi in brute(t):
+            if lo >= at and (lo > at or not at):
+                out += t[at:lo] + "[SECRET]"
+            at = max(at, hi)
+        return out + t[at:]
+
+    want = sorted((r.doc_id, blotted(r.text)) for r in c.collect())
+    assert sorted((r.doc_id, r.text) for r in d.collect()) == want and all(len(r.text) == r.n_chars for r in d.collect())
     e = mix(spark, d, SF).collect()
-    assert len(e) == d.count() and all(0 <= r.taken <= 2 * r.size for r in e)
-    assert cp.run(spark, SF).count() > 0
+    size, own = Counter(), {r.doc_id: len(WORD.findall(r.text)) for r in d.collect()}
+    for r in d.collect():
+        size[r.source] += own[r.doc_id]
+    names = sorted(x for x in size if x is not None) + [x for x in size if x is None]
+    target = dict(zip(names, fill([size[x] for x in names], [(3, 1, 2)[k % 3] for k in range(len(names))])))
+    assert sorted((r.doc_id, r.size, r.source_size) for r in e) == sorted((i, n, size[r.source]) for r in d.collect() for i, n in [(r.doc_id, own[r.doc_id])])
+    for x in names:
+        mine = [r for r in e if r.source == x]
+        assert all(r.target == pytest.approx(target[x]) and r.taken == r.copies * r.size and 0 <= r.copies <= 2 for r in mine)
+        left = target[x] - sum(r.taken for r in mine)
+        steps = [left - r.size for r in mine if r.size and r.copies < 2] + [left + r.size for r in mine if r.size and r.copies]
+        assert abs(left) <= max(10, 0.01 * target[x]) or all(abs(s) >= abs(left) for s in steps)  # or no copy more or less comes nearer
+    assert cp.run(spark, SF).count() == len(e)
