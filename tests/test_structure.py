@@ -289,8 +289,9 @@ def test_shuffles_keep_sizes_and_draws_are_without_replacement(spark):
     assert by[0] == [(i, i // 5) for i in range(15)]
     assert all([i for i, _ in v] == list(range(15)) and sorted(x for _, x in v) == sorted(i // 5 for i in range(15)) for v in by.values())
     assert len({tuple(v) for v in by.values()}) == 7
-    z = validity.permutation_z(edges(spark, cliques()), validity.permutations(lab, 30)).first()
-    assert z.observed == pytest.approx(2 / 3) and z.z > 3
+    table = validity.scores(lab, edges(spark, cliques()), validity.permutations(lab, 30))
+    z = {r["name"]: r for r in validity.permutation_z(table).collect()}
+    assert z["MQ"].observed == pytest.approx(2 / 3) and z["MQ"].z > 3 and z["AVI"].z > 3
     draws = methods.subsamples(lab.select("id"), 4).collect()
     assert all(len({r.id for r in draws if r.run == k}) == 12 for k in range(4)) and len(draws) == 48
 
@@ -353,3 +354,26 @@ def test_mixture_climbs_to_a_standstill(spark):
     var = r.T @ (x * x) / n[:, None] - mean**2 + 1e-6
     new, _ = methods._densities(x, n / n.sum(), mean, var)
     assert np.allclose(new, r, atol=1e-4)
+
+
+@pytest.mark.parametrize("variant", ["paper", "package"])
+def test_scores_of_each_labelling_are_the_indices(spark, variant):
+    x, y = blobs(3, 25, 2, seed=4)
+    df = vectors(spark, x, y)
+    rng = np.random.default_rng(2)
+    e = edges(spark, [(int(i), int(j), float(rng.random())) for i in range(75) for j in range(i) if rng.random() < 0.2])
+    perms = validity.permutations(df, 3).cache()
+    got = {r.perm: r for r in validity.scores(df, e, perms, variant).collect()}
+    for p in range(4):
+        own = df.select("id", "vec").join(perms.where(F.col("perm") == p), "id").select("id", "vec", F.col("label").cast("long").alias("label"))
+        want = validity.silhouette(own).first().asDict() | validity.calinski_harabasz(own).first().asDict() | validity.s_dbw(own, variant).first().asDict() | validity.graph_indices(e, own.select("id", "label")).first().asDict()
+        assert {c: got[p][c] for c in want} == pytest.approx(want)
+    row = validity.evaluate(df, e, "m", "all", 3, n_perm=20, variant=variant).first()
+    assert row.K == 3 and row.min_size == 25 and row.z_SW > 3 and row.z_S_Dbw < 0 and row.MQ == pytest.approx(got[0].MQ)
+
+
+def test_pattern_and_graph_labels_are_not_renamed(spark):
+    rows = [(m, e, p, (e % 3 + (1 if p == "x" else 0)) % 3) for m in ("ward", "leiden", "patterns") for e in range(12) for p in ("all", "x")]
+    df = spark.createDataFrame(rows, "method string, entity long, period string, label int")
+    got = {(r.method, r.entity, r.period): r.label for r in methods.align_methods(df).collect()}
+    assert got == {(m, e, p): (e % 3 if m == "ward" else x) for m, e, p, x in rows}

@@ -7,15 +7,16 @@ a period's entities; periods and numbers of clusters run in parallel.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from itertools import count
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .passes import by_vector, matrix, total
+
 LABELS = "period int, k int, id long, label int"
 
 
@@ -23,41 +24,8 @@ LABELS = "period int, k int, id long, label int"
 
 
 def _passes(df: DataFrame) -> Callable[[Callable[[np.ndarray], np.ndarray], int], np.ndarray]:
-    """What adds up fn(matrix of a batch's vectors), an array of so many numbers, over all rows: one job a call."""
     rows = df.select("vec")
-
-    def total(fn: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros(size)
-            for b in batches:
-                if b.num_rows:
-                    held += fn(matrix(b.column("vec")))
-            at = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["at", "x"])
-
-        got = rows.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-        out = np.zeros(size)
-        out[got.column("at").to_numpy()] = got.column("x").to_numpy()
-        return out
-
-    return total
-
-
-def matrix(vec: pa.Array) -> np.ndarray:
-    """A column of equally long vectors."""
-    return vec.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vec), -1)
-
-
-def _named(df: DataFrame, fn: Callable[[np.ndarray], tuple[np.ndarray, ...]], schema: str) -> DataFrame:
-    """(id, ...): the columns that fn makes of each row's vector."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                made = fn(matrix(b.column("vec")))
-                yield pa.RecordBatch.from_arrays([b.column("id"), *map(pa.array, made)], names=["id", *(x.split()[0] for x in schema.split(", "))])
-
-    return df.select("id", "vec").mapInArrow(run, f"id {dict(df.dtypes)['id']}, {schema}")
+    return lambda fn, size: total(rows, lambda b: fn(matrix(b.column("vec"))), size)
 
 
 def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -80,7 +48,7 @@ def _starts(df: DataFrame, k: int, seeds: Sequence[int], sample: int) -> np.ndar
     return np.stack(out)
 
 
-def _lloyd(total, start: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def _lloyd(passes, start: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Centres and cost of all starts, each until its centres stand still; a pass serves all of them."""
     centres = start.copy()
     cost, live = np.full(len(start), np.inf), np.arange(len(start))
@@ -97,7 +65,7 @@ def _lloyd(total, start: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarra
                 out[s, k * d : -1], out[s, -1] = one.sum(axis=0), gap.min(axis=1).sum()
             return out.ravel()
 
-        got = total(sums, len(live) * (k * (d + 1) + 1)).reshape(len(live), -1)
+        got = passes(sums, len(live) * (k * (d + 1) + 1)).reshape(len(live), -1)
         n = got[:, k * d : -1, None]
         new = np.where(n > 0, got[:, : k * d].reshape(-1, k, d) / np.maximum(n, 1), now)
         cost[live], centres[live] = got[:, -1], new
@@ -114,7 +82,7 @@ def kmeans(df: DataFrame, k: int, seeds: Sequence[int] = range(20), rounds: int
         return df.select("id", F.lit(0).alias("label"))
     centres, cost = _lloyd(_passes(df), _starts(df, k, seeds, sample), rounds)
     best = centres[int(np.argmin(cost))]
-    return _named(df, lambda x: (_squares(x, best).argmin(axis=1).astype(np.int32),), "label int")
+    return by_vector(df, lambda x: (_squares(x, best).argmin(axis=1).astype(np.int32),), "label int")
 
 
 def _densities(x: np.ndarray, pi: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +104,8 @@ def gmm_diagonal(df: DataFrame, k: int, rounds: int | None = None, seed: int = 4
     df = df.select("id", "vec").persist()
     if df.isEmpty():
         return df.select("id", F.lit(0).alias("label"), F.lit(1.0).alias("p"))
-    total = _passes(df)
-    centres, _ = _lloyd(total, _starts(df, k, range(seed, seed + starts), sample), 300)
+    passes = _passes(df)
+    centres, _ = _lloyd(passes, _starts(df, k, range(seed, seed + starts), sample), 300)
     d = centres.shape[2]
     width = k * (2 * d + 1) + 2
 
@@ -150,7 +118,7 @@ def gmm_diagonal(df: DataFrame, k: int, rounds: int | None = None, seed: int = 4
                 out[j, -2:] = ll.sum(), len(x)
             return out.ravel()
 
-        return total(sums, len(live) * width).reshape(len(live), width)
+        return passes(sums, len(live) * width).reshape(len(live), width)
 
     def model(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = row[:k, None] + 1e-9
@@ -176,7 +144,7 @@ def gmm_diagonal(df: DataFrame, k: int, rounds: int | None = None, seed: int = 4
         r = _densities(x, *best)[0]
         return r.argmax(axis=1).astype(np.int32), r.max(axis=1)
 
-    return _named(df, name, "label int, p double")
+    return by_vector(df, name, "label int, p double")
 
 
 # -- one period ------------------------------------------------------------
@@ -406,6 +374,19 @@ def sweep(df: DataFrame, method: str, ks: Sequence[int]) -> DataFrame:
     return jobs.groupBy("period", "k").applyInPandas(run, LABELS)
 
 
+def leiden_graphs(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(graph, id, at_one, at_k): communities of each graph of (graph, src, dst, w) over its nodes (graph, id), at resolution 1 and at k of them, one task a graph."""
+    alone = nodes.select("graph", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(pdf.src)
+        a = np.zeros((len(ids), len(ids)))
+        a[np.searchsorted(ids, pdf.src), np.searchsorted(ids, pdf.dst)] = pdf.w
+        return pd.DataFrame({"graph": pdf.graph.iloc[0], "id": ids, "at_one": leiden(a).astype(int), "at_k": leiden_at(a, k).astype(int)})
+
+    return edges.select("graph", "src", "dst", "w").unionByName(alone.select("graph", "src", "dst", "w")).groupBy("graph").applyInPandas(run, "graph string, id long, at_one int, at_k int")
+
+
 def missing(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """The keys (method, period, k) that a cache of labels hasn't got."""
     return wanted.join(cache.select("method", "period", "k").distinct(), ["method", "period", "k"], "left_anti")
@@ -448,6 +429,21 @@ def alignment(cross: Sequence[tuple[int, int, int]]) -> dict[int, int]:
     return out
 
 
+#: Methods whose labels mean the same in every period, or nothing across periods: they aren't renamed.
+UNALIGNED = ("leiden", "spectral", "patterns")
+
+
+def align_methods(labels: DataFrame, reference: str = "all") -> DataFrame:
+    """(method, entity, period, label): each method's periods renamed to its period ``reference``, but for UNALIGNED ones."""
+    fixed = labels.where(F.col("method").isin(*UNALIGNED)).select("method", "entity", "period", "label")
+    rest = labels.where(~F.col("method").isin(*UNALIGNED)).withColumn("key", F.struct("method", "entity"))
+    base = rest.where(F.col("period") == reference).select(F.col("key").alias("entity"), "label")
+    told = rest.select(F.col("key").alias("entity"), F.concat_ws("\x01", "method", "period").alias("period"), "label")
+    named = align(told, base)
+    at = F.split("period", "\x01")
+    return fixed.unionByName(named.select("entity.method", "entity.entity", at[1].alias("period"), "label"))
+
+
 def align(labels: DataFrame, reference: DataFrame) -> DataFrame:
     """Each period's labels (entity, period, label) renamed to the reference's (entity, label)."""
     wide = labels.join(reference.select("entity", F.col("label").alias("y")), "entity").groupBy("period", F.col("label").alias("x"), "y").agg(F.count(F.lit(1)).alias("n"))

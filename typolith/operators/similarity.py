@@ -109,6 +109,21 @@ def group_distance_sums(df: DataFrame, block: int = BLOCK) -> DataFrame:
     return parts.groupBy("id", "label", "other").agg(F.sum("s").alias("s"))
 
 
+def label_distance_sums(df: DataFrame, p: int, k: int, block: int = BLOCK) -> DataFrame:
+    """(labels, s): for each row, p times k sums of distances to the rows of each label of each labelling, from (id, vec, labels)."""
+
+    def fn(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        x, y, lab = np.stack(a.vec), np.stack(b.vec), np.stack(b.labels)
+        one = np.zeros((len(y), p * k))
+        np.put_along_axis(one, lab + k * np.arange(p)[None, :], 1.0, axis=1)
+        sums = np.concatenate([np.sqrt(((x[lo : lo + 128, None, :] - y[None]) ** 2).sum(axis=2)) @ one for lo in range(0, len(x), 128)])
+        return pd.DataFrame({"id": a.id, "labels": a.labels, "s": list(sums)})
+
+    parts = _pairwise(df, ["id", "vec", "labels"], True, f"id {dict(df.dtypes)['id']}, labels array<int>, s array<double>", fn, block)
+    added = F.aggregate(F.collect_list("s"), F.array_repeat(F.lit(0.0), p * k), lambda t, x: F.zip_with(t, x, lambda u, v: u + v))
+    return parts.groupBy("id").agg(F.first("labels").alias("labels"), added.alias("s")).select("labels", "s")
+
+
 def lag_pairs(df: DataFrame, max_lag: int = 2, block: int = 256) -> DataFrame:
     """(i, j, w, lag) for ordered pairs from (id, vecs: category x time): the best lagged correlation.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .similarity import group_distance_sums
+from .passes import matrix, total
+from .similarity import group_distance_sums, label_distance_sums
 
 #: 1 where more is better, -1 where less is.
 DIRECTION = {"SW": 1, "CH": 1, "S_Dbw": -1, "AVI": 1, "AVU": -1, "ANUI": 1, "MQ": 1}
@@ -107,46 +110,154 @@ def graph_indices(edges: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def permutations(labels: DataFrame, n: int, seed: int = 42) -> DataFrame:
+def permutations(labels: DataFrame, n: int, seed: int = 42, order: Column | None = None) -> DataFrame:
     """(perm, id, label): shuffles of (id, label) that keep the sizes; perm 0 is the labelling itself.
 
-    The i-th row by a hash of id and permutation gets the label of the i-th by id, so a
+    The i-th row by ``order`` (a hash of id and perm), then id, gets the label of the i-th by id, so a
     permutation is one window partition and nothing passes the driver.
     """
     base = labels.select("id", "label")
     perms = base.select("id", "label", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("perm"))
     w = Window.partitionBy("perm")
-    ranked = perms.withColumns({"_i": F.row_number().over(w.orderBy("id")), "_j": F.row_number().over(w.orderBy(F.xxhash64("id", "perm", F.lit(seed)), "id"))})
+    place = F.xxhash64("id", "perm", F.lit(seed)) if order is None else order
+    ranked = perms.withColumns({"_i": F.row_number().over(w.orderBy("id")), "_j": F.row_number().over(w.orderBy(place, "id"))})
     taken = ranked.select("perm", F.col("_i").alias("_j"), "label").join(ranked.select("perm", "_j", "id"), ["perm", "_j"])
     return base.select(F.lit(0).alias("perm"), "id", "label").unionByName(taken.select("perm", "id", "label"))
 
 
-def permutation_z(edges: DataFrame, perms: DataFrame) -> DataFrame:
-    """z score of modularity against shuffled labels, from (perm, id, label)."""
-    src = perms.select("perm", F.col("id").alias("src"), F.col("label").alias("a"))
-    dst = perms.select("perm", F.col("id").alias("dst"), F.col("label").alias("b"))
-    blocks = edges.join(src, "src").join(dst, ["perm", "dst"]).groupBy("perm", "a", "b").agg(F.sum("w").alias("s"))
-    tot = blocks.groupBy("perm", "a").agg(F.sum("s").alias("t"), F.sum(F.when(F.col("a") == F.col("b"), F.col("s")).otherwise(0.0)).alias("o"))
-    q = tot.groupBy("perm").agg((F.sum("o") / F.sum("t") - F.sum(F.col("t") * F.col("t")) / (F.sum("t") * F.sum("t"))).alias("q"))
-    seen = F.max(F.when(F.col("perm") == 0, F.col("q")))
-    rest = F.when(F.col("perm") > 0, F.col("q"))
-    out = q.agg(seen.alias("observed"), F.avg(rest).alias("mean"), F.stddev_pop(rest).alias("sd"))
+def label_arrays(perms: DataFrame) -> tuple[DataFrame, int, int]:
+    """(id, labels), an array by perm of the labels' numbers in order; how many arrays and labels there are."""
+    names = [r[0] for r in perms.where("perm = 0").select("label").distinct().orderBy("label").collect()]
+    at = (F.array_position(F.array(*map(F.lit, names)), F.col("label")) - 1).cast("int")
+    each = F.array_sort(F.collect_list(F.struct("perm", at.alias("c"))))
+    wide = perms.groupBy("id").agg(F.transform(each, lambda x: x["c"]).alias("labels"))
+    return wide, perms.agg(F.countDistinct("perm")).first()[0], len(names)
+
+
+def graph_scores(edges: DataFrame, wide: DataFrame, p: int, k: int) -> dict[str, np.ndarray]:
+    """AVI, AVU, ANUI and MQ of each labelling of (id, labels), from one pass over the edges."""
+    met = edges.join(wide.select(F.col("id").alias("src"), F.col("labels").alias("a")), "src").join(wide.select(F.col("id").alias("dst"), F.col("labels").alias("b")), "dst").select("a", "b", "w")
+
+    def sums(batch: pa.RecordBatch) -> np.ndarray:
+        cell, w = matrix(batch.column("a"), int) * k + matrix(batch.column("b"), int), batch.column("w").to_numpy()
+        return np.stack([np.bincount(cell[:, j], w, k * k) for j in range(p)]).ravel()
+
+    s = total(met, sums, p * k * k).reshape(p, k, k)
+    own, tot = np.einsum("pkk->pk", s), s.sum(axis=2)
+    m = tot.sum(axis=1)
+    avi = np.divide(own, tot, out=np.zeros_like(own), where=tot > 0).mean(axis=1)
+    out = tot - own
+    room = out[:, :, None] + out[:, None, :] - s
+    ratio = np.divide(s, room, out=np.zeros_like(s), where=room > 0) * (1 - np.eye(k))
+    avu = ratio.sum(axis=(1, 2)) / k
+    anui = np.where(avi > 0, 1 / (avu + 1 / np.where(avi > 0, avi, 1)), 0.0)
+    mq = np.where(m > 0, own.sum(axis=1) / np.where(m > 0, m, 1) - (tot * tot).sum(axis=1) / np.where(m > 0, m * m, 1), np.nan)
+    return {"AVI": avi, "AVU": avu, "ANUI": anui, "MQ": mq}
+
+
+def feature_scores(df: DataFrame, p: int, k: int, variant: str = "paper") -> dict[str, np.ndarray]:
+    """SW, CH and S_Dbw of each labelling of (id, vec, labels): a pass for moments, one for densities, one over pairs of blocks."""
+    rows = df.select("vec", "labels")
+    d = len(df.select("vec").first()["vec"])
+
+    def moments(batch: pa.RecordBatch) -> np.ndarray:
+        x, lab = matrix(batch.column("vec")), matrix(batch.column("labels"), int)
+        both = np.concatenate([x, x * x, np.ones((len(x), 1))], axis=1)
+        return np.stack([np.eye(k)[lab[:, j]].T @ both for j in range(p)]).ravel()
+
+    got = total(rows, moments, p * k * (2 * d + 1)).reshape(p, k, 2 * d + 1)
+    n = got[:, :, -1]
+    size = np.maximum(n, 1)[:, :, None]
+    centre = got[:, :, :d] / size
+    var = np.maximum(got[:, :, d : 2 * d] / size - centre * centre, 0)
+    rows_n = n.sum(axis=1)
+    mean = got[:, :, :d].sum(axis=1) / rows_n[:, None]
+    between = (n[:, :, None] * (centre - mean[:, None, :]) ** 2).sum(axis=(1, 2))
+    within = (n[:, :, None] * var).sum(axis=(1, 2))
+    if 2 <= k < rows_n[0]:
+        ch = np.where(within > 0, (between / (k - 1)) / np.where(within > 0, within / (rows_n - k), 1), np.inf)
+    else:
+        ch = np.full(p, np.nan)
+    out = {"SW": np.full(p, np.nan), "CH": ch, "S_Dbw": np.full(p, np.nan)}
+    if k < 2:
+        return out
+
+    whole = np.maximum(got[:, :, d : 2 * d].sum(axis=1) / rows_n[:, None] - mean * mean, 0)
+    if variant != "paper":
+        var, whole = np.sqrt(var), np.sqrt(whole)
+    spread = np.sqrt((var * var).sum(axis=2))
+    radius = np.sqrt(spread.sum(axis=1)) / k
+    a, b = np.triu_indices(k, 1)
+    points = np.concatenate([centre, (centre[:, a] + centre[:, b]) / 2], axis=1)
+
+    def densities(batch: pa.RecordBatch) -> np.ndarray:
+        x, lab = matrix(batch.column("vec")), matrix(batch.column("labels"), int)
+        found = []
+        for j in range(p):
+            gap = np.sqrt(((x[:, None, :] - points[j][None]) ** 2).sum(axis=2)) if len(x) * points.shape[1] * d < 1 << 22 else np.stack([np.sqrt(((x - c) ** 2).sum(axis=1)) for c in points[j]], axis=1)
+            found.append(np.eye(k)[lab[:, j]].T @ (gap <= radius[j]))
+        return np.stack(found).ravel()
+
+    near = total(rows, densities, p * k * points.shape[1]).reshape(p, k, -1)
+    ca, cb = near[:, a, a], near[:, b, b]
+    if variant == "paper":
+        ca, cb = ca + near[:, b, a], cb + near[:, a, b]
+    mid = np.arange(len(a))
+    u, top = near[:, a, k + mid] + near[:, b, k + mid], np.maximum(ca, cb)
+    ratio = np.divide(u, top, out=np.zeros_like(u), where=top > 0).sum(axis=1)
+    out["S_Dbw"] = spread.mean(axis=1) / np.sqrt((whole * whole).sum(axis=1)) + 2 * ratio / (k * (k - 1))
+
+    sums = label_distance_sums(df, p, k)
+    count = n[0]
+
+    def widths(batch: pa.RecordBatch) -> np.ndarray:
+        lab, s = matrix(batch.column("labels"), int)[:, :, None], matrix(batch.column("s")).reshape(batch.num_rows, p, k)
+        own, m = np.take_along_axis(s, lab, axis=2)[:, :, 0], count[lab[:, :, 0]]
+        avg = s / np.maximum(count, 1)
+        np.put_along_axis(avg, lab, np.inf, axis=2)
+        x, y = own / np.maximum(m - 1, 1), avg.min(axis=2)
+        high = np.maximum(x, y)
+        return np.where((m == 1) | (high == 0), 0.0, (y - x) / np.where(high == 0, 1, high)).sum(axis=0)
+
+    out["SW"] = total(sums, widths, p) / rows_n
+    return out
+
+
+def scores(df: DataFrame, edges: DataFrame | None, perms: DataFrame, variant: str = "paper") -> DataFrame:
+    """(perm, SW, CH, S_Dbw, AVI, AVU, ANUI, MQ) of each labelling of (perm, id, label), in the spaces there are."""
+    wide, p, k = label_arrays(perms)
+    wide = wide.persist()
+    found: dict[str, np.ndarray] = {}
+    if "vec" in df.columns:
+        found |= feature_scores(df.select("id", "vec").join(wide, "id"), p, k, variant)
+    if edges is not None:
+        found |= graph_scores(edges, wide, p, k)
+    rows = [(j, *(None if np.isnan(x[j]) else float(x[j]) for x in found.values())) for j in range(p)]
+    return df.sparkSession.createDataFrame(rows, "perm int, " + ", ".join(f"{c} double" for c in found))
+
+
+def permutation_z(table: DataFrame) -> DataFrame:
+    """(name, observed, mean, sd, z) of each index, from the scores of a labelling (perm 0) and of its shuffles; z is null without scatter."""
+    names = [c for c in table.columns if c != "perm"]
+    long = table.select("perm", F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in names])))
+    rest = F.when(F.col("perm") > 0, F.col("x"))
+    out = long.groupBy("name").agg(F.max(F.when(F.col("perm") == 0, F.col("x"))).alias("observed"), F.avg(rest).alias("mean"), F.stddev_pop(rest).alias("sd"))
     return out.withColumn("z", F.when(F.col("sd") > 0, (F.col("observed") - F.col("mean")) / F.col("sd")))
 
 
-def evaluate(df: DataFrame, edges: DataFrame | None, method: str, period: str, k_target: int) -> DataFrame:
-    """One row: clusters wanted and found, the smallest one's size, and the indices of the spaces there are.
+def evaluate(df: DataFrame, edges: DataFrame | None, method: str, period: str, k_target: int, n_perm: int = 200, seed: int = 42, variant: str = "paper") -> DataFrame:
+    """One row: clusters wanted and found, the smallest one's size, the indices of the spaces there are, and their z scores.
 
     df has (id, vec, label), or (id, label) without features; edges may be missing.
     """
     sizes = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     row = sizes.agg(F.count(F.lit(1)).alias("K"), F.min("n").alias("min_size"))
     row = row.select(F.lit(method).alias("method"), F.lit(period).alias("period"), F.lit(k_target).alias("K_target"), "K", "min_size")
-    if "vec" in df.columns:
-        row = row.crossJoin(silhouette(df)).crossJoin(calinski_harabasz(df)).crossJoin(s_dbw(df))
-    if edges is not None:
-        row = row.crossJoin(graph_indices(edges, df.select("id", "label")))
-    return row
+    table = scores(df, edges, permutations(df, n_perm, seed), variant)
+    z = permutation_z(table)
+    at = lambda c, x: F.max(F.when(F.col("name") == c, F.col(x)))
+    names = [c for c in table.columns if c != "perm"]
+    return row.crossJoin(z.agg(*[at(c, "observed").alias(c) for c in names], *[at(c, "z").alias(f"z_{c}") for c in names]))
 
 
 def gradient_norms(df: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import haversine
-from ..operators import features, graph, panel, similarity, validity
-from .base import CATEGORIES, EM, PY, query, r6, sales, table, vectors, with_, yearly
+from ..operators import dynamics, features, graph, methods, panel, similarity, validity
+from .base import CATEGORIES, EM, PY, query, r6, sales, table, vectors, wide_yearly, with_, yearly
 
 _COS = "cs AS (SELECT a.id AS i, b.id AS j, list_dot_product(a.vec, b.vec) / (greatest(sqrt(list_dot_product(a.vec, a.vec)), 1e-12) * greatest(sqrt(list_dot_product(b.vec, b.vec)), 1e-12)) AS w FROM em a JOIN em b ON a.id <> b.id)"
 _TOP = "tk AS (SELECT i, j, w, row_number() OVER (PARTITION BY i ORDER BY w DESC, j) AS rank FROM cs QUALIFY row_number() OVER (PARTITION BY i ORDER BY w DESC, j) <= 15)"
@@ -215,25 +215,135 @@ def block_matrix_avi_avu_q(spark, sf):
     return g.select(*[r6(c).alias(c.lower()) for c in ("AVI", "AVU", "ANUI", "MQ")])
 
 
-@query()
+#: Shuffles that SQL can make too: the order of ids by a product modulo a prime.
+N_PERM = 200
+_SHUFFLE = f"""pm AS (SELECT 0 AS perm, id, label FROM em UNION ALL
+  SELECT x.perm, x.id, y.label FROM (SELECT perm, id, row_number() OVER (PARTITION BY perm ORDER BY (id + 1) * (perm * 7919 + 104729) % 1000003, id) AS r FROM em, (SELECT unnest(range(1, {N_PERM + 1})) AS perm)) x
+  JOIN (SELECT label, row_number() OVER (ORDER BY id) AS r FROM em) y ON x.r = y.r)"""
+_PERM_GRAPH = """pb AS (SELECT x.perm, x.label AS a, y.label AS b, sum(w) AS s FROM kg JOIN pm x ON x.id = src JOIN pm y ON y.id = dst AND y.perm = x.perm GROUP BY ALL),
+pn AS (SELECT DISTINCT perm, label AS a FROM pm),
+pt AS (SELECT pn.perm, pn.a, coalesce(sum(s), 0) AS tot, coalesce(sum(CASE WHEN pb.b = pn.a THEN s END), 0) AS own FROM pn LEFT JOIN pb ON pb.perm = pn.perm AND pb.a = pn.a GROUP BY ALL),
+pu AS (SELECT pb.perm, sum(CASE WHEN x.tot - x.own + y.tot - y.own - s > 0 THEN s / (x.tot - x.own + y.tot - y.own - s) ELSE 0 END) AS u FROM pb JOIN pt x ON x.perm = pb.perm AND x.a = pb.a JOIN pt y ON y.perm = pb.perm AND y.a = pb.b WHERE pb.a <> pb.b GROUP BY pb.perm),
+pi AS (SELECT perm, sum(CASE WHEN tot > 0 THEN own / tot ELSE 0 END) / count(*) AS avi, any_value(u) / count(*) AS avu, sum(own) / sum(tot) - sum(tot * tot) / pow(sum(tot), 2) AS mq FROM pt JOIN pu USING (perm) GROUP BY perm),
+pg AS (SELECT perm, label, f, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM (SELECT pm.perm, pm.label, lv.f, lv.x FROM pm JOIN lv USING (id)) GROUP BY ALL),
+pc AS (SELECT perm, (sum(pg.n * pow(pg.m - t.m, 2)) / (count(DISTINCT label) - 1)) / (sum(pg.n * pg.v) / ((SELECT count(*) FROM em) - count(DISTINCT label))) AS ch FROM pg JOIN (SELECT f, avg(x) AS m FROM lv GROUP BY f) t USING (f) GROUP BY perm),
+pd AS (SELECT a.id AS i, b.id AS j, list_distance(a.vec, b.vec) AS d FROM em a JOIN em b ON a.id <> b.id),
+ps AS (SELECT x.perm, x.id, x.label, y.label AS other, sum(d) AS s, count(*) AS n FROM pd JOIN pm x ON x.id = i JOIN pm y ON y.id = j AND y.perm = x.perm GROUP BY ALL),
+pr AS (SELECT perm, id, label, max(CASE WHEN label = other THEN s / n END) AS a, min(CASE WHEN label <> other THEN s / n END) AS b FROM ps GROUP BY ALL),
+pw AS (SELECT perm, avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS sw FROM pr GROUP BY perm),
+pl AS (SELECT perm, unnest(['SW', 'CH', 'AVI', 'AVU', 'ANUI', 'MQ']) AS name, unnest([sw, ch, avi, avu, CASE WHEN avi = 0 THEN 0 ELSE 1 / (avu + 1 / avi) END, mq]) AS x FROM pi JOIN pc USING (perm) JOIN pw USING (perm)),
+pz AS (SELECT name, max(CASE WHEN perm = 0 THEN x END) AS observed, avg(x) FILTER (perm > 0) AS mean, stddev_pop(x) FILTER (perm > 0) AS sd FROM pl GROUP BY name)
+"""
+
+
+@query(with_(EM, _COS, _TOP, _KNN, _LONG, _SHUFFLE, _PERM_GRAPH) + "SELECT name, round(observed, 6) AS observed, round(mean, 6) AS mean, round(sd, 6) AS sd, round(CASE WHEN sd > 0 THEN (observed - mean) / sd END, 4) AS z FROM pz")
 def permutation_z(spark, sf):
-    """Modularity against 20 shuffles of the labels."""
-    z = validity.permutation_z(_knn(spark, sf), validity.permutations(vectors(spark, sf), 20))
-    return z.select(*[r6(c).alias(c) for c in z.columns])
+    """Every index but S_Dbw of the given labels against 200 shuffles of them."""
+    v = vectors(spark, sf)
+    perms = validity.permutations(v, N_PERM, order=(F.col("id") + 1) * (F.col("perm").cast("long") * 7919 + 104729) % 1000003)
+    z = validity.permutation_z(validity.scores(v, _knn(spark, sf), perms).drop("S_Dbw"))
+    return z.select("name", *[r6(c, 4 if c == "z" else 6).alias(c) for c in ("observed", "mean", "sd", "z")])
+
+
+def _through(spark, sf):
+    """(id, vec, shares): standardised means and trends, and mean shares, of the suppliers with all years."""
+    cols = [*[f"share_{p}" for p in CATEGORIES[:5]], "level", "growth"]
+    raw = features.raw(wide_yearly(spark, sf), CATEGORIES[:5])
+    mean = features.mean_and_trend(raw, cols, F.col("period"))
+    both = [f"{kind}_{c}" for c in cols for kind in ("mean", "trend")]
+    x = features.standardise_all(mean.fillna(0.0, both), both).select(F.col("entity").alias("id"), F.array(*both).alias("vec"))
+    shares = mean.select(F.col("entity").alias("id"), F.array(*[f"mean_share_{p}" for p in CATEGORIES[:5]]).alias("shares"))
+    whole = _series(spark, sf).select("id", F.element_at("vecs", -1).alias("series"), "vecs")
+    return x.join(shares, "id").join(whole, "id")
+
+
+def _nearness(ids, k):
+    """(i, j, w) for both orders: proximity of suppliers at places made of their numbers."""
+    place = ids.select("id", (F.lit(-60.0) + F.col("id") * 37 % 120).alias("lat"), (F.lit(-170.0) + F.col("id") * 83 % 340).alias("lon"))
+    a, b = (place.select(F.col("id").alias(k), F.col("lat").alias(f"lat_{k}"), F.col("lon").alias(f"lon_{k}")) for k in "ij")
+    pairs = a.join(b, F.lit(True))  # the kernel's scale is a median over all pairs
+    none = pairs.where(F.lit(False)).select("i", "j", F.lit(0.0).alias("distance"))
+    return similarity.proximity(similarity.tiered_distance(pairs, none, none), k).where("i <> j").select("i", "j", F.col("p").alias("w"))
 
 
 @query()
 def network_ablation(spark, sf):
-    """Graphs of one set of vectors side by side: size, components, likeness to the first, agreement with given labels."""
-    v = vectors(spark, sf)
-    nodes, labels = v.select(F.col("id").alias("node")), v.select("id", "label")
-    top = similarity.cosine_topk(v.select("id", "vec"), 15).select("i", "j", "w", "rank")
-    base = graph.knn_graph(top.select("i", "j", "w"))
-    graphs = {"knn15": base, "knn5": graph.knn_graph(top.where("rank <= 5").select("i", "j", "w")), "top1pct": _threshold(spark, sf)}
-    out = None
-    for name, g in graphs.items():
-        row = graph.statistics(nodes, g).crossJoin(graph.edge_jaccard(base, g).select("jaccard")).crossJoin(validity.graph_indices(g, labels).select("MQ")).select(F.lit(name).alias("graph"), "*")
-        out = row if out is None else out.unionByName(row)
+    """Seven graphs over the suppliers' panel and one by time warping of 500 of them: size, likeness to the first, communities
+    at resolution 1 and at 7, their indices and agreement with k-means, and the k-means' indices on each graph, z against 200 shuffles."""
+    k, top, types, sample = 15, 0.011, 7, 500
+    x = graph.settled(_through(spark, sf))
+    v = x.select("id", "vec")
+    cos = graph.settled(similarity.cosine_pairs(x.select("id", F.col("shares").alias("vec"))))
+    near = graph.settled(_nearness(x.select("id"), k))
+    lag = graph.settled(similarity.lag_pairs(x.select("id", "vecs")).select("i", "j", "w"))
+    swapped = lambda p: p.unionByName(p.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    both_cos = swapped(cos)
+    combo = similarity.combine(both_cos, near.withColumnRenamed("w", "p"))
+    nearest = lambda pairs: graph.knn_graph(graph.best_neighbours(pairs, k).select("i", "j", "w"))
+    strong = lambda pairs: graph.threshold_graph(pairs.where("i < j"), top)
+    some = graph.settled(x.orderBy(F.xxhash64("id", F.lit(42)), "id").limit(sample).select("id", F.col("series").alias("vec")))
+    warped = graph.settled(similarity.dtw_pairs(some, 3))
+    half = warped.agg(F.median("d").alias("m"))
+    warped = warped.crossJoin(F.broadcast(half)).select("i", "j", F.exp(-F.col("d") / F.col("m")).alias("w"))
+    inside = lag.join(some.select(F.col("id").alias("i")), "i", "left_semi").join(some.select(F.col("id").alias("j")), "j", "left_semi")
+    made = {"cosine_knn": nearest(both_cos), "cosine_thr": strong(cos), "lagcorr_knn": nearest(lag), "lagcorr_thr": strong(lag), "distance_knn": nearest(near), "combo_knn": nearest(combo), "combo_thr": strong(combo), "dtw_knn": nearest(swapped(warped))}
+    edges = None
+    for name, g in made.items():
+        part = g.select(F.lit(name).alias("graph"), "src", "dst", "w")
+        edges = part if edges is None else edges.unionByName(part)
+    edges = graph.settled(edges)
+    ids = x.select("id")
+    nodes = ids.join(F.broadcast(spark.createDataFrame([(n,) for n in made if n != "dtw_knn"], "graph string")), F.lit(True)).unionByName(some.select("id", F.lit("dtw_knn").alias("graph")))
+    nodes = graph.settled(nodes)
+    means = graph.settled(methods.kmeans(v, types))
+    found = graph.settled(methods.leiden_graphs(edges, nodes, types))
+
+    # size, parts and likeness of all graphs at once; (graph, id) is one number for the components
+    one_of = {n: F.lit(j << 40) for j, n in enumerate(made)}
+    number = F.coalesce(*[F.when(F.col("graph") == n, x) for n, x in one_of.items()])
+    parts = graph.components(nodes.select((number + F.col("id")).alias("node")), edges.select((number + F.col("src")).alias("src"), (number + F.col("dst")).alias("dst")))
+    parts = {list(made)[r["g"]]: r["n"] for r in parts.groupBy(F.expr("node div 1099511627776").cast("int").alias("g")).agg(F.countDistinct("root").alias("n")).collect()}
+    degree = nodes.join(edges.groupBy("graph", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d")), ["graph", "id"], "left")
+    size = {r["graph"]: r for r in degree.groupBy("graph").agg((F.coalesce(F.sum("d"), F.lit(0)) / 2).cast("long").alias("n_edges"), F.avg(F.coalesce("d", F.lit(0))).alias("mean_degree"), F.count_if(F.col("d").isNull()).alias("n_isolates")).collect()}
+    first = edges.where("graph = 'cosine_knn'").select(F.explode(F.array(*[F.lit(n) for n in made if n != "dtw_knn"])).alias("graph"), "src", "dst")
+    sub = nearest(inside).select(F.lit("dtw_knn").alias("graph"), "src", "dst")
+    told = edges.select("graph", "src", "dst", F.lit(1).alias("x")).join(first.unionByName(sub).withColumn("y", F.lit(1)), ["graph", "src", "dst"], "full")
+    alike = {r["graph"]: r["j"] for r in told.groupBy("graph").agg((F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()) / F.count(F.lit(1))).alias("j")).collect()}
+
+    rows = []
+    km_perms, n_km = _arrays(means)
+    for name in made:
+        g, own = edges.where(F.col("graph") == name), found.where(F.col("graph") == name)
+        at_k, at_one = own.select("id", F.col("at_k").alias("label")), own.select("id", F.col("at_one").alias("label"))
+        row = {"graph": name, **{c: size[name][c] for c in ("n_edges", "mean_degree", "n_isolates")}, "n_components": parts[name], "jaccard": alike[name]}
+        one = validity.graph_indices(g, at_one).select("MQ").crossJoin(at_one.agg(F.countDistinct("label").alias("K"))).first()
+        row |= {"leiden_one_K": one["K"], "leiden_one_MQ": one["MQ"]}
+        row |= {"kmeans_K": n_km, **_observed(validity.graph_scores(g, km_perms, N_PERM + 1, n_km), "kmeans", ("AVI", "AVU", "MQ"))}
+        # isolated suppliers are communities of their own: with more parts than types there is no partition into types
+        if name != "dtw_knn" and parts[name] <= types:
+            wide, n_ld = _arrays(at_k)
+            z = validity.graph_scores(g, wide, N_PERM + 1, n_ld) | validity.feature_scores(v.join(wide.select("id", F.slice("labels", 1, 1).alias("labels")), "id"), 1, n_ld)
+            ari = dynamics.adjusted_rand(dynamics.crosstab(*(t.select(F.col("id").alias("entity"), "label") for t in (means, at_k)))).first()["ari"]
+            row |= {"leiden_K": n_ld, "ari": ari, **_observed(z, "leiden", ("AVI", "AVU", "MQ")), **{f"leiden_{c}": float(z[c][0]) for c in ("SW", "CH", "S_Dbw")}}
+        rows.append(row)
+    names = ["mean_degree", "jaccard", "leiden_one_MQ", *[f"{m}_{z}{c}" for m in ("kmeans", "leiden") for z in ("", "z_") for c in ("AVI", "AVU", "MQ")], "leiden_SW", "leiden_CH", "leiden_S_Dbw", "ari"]
+    counts = ["n_edges", "n_isolates", "n_components", "leiden_one_K", "kmeans_K", "leiden_K"]
+    made_of = [(r["graph"], *(r.get(c) for c in counts), *(None if r.get(c) is None else round(float(r[c]), 6) for c in names)) for r in rows]
+    return spark.createDataFrame(made_of, "graph string, " + ", ".join([*(f"{c} long" for c in counts), *(f"{c} double" for c in names)]))
+
+
+def _arrays(labels):
+    """Label arrays of a labelling and its shuffles, and its number of labels."""
+    wide, _, k = validity.label_arrays(validity.permutations(labels, N_PERM))
+    return graph.settled(wide), k
+
+
+def _observed(table, method, names):
+    """The first value of each index, and its z score among the others."""
+    out = {}
+    for c in names:
+        seen, rest = table[c][0], table[c][1:]
+        out[f"{method}_{c}"], out[f"{method}_z_{c}"] = float(seen), float((seen - rest.mean()) / rest.std()) if rest.std() > 0 else None
     return out
 
 
@@ -244,6 +354,6 @@ def gradient_norm(spark, sf):
 
 @query()
 def evaluation_row(spark, sf):
-    """All indices of the given labels, in features and on the nearest-neighbour graph."""
-    row = validity.evaluate(vectors(spark, sf), _knn(spark, sf), "given", "all", 10)
+    """All indices of the given labels, in features and on the nearest-neighbour graph, with z scores against 200 shuffles."""
+    row = validity.evaluate(vectors(spark, sf), _knn(spark, sf), "given", "all", 10, N_PERM)
     return row.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in row.dtypes])
