@@ -34,6 +34,13 @@ def knn_symmetric_graph(spark, sf):
     return _knn(spark, sf).select("src", "dst", r6("w").alias("w"))
 
 
+@query(with_(EM, _COS, _TOP, "kp AS (SELECT src, dst, max(w) AS w FROM (SELECT i AS src, j AS dst, w FROM tk WHERE rank <= 10 UNION ALL SELECT j, i, w FROM tk WHERE rank <= 10) GROUP BY src, dst)") + "SELECT src, dst, round(w, 6) AS w FROM kp")
+def knn_graph_any_sign(spark, sf):
+    """Ten nearest by cosine, whatever its sign."""
+    top = similarity.cosine_topk(vectors(spark, sf).select("id", "vec"), 10).select("i", "j", "w")
+    return graph.knn_graph(top, positive=False).select("src", "dst", r6("w").alias("w"))
+
+
 @query(with_(EM, _COS, _THR) + "SELECT src, dst, round(w, 6) AS w FROM tg")
 def threshold_graph(spark, sf):
     return _threshold(spark, sf).select("src", "dst", r6("w").alias("w"))
@@ -143,15 +150,31 @@ def capitals_distance(spark, sf):
     return n.select("id", r6(km).alias("km"))
 
 
-@query()
+def _warp(length: int, band: int) -> str:
+    """The cells of the table of warped distances, row by row."""
+    cells = []
+    for r in range(1, length + 1):
+        for c in range(max(1, r - band), min(length, r + band) + 1):
+            before = [f"c{x}_{y}" for x, y in ((r - 1, c), (r, c - 1), (r - 1, c - 1)) if x >= 1 and max(1, x - band) <= y <= min(length, x + band)]
+            cells.append(f"pow(a.z{r} - b.z{c}, 2)" + (f" + least({', '.join(before)})" if before else "") + f" AS c{r}_{c}")
+    return ", ".join(cells)
+
+
+_DTW = """yt AS (SELECT entity, period, sum(value) AS v FROM py GROUP BY entity, period),
+yz AS (SELECT entity, period, (v - avg(v) OVER w) / greatest(stddev_pop(v) OVER w, 1e-12) AS z FROM yt WINDOW w AS (PARTITION BY entity)),
+zz AS (SELECT entity, """ + ", ".join(f"max(CASE WHEN period = {1994 + r} THEN z END) AS z{r}" for r in range(1, 8)) + f""" FROM yz GROUP BY entity HAVING count(*) = 7),
+dp AS (SELECT a.entity AS i, b.entity AS j, {_warp(7, 3)} FROM zz a JOIN zz b ON a.entity < b.entity), dw AS (SELECT i, j, sqrt(c7_7) AS d FROM dp)"""
+
+
+@query(with_(PY, _DTW) + "SELECT i, j, round(d, 6) AS d FROM dw")
 def dtw(spark, sf):
-    """Time-warping distances of the suppliers' yearly totals."""
+    """Time-warping distances of the yearly totals of the suppliers in the balanced panel (all years)."""
     long = yearly(spark, sf).groupBy("entity", "period").agg(F.sum("value").alias("value"))
     s = long.groupBy(F.col("entity").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("period", "value"))), lambda x: x["value"]).alias("vec")).where(F.size("vec") == 7)
     return similarity.dtw_pairs(s, 3).select("i", "j", r6("d").alias("d"))
 
 
-@query()
+@query(with_(PY, _DTW) + "SELECT i, j, round(exp(-round(d, 6) / (SELECT median(round(d, 6)) FROM dw)), 6) AS w FROM dw")
 def dtw_similarity(spark, sf):
     """exp(-distance over the median distance)."""
     d = dtw(spark, sf)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fca, features, methods, panel, patterns, profiles, serving
 from ..sources import tables
-from .base import EM, LQ, LY, PARTS, PY, PQ, WY, labels_quarterly, labels_yearly, query, r6, table, vectors, wide_yearly, with_, yearly
+from .base import CATEGORIES, EM, LQ, LY, PARTS, PY, PQ, WY, labels_quarterly, labels_yearly, query, r6, table, vectors, wide_yearly, with_, yearly
 
 _PAIRS = [(a, b) for i, a in enumerate(PARTS) for b in PARTS[i + 1 :]]
 _CODE = "array_to_string([" + ", ".join(f"CAST(sign({a} - {b}) AS INT)" for a, b in _PAIRS) + "], ',')"
@@ -209,6 +209,44 @@ def quartile_masks(spark, sf):
     return _objects(spark, sf)
 
 
+@query(with_(PY, WY, LY, _ET, _MODAL, _TB, _RT, _OB) + "SELECT a AS attribute, id FROM ob, (SELECT unnest([1, 10, 68]) AS a) WHERE mask & a = a")
+def fca_extent(spark, sf):
+    """The objects that have all attributes of some sets."""
+    ob, out = _objects(spark, sf), None
+    for a in (1, 10, 68):
+        part = fca.extent(ob, a).select(F.lit(a).alias("attribute"), "id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(with_(PY, WY, LY, _ET, _MODAL, _TB, _RT, _OB) + f"SELECT label, CAST(bit_and(mask) AS BIGINT) AS intent FROM ob GROUP BY label UNION ALL SELECT NULL, {(1 << _N) - 1}")
+def fca_intent(spark, sf):
+    """What the objects of each label have in common, and what no objects have: all attributes."""
+    ob, every = _objects(spark, sf), (1 << _N) - 1
+    each = ob.groupBy("label").agg(F.bit_and("mask").alias("intent"))
+    return each.unionByName(fca.intent(ob.where("false"), every).select(F.lit(None).cast(dict(ob.dtypes)["label"]).alias("label"), "intent"))
+
+
+_YEARS = """yc AS (SELECT period, category, sum(CAST(value AS DECIMAL(18,2))) AS v FROM py GROUP BY period, category),
+ym AS (SELECT period, CAST(sum(CASE WHEN v >= m THEN 1 << k ELSE 0 END) AS BIGINT) AS mask FROM yc JOIN (SELECT category, avg(v) AS m, row_number() OVER (ORDER BY category) - 1 AS k FROM yc GROUP BY category) USING (category) GROUP BY period),
+yk AS (SELECT mask, row_number() OVER (ORDER BY period) - 1 AS k FROM ym),
+sb AS (SELECT s, coalesce(bit_and(mask), 63) AS intent FROM (SELECT unnest(range(CAST(pow(2, (SELECT count(*) FROM yk)) AS BIGINT))) AS s) LEFT JOIN yk ON (s >> k) & 1 = 1 GROUP BY s),
+sc AS (SELECT CAST(intent AS BIGINT) AS intent, count(*) AS subsets FROM sb GROUP BY intent)"""
+
+
+@query(with_(PY, _YEARS) + "SELECT intent, extent, subsets / pow(2, extent) AS stability FROM (SELECT intent, subsets, (SELECT count(*) FROM yk WHERE mask & intent = intent) AS extent FROM sc)")
+def fca_exact(spark, sf):
+    """All concepts and their stability, of years as objects and types above their mean as attributes."""
+    total = yearly(spark, sf).groupBy("period", "category").agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("v"))
+    mean = total.groupBy("category").agg(F.avg("v").alias("m"))
+    bit = F.lit(0).cast("long")
+    for k, c in enumerate(CATEGORIES):
+        bit = bit + F.when((F.col("category") == c) & (F.col("v") >= F.col("m")), 1 << k).otherwise(0)
+    masks = total.join(mean, "category").groupBy("period").agg(F.sum(bit).alias("mask")).orderBy("period").collect()
+    rows = fca.exact_stability([int(r["mask"]) for r in masks], (1 << len(CATEGORIES)) - 1)
+    return spark.createDataFrame(rows, "intent long, extent long, stability double")
+
+
 @query(with_(PY, WY, LY, _ET, _MODAL, _TB, _RT, _OB, _GEN, _CO) + "SELECT intent, g, CAST(len AS INT) AS len, extent FROM co")
 def fca_closures(spark, sf):
     return fca.concepts(_objects(spark, sf), fca.generators(spark, _N, 3))
@@ -320,6 +358,16 @@ def ward(spark, sf):
     return methods.sweep(_features(spark, sf), "ward", [4, 6])
 
 
+@query()
+def sweep(spark, sf):
+    """k-means and Ward for every year and 4 to 12 types."""
+    x, out = _features(spark, sf), None
+    for name in ("kmeans", "ward"):
+        part = methods.sweep(x, name, range(4, 13)).select(F.lit(name).alias("method"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query()
 def spectral(spark, sf):
     return methods.sweep(_features(spark, sf), "spectral", [4])

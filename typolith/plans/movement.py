@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dynamics, ranking, serving
+from ..operators import dynamics, methods, ranking, serving
 from .base import LQ, LY, PQ, PY, labels_quarterly, labels_yearly, query, r6, table, with_
 
 
@@ -214,6 +214,21 @@ def quarter_ties(spark, sf):
     return dynamics.triple_ties(labels_quarterly(spark, sf), F.floor(F.col("period") / 3))
 
 
+#: Labels whose numbers turn with the year, and all ways to name them after those of 1998.
+_ALIGN = """tl AS (SELECT entity, period, (label + period) % 6 AS label FROM ly), rf AS (SELECT entity, label FROM ly WHERE period = 1998),
+ov AS (SELECT p.period, x.x, y.y, count(rf.entity) AS n FROM (SELECT DISTINCT period FROM tl) p, (SELECT unnest(range(6)) AS x) x, (SELECT unnest(range(6)) AS y) y LEFT JOIN tl ON tl.period = p.period AND tl.label = x.x LEFT JOIN rf ON rf.entity = tl.entity AND rf.label = y.y GROUP BY ALL),
+w(period, path, n) AS (SELECT DISTINCT period, CAST([] AS BIGINT[]), CAST(0 AS BIGINT) FROM ov UNION ALL SELECT w.period, list_append(path, y), w.n + ov.n FROM w JOIN ov ON ov.period = w.period AND ov.x = len(path) WHERE NOT list_contains(path, y)),
+bp AS (SELECT period, path FROM w WHERE len(path) = 6 QUALIFY row_number() OVER (PARTITION BY period ORDER BY n DESC, path) = 1)"""
+
+
+@query(with_(PY, LY, _ALIGN) + "SELECT entity, tl.period, CAST(path[label + 1] AS INT) AS label FROM tl JOIN bp ON bp.period = tl.period")
+def aligned_types(spark, sf):
+    """Each year's labels, whose numbers turn with the year, renamed by greatest overlap with 1998's."""
+    labels = labels_yearly(spark, sf)
+    turned = labels.select("entity", "period", ((F.col("label") + F.col("period")) % 6).cast("int").alias("label"))
+    return methods.align(turned, labels.where("period = 1998").select("entity", "label"))
+
+
 _IX = """ix AS (SELECT l_returnflag || l_linestatus AS method, CAST(year(l_shipdate) AS VARCHAR) AS period, round(avg(l_discount), 9) AS SW, round(avg(l_quantity), 9) AS CH, round(avg(l_tax), 9) AS S_Dbw, round(stddev_pop(l_quantity), 9) AS z_AVI, CASE WHEN l_returnflag = 'N' AND year(l_shipdate) = 1999 THEN NULL ELSE round(stddev_pop(l_discount), 9) END AS z_AVU FROM lineitem GROUP BY l_returnflag, l_linestatus, year(l_shipdate)
   UNION ALL SELECT l_returnflag || l_linestatus, 'all', round(avg(l_discount), 9), round(avg(l_quantity), 9), round(avg(l_tax), 9), round(stddev_pop(l_quantity), 9), round(stddev_pop(l_discount), 9) FROM lineitem GROUP BY l_returnflag, l_linestatus)"""
 _COLS = ["SW", "CH", "S_Dbw", "z_AVI", "z_AVU"]
@@ -248,25 +263,25 @@ def grades_threshold(spark, sf):
     return g.select("method", "period", *[f"grade_{c}" for c in _COLS], "n_grade1", "n_grade2", "n_grade3", "threshold_place")
 
 
-_BORDA = "bo AS (SELECT *, " + " + ".join(f"({_ARANK(c)}) - 1" for c in _COLS) + " AS points FROM ix WHERE period <> '1999')"
+_BORDA = "bo AS (SELECT *, " + " + ".join(f"({_ARANK(c)}) - 1" for c in _COLS) + " AS points FROM ix)"
 
 
-@query(with_(_IX, _BORDA) + "SELECT method, period, CAST(points AS DOUBLE) AS borda_points, CAST(rank() OVER (PARTITION BY period ORDER BY points DESC) AS INT) AS borda_place FROM bo")
+@query(with_(_IX, _BORDA) + "SELECT method, period, CAST(points AS DOUBLE) AS borda_points, CAST(rank() OVER (PARTITION BY period ORDER BY points DESC NULLS LAST) AS INT) AS borda_place FROM bo")
 def borda_places(spark, sf):
-    return ranking.borda(_indices(spark, sf).where("period <> '1999'"), ["period"], _COLS).select("method", "period", F.col("borda_points").cast("double").alias("borda_points"), "borda_place")
+    return ranking.borda(_indices(spark, sf), ["period"], _COLS).select("method", "period", F.col("borda_points").cast("double").alias("borda_points"), "borda_place")
 
 
 _FEW = _COLS[:-1]
 
 
-@query(with_(_IX, _GRADES, f"t AS (SELECT *, rank() OVER (PARTITION BY period ORDER BY {_count(3, _COLS)}, {_count(2, _COLS)}) AS p1, rank() OVER (PARTITION BY period ORDER BY {_count(3, _FEW)}, {_count(2, _FEW)}) AS p2 FROM gr WHERE period <> '1999')",
-             "b AS (SELECT method, period, " + " + ".join(f"({_ARANK(c)})" for c in _COLS) + " AS s1, " + " + ".join(f"({_ARANK(c)})" for c in _FEW) + " AS s2 FROM ix WHERE period <> '1999')",
-             "m AS (SELECT t.method, t.period, p1, p2, rank() OVER (PARTITION BY t.period ORDER BY s1 DESC) AS b1, rank() OVER (PARTITION BY t.period ORDER BY s2 DESC) AS b2 FROM t JOIN b USING (method, period))",
+@query(with_(_IX, _GRADES, f"t AS (SELECT *, rank() OVER (PARTITION BY period ORDER BY {_count(3, _COLS)}, {_count(2, _COLS)}) AS p1, rank() OVER (PARTITION BY period ORDER BY {_count(3, _FEW)}, {_count(2, _FEW)}) AS p2 FROM gr)",
+             "b AS (SELECT method, period, " + " + ".join(f"({_ARANK(c)})" for c in _COLS) + " AS s1, " + " + ".join(f"({_ARANK(c)})" for c in _FEW) + " AS s2 FROM ix)",
+             "m AS (SELECT t.method, t.period, p1, p2, rank() OVER (PARTITION BY t.period ORDER BY s1 DESC NULLS LAST) AS b1, rank() OVER (PARTITION BY t.period ORDER BY s2 DESC NULLS LAST) AS b2 FROM t JOIN b USING (method, period))",
              "l AS (SELECT period, list(method ORDER BY method) FILTER (p1 = 1) = list(method ORDER BY method) FILTER (p2 = 1) AS same_threshold_leader, list(method ORDER BY method) FILTER (p1 = 1) = list(method ORDER BY method) FILTER (b1 = 1) AS same_leader FROM m GROUP BY period)")
        + "SELECT method, period, CAST(p1 AS INT) AS threshold_place, CAST(p2 AS INT) AS threshold_place_without, CAST(b1 AS INT) AS borda_place, CAST(b2 AS INT) AS borda_without_place, same_threshold_leader, same_leader FROM m JOIN l USING (period)")
 def method_ranking(spark, sf):
     """Places with and without one index, and whether leaders agree."""
-    r = ranking.ranking(_indices(spark, sf).where("period <> '1999'"), ["period"], _COLS, "z_AVU")
+    r = ranking.ranking(_indices(spark, sf), ["period"], _COLS, "z_AVU")
     return r.select("method", "period", "threshold_place", "threshold_place_without", "borda_place", "borda_without_place", "same_threshold_leader", "same_leader")
 
 
@@ -275,7 +290,7 @@ def borda_k(spark, sf):
     """The number of clusters with most points; the methods stand for numbers."""
     from pyspark.sql import Window
 
-    ix = _indices(spark, sf).where("period <> '1999'").withColumn("k", (F.rank().over(Window.partitionBy("period").orderBy("method")) + 3).cast("long"))
+    ix = _indices(spark, sf).withColumn("k", (F.rank().over(Window.partitionBy("period").orderBy("method")) + 3).cast("long"))
     return ranking.borda_best(ix, ["period"], "k", _COLS).select("period", "k", r6(F.col("points").cast("double")).alias("points"))
 
 

@@ -98,15 +98,15 @@ def latest_version(spark, sf):
     return panel.latest(_directory(spark, sf), ["entity"], [F.desc("year_from"), F.asc("code")])
 
 
-@query("""SELECT l_suppkey AS entity, round(sum(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END) / sum(l_extendedprice), 6) AS share_A, round(sum(CASE WHEN l_returnflag = 'N' THEN l_extendedprice END) / sum(l_extendedprice), 6) AS share_N,
-  round(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice END) / sum(l_extendedprice), 6) AS share_R, round(sum(l_extendedprice) / sum(l_quantity), 4) AS per_unit FROM lineitem WHERE year(l_shipdate) = 1998 GROUP BY l_suppkey""")
+@query("""SELECT l_suppkey AS entity, CAST(year(l_shipdate) AS INT) AS period, round(sum(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END) / sum(l_extendedprice), 6) AS share_A, round(sum(CASE WHEN l_returnflag = 'N' THEN l_extendedprice END) / sum(l_extendedprice), 6) AS share_N,
+  round(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice END) / sum(l_extendedprice), 6) AS share_R, round(sum(l_extendedprice) / sum(l_quantity), 4) AS per_unit FROM lineitem GROUP BY l_suppkey, year(l_shipdate)""")
 def attribute_pivot(spark, sf):
-    """Shares of sections in one year, and a ratio."""
-    rows = table(spark, sf, "lineitem").where(F.year("l_shipdate") == 1998)
-    long = rows.groupBy(F.col("l_suppkey").alias("entity"), F.col("l_returnflag").alias("category")).agg(F.sum("l_extendedprice").alias("value"))
-    wide = panel.pivot(long, ["A", "N", "R"], keys=("entity",))
-    total = rows.groupBy(F.col("l_suppkey").alias("entity")).agg(F.sum("l_extendedprice").alias("t"), F.sum("l_quantity").alias("q"))
-    return wide.join(total, "entity").select("entity", *[r6(F.col(c) / F.col("t")).alias(f"share_{c}") for c in "ANR"], r6(F.col("t") / F.col("q"), 4).alias("per_unit"))
+    """Shares of sections by year, and a ratio."""
+    rows = table(spark, sf, "lineitem").withColumns({"entity": F.col("l_suppkey"), "period": F.year("l_shipdate")})
+    long = rows.groupBy("entity", "period", F.col("l_returnflag").alias("category")).agg(F.sum("l_extendedprice").alias("value"))
+    total = rows.groupBy("entity", "period").agg(F.sum("l_extendedprice").alias("t"), F.sum("l_quantity").alias("q"))
+    wide = panel.pivot(long, ["A", "N", "R"]).join(total, ["entity", "period"])
+    return wide.select("entity", "period", *[r6(F.col(c) / F.col("t")).alias(f"share_{c}") for c in "ANR"], r6(F.col("t") / F.col("q"), 4).alias("per_unit"))
 
 
 def _profile_sql(column: str) -> str:
@@ -150,10 +150,10 @@ def panel_violations(spark, sf):
     return bad.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(with_(PY, "t AS (SELECT entity, category, value FROM py WHERE period = 1998)", "m AS (SELECT entity, CASE WHEN s_acctbal < 1000 THEN NULL ELSE s_acctbal END AS access FROM (SELECT DISTINCT entity FROM t) LEFT JOIN supplier ON s_suppkey = entity)")
+@query(with_(PY, "m AS (SELECT entity, CASE WHEN s_acctbal < 1000 THEN NULL ELSE s_acctbal END AS access FROM (SELECT DISTINCT entity FROM py) LEFT JOIN supplier ON s_suppkey = entity)")
        + "SELECT entity, coalesce(access, (SELECT min(access) FROM m)) AS access FROM m")
 def min_imputation(spark, sf):
-    ids = yearly(spark, sf).where("period = 1998").select("entity").distinct()
+    ids = yearly(spark, sf).select("entity").distinct()
     attr = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity"), F.when(F.col("s_acctbal") >= 1000, F.col("s_acctbal")).alias("access"))
     return features.fill_from_sample(ids, attr, "access")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,19 @@ PANEL = "territory_id int, month timestamp, category string, value double, share
 LABELS = "territory_id int, month string, label int"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="typolith-"))
+        held = sc._jsc.sc().getCheckpointDir()
+    return f"{held.get().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
@@ -34,9 +49,10 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
-    """One file; for small results."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+def write_delimited(df: DataFrame, path: str, sep: str = ",", compression: str = "none", files: int | None = 1) -> None:
+    """One file, for small results, or as many as there are partitions."""
+    out = df if files is None else df.coalesce(files)
+    out.write.mode("overwrite").option("header", True).option("sep", sep).option("compression", compression).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
