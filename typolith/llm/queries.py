@@ -86,8 +86,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of the mix: sizes and targets."""
+    return op2_entropy_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of the language model: folds, counts and the smoothed unigrams."""
+    out = op9_brown_lm(spark, sf_dir)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_mincut, op2_entropy_mix, op3_suffix_bwt, op4_weak_labels, op5_decontaminate, op6_line_rules, op7_zip_warc, op8_ngram_join, op9_brown_lm, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_html_mincut, op2_entropy_mix, op3_suffix_bwt, op4_weak_labels, op5_decontaminate, op6_line_rules, op7_zip_warc, op8_ngram_join, op9_brown_lm, op10_secret_scan, mix_targets, lm_base)}
 
 
 OP3_SQL = """
@@ -203,5 +214,27 @@ SELECT d.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank =
 FROM d LEFT JOIN tx USING (doc_id) GROUP BY d.doc_id"""
 
 
+#: Caps are met in the order of cap over weight; the first source whose share stays below its cap gives the common level.
+MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+o AS (SELECT *, 2.0 * source_size AS cap, row_number() OVER (ORDER BY 2.0 * source_size / w, encode(source) NULLS LAST) AS r FROM s),
+l AS (SELECT *, (1.5 * (SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER b, 0)) / ((SELECT sum(w) FROM s) - coalesce(sum(w) OVER b, 0)) AS level FROM o WINDOW b AS (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT level, r FROM l WHERE cap > w * level ORDER BY r LIMIT 1)
+SELECT doc_id, size, source_size, round(CASE WHEN r < coalesce((SELECT r FROM f), r + 1) THEN cap ELSE w * (SELECT level FROM f) END, 6) AS target
+FROM d JOIN l ON d.source IS NOT DISTINCT FROM l.source"""
+
+#: crc32 byte by byte, from its table.
+LM_SQL = r"""
+WITH ct AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: xor(a >> 1, 3988292384 * (a & 1))) AS v FROM (SELECT unnest(range(256)) AS i))),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, x: xor(a >> 8, t[CAST(1 + (xor(a, x) & 255) AS INT)])), 4294967295) % 7 = 2 AS held_out FROM documents, ct),
+k AS (SELECT doc_id, held_out, unnest(list_append(ws, chr(10))) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM k WHERE NOT held_out GROUP BY w),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n.n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 1) / (n.n + v + 1))), 5) AS base_score
+FROM k LEFT JOIN c USING (w), n GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_bwt": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_line_rules": OP6_SQL, "op7_zip_warc": OP7_SQL, "op8_ngram_join": OP8_SQL, "op10_secret_scan": OP10_SQL}
+    return {"op3_suffix_bwt": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_line_rules": OP6_SQL, "op7_zip_warc": OP7_SQL, "op8_ngram_join": OP8_SQL, "op10_secret_scan": OP10_SQL, "mix_targets": MIX_SQL, "lm_base": LM_SQL}
