@@ -4,15 +4,18 @@ A document is its set of word n-grams (five words; a shorter text with a word is
 gram; a text without words, null or empty, links to nothing).  Documents with equal sets
 are one class.  Classes that agree in a band of MinHash values are joined to the least
 class of that band, and components of those joins hold every candidate pair.  A
-component is cut into blocks; a task gets a pair of blocks, so that a large component is
-many tasks and each pair of classes meets in one.  There MinHash values are compared
+component is cut by set size, each step a ratio of 1.26, and then into blocks; a task gets a
+pair of blocks of the same or the next size, so that a large component is many tasks and
+each pair of classes whose sizes allow the threshold meets in one.  There MinHash values are compared
 step by step: a pair is dropped when, under a uniform prior, the posterior probability
 that its similarity reaches the threshold falls below the tolerance.  Pairs that are
 left are verified on the whole sets.  Nothing is capped: a task returns counts and a
 spanning star for each of its classes, never the pairs.
 
 With 32 bands of six a pair at the threshold of 0.8 shares no band once in 16,000.
-Sets are told apart by 64-bit hashes.  Rows with equal ids are rows of their own.
+Sets are told apart by 64-bit hashes.  Rows with equal ids are rows of their own; ids can
+be of any type, and null.  Other columns don't matter, whatever their names.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
 STEP = 32
 BLOCK = 512
+#: Sets whose sizes differ by more than 1.25 times can't reach 0.8; a step above that keeps all others in neighbouring steps.
+STEP_RATIO = 1.26
 
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -218,32 +223,37 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sign(c: Chunk) -> dict:
         sets = gram_sets(c, n)
-        return {"key": [set_key(s) if len(s) else None for s in sets], "bands": [band_keys(signature(s)) if len(s) else None for s in sets]}
+        return {"key": [set_key(s) if len(s) else None for s in sets], "bands": [band_keys(signature(s)) if len(s) else None for s in sets], "step": [int(np.log(len(s)) / ratio) if len(s) else None for s in sets]}
 
-    signed = cut(map_text(rows, "text", "key long, bands array<long>", sign).drop("text"), "join-signed")
-    classes = cut(signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "join-classes")
+    ratio = np.log(max(1.0, 1 / threshold) * (STEP_RATIO / 1.25))
+    signed = cut(map_text(rows, "text", "key long, bands array<long>, step int", sign).drop("text"), "join-signed")
+    classes = cut(signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("step").alias("step")), "join-classes")
 
     entries = classes.select("key", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("key").alias("low")).where("k > 1").drop("k")
     near = components(entries.join(buckets, "band").select(F.col("key").alias("a"), F.col("low").alias("b")))
     near = cut(near.withColumnsRenamed({"node": "key", "root": "comp"}), "join-comps")
 
-    # written, so that the join that follows can split a large component
-    sizes = cut(near.groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "join-sizes")
-    active = near.join(sizes, "comp").join(classes.drop("bands"), "key")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    active = active.select("key", "rep", "copies", "comp", blocks.alias("nb"), F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"))
+    # written, so that the joins that follow can split a large component
+    active = cut(near.join(classes.drop("bands"), "key"), "join-active")
+    sizes = active.groupBy("comp", "step").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    # the steps that each one meets: its own, and those before and after it that there are
+    beside = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))
+    beside = sizes.select("comp", beside.alias("step"), F.struct("step", "nb").alias("met")).groupBy("comp", "step").agg(F.collect_list("met").alias("met"))
+    steps = cut(sizes.join(beside, ["comp", "step"]), "join-steps")
+    number = lambda step, k: step.cast("long") * (1 << 32) + k
+    active = active.join(steps, ["comp", "step"]).select("key", "rep", "copies", "comp", number(F.col("step"), F.pmod(F.xxhash64("key"), F.col("nb"))).alias("block"), F.flatten(F.transform("met", lambda m: F.transform(F.sequence(F.lit(0), m["nb"] - 1), lambda k: number(m["step"], k)))).alias("others"))
 
     def payload(c: Chunk, part: pa.RecordBatch) -> Iterator[dict]:
         sets = gram_sets(c, n)
         want = part.column("key").to_pylist()
         ok = [k for k in range(c.n) if len(sets[k]) and set_key(sets[k]) == want[k]]
         take = part.take(pa.array(ok, pa.int64()))
-        yield {x: take.column(x) for x in ("key", "copies", "comp", "nb", "block")} | {"sig": [signature(sets[k]).tobytes() for k in ok], "grams": [sets[k].tobytes() for k in ok]}
+        yield {x: take.column(x) for x in ("key", "copies", "comp", "others", "block")} | {"sig": [signature(sets[k]).tobytes() for k in ok], "grams": [sets[k].tobytes() for k in ok]}
 
-    held = rows.join(active, rows["id"].eqNullSafe(active["rep"])).select("key", "copies", "comp", "nb", "block", "text")
-    loaded = emit_text(held, "text", "key long, copies long, comp long, nb int, block int, sig binary, grams binary", payload)
-    met = loaded.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    held = rows.join(active, rows["id"].eqNullSafe(active["rep"])).select("key", "copies", "comp", "others", "block", "text")
+    loaded = emit_text(held, "text", "key long, copies long, comp long, others array<long>, block long, sig binary, grams binary", payload)
+    met = loaded.select("*", F.explode("others").alias("other"))
     met = met.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block", "copies", "sig", "grams")
     few = fewest_matches(threshold, tolerance)
     found = met.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(lambda it: _block_pairs(it, threshold, few), "key long, n_links long, n_docs long, root long")
