@@ -20,7 +20,8 @@ the texts.  Texts are UTF-8; matches never cross texts.
 4. Spans go back to the runs with that content, and from runs to their texts.
 
 An anchor with very many contents is split before: windows go to pieces of 16 by their
-offset from the anchor, keyed by the bytes that all of the piece share.
+offset from the anchor, keyed by the bytes that all of the piece share.  Of pieces with
+equal bytes one goes on, so what meets in a task are a key's different strings.
 
 Texts shorter than ``length``, null and empty ones keep all bytes.  Equal rows repeat
 each other.  Grams, blocks and contents are told apart by 64-bit hashes.
@@ -238,22 +239,22 @@ def _emit_runs(length: int):
 
 
 def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by key; groups are merged together up to MERGE_BYTES."""
-    kinds = pa.schema([("f", pa.int64()), ("content", pa.int64()), ("spans", pa.list_(pa.int64()))])
+    """Rows (key, same, bytes, twice) come ordered by key; groups are merged together up to MERGE_BYTES."""
+    kinds = pa.schema([("key", pa.int64()), ("same", pa.int64()), ("spans", pa.list_(pa.int64()))])
 
     def judge(rows: list[tuple]) -> pa.RecordBatch:
-        flags = repeated([r[4] for r in rows], length)
-        out = [(r[1], r[2], _spans(f, length) + r[3]) for r, f in zip(rows, flags, strict=True) if f.any()]
+        flags = repeated([r[2] for r in rows], length)
+        out = [(r[0], r[1], np.array([0, len(r[2])]) if r[3] else _spans(f, length)) for r, f in zip(rows, flags, strict=True) if r[3] or f.any()]
         return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], schema=kinds)
 
     held: list[tuple] = []
     size, last = 0, None
     for batch in batches:
-        for key, f, content, off, bytes_ in zip(*(batch.column(n).to_pylist() for n in ("key", "f", "content", "off", "bytes")), strict=True):
+        for key, same, bytes_, twice in zip(*(batch.column(n).to_pylist() for n in ("key", "same", "bytes", "twice")), strict=True):
             if size >= MERGE_BYTES and key != last:
                 yield judge(held)
                 held, size = [], 0
-            held.append((key, f, content, off, bytes_))
+            held.append((key, same, bytes_, twice))
             size += len(bytes_)
             last = key
     if held:
@@ -298,9 +299,13 @@ def spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                     add(key, x["f"], x["content"], lo, True, text[s + lo : s + hi + length])
         yield out
 
-    loaded = emit_text(texts, "text", "key long, f long, content long, off long, piece boolean, bytes binary", load).distinct()
-    merged = loaded.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _merge(it, length), "f long, content long, spans array<long>")
-    parts = merged.groupBy("f", "content").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    loaded = emit_text(texts, "text", "key long, f long, content long, off long, piece boolean, bytes binary", load)
+    loaded = cut(loaded.withColumn("same", F.xxhash64("bytes")), "bwt-loaded")
+    # strings of two contents are repeats as they are, and stand once for others to meet
+    strings = loaded.groupBy("key", "same").agg(F.first("bytes").alias("bytes"), (F.min(F.struct("f", "content")) != F.max(F.struct("f", "content"))).alias("twice"))
+    merged = strings.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _merge(it, length), "key long, same long, spans array<long>")
+    met = loaded.select("key", "same", "f", "content", "off").distinct().join(merged, ["key", "same"])
+    parts = met.groupBy("f", "content").agg(F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("off")))).alias("spans"))
     whole = F.array(F.lit(0).cast("long"), (F.col("one.n") + length - 1).cast("long"))
     cover = contents.join(parts, ["f", "content"], "left").select("f", "content", F.when(F.col("times") > 1, whole).otherwise(F.col("spans")).alias("spans"))
     cover = cut(cover.where("spans is not null"), "bwt-cover")
