@@ -6,7 +6,8 @@ A line fails when it has a word and
   fewer than one of ``.,;:!?`` for eight words;
 * navigation: one-character separators are two or more and a fifth of its words,
   or all of its one to four words are menu words;
-* boilerplate: it holds a stock phrase, or four tenths or more of its words (five
+* boilerplate: it holds a stock phrase (English, French, German or Spanish; A-Z in
+  either case), or four tenths or more of its words (five
   words or more) repeat the word before.
 
 A document is rejected if the base rules fail (fewer than ``min_words`` words, or
@@ -30,7 +31,13 @@ from .rowmap import map_text
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = ["|", "»", "›", "·", "•", ">", "/", "-", "–", "—", "::"]
 MENU_WORDS = ["home", "about", "contact", "login", "logout", "register", "search", "menu", "next", "previous", "back", "top", "sitemap", "help", "faq", "share", "print", "subscribe", "skip", "more", "us", "up", "in", "sign"]
+MENU_WORDS += ["accueil", "connexion", "inscription", "rechercher", "recherche", "suivant", "précédent", "retour", "aide", "imprimer", "partager"]
+MENU_WORDS += ["startseite", "kontakt", "anmelden", "abmelden", "registrieren", "suche", "weiter", "zurück", "hilfe", "impressum", "drucken", "teilen"]
+MENU_WORDS += ["inicio", "contacto", "entrar", "registrarse", "buscar", "siguiente", "anterior", "volver", "ayuda", "menú", "imprimir", "compartir"]
 PHRASES = ["all rights reserved", "terms of use", "terms of service", "terms and conditions", "privacy policy", "cookie policy", "use cookies", "uses cookies", "accept cookies", "enable javascript", "javascript is disabled", "lorem ipsum", "click here", "read more", "sign up for our newsletter", "subscribe to our", "powered by", "skip to content", "back to top", "licensed under the", "without warranties or conditions of any kind"]
+PHRASES += ["tous droits réservés", "politique de confidentialité", "lire la suite", "cliquez ici", "utilise des cookies"]
+PHRASES += ["alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "hier klicken", "verwendet cookies"]
+PHRASES += ["todos los derechos reservados", "política de privacidad", "condiciones de uso", "leer más", "haga clic aquí", "utiliza cookies"]
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_failed_lines long, lost_chars long, base_failed boolean, kept boolean, cleaned_text string"
 

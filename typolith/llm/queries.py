@@ -178,9 +178,9 @@ f AS (SELECT doc_id, line, list_sum(list_transform(ws, lambda x: length(x))) AS
     OR (len(ws) >= 3 AND len(regexp_extract_all(line, '!')) >= 0.5 * len(ws))
     OR (NOT regexp_matches(ws[-1], '([.!?]["'')\]}*_]{0,2}|[…。！？”’›])$') AND len(regexp_extract_all(line, '[.,;:!?]')) * 8 < len(ws))
     OR len(list_filter(ws, lambda x: list_contains(SEPS, x))) >= greatest(2, 0.2 * len(ws))
-    OR (len(ws) <= 4 AND len(list_filter(ws, lambda x: list_contains(MENU, lower(x)))) = len(ws))
+    OR (len(ws) <= 4 AND len(list_filter(ws, lambda x: list_contains(MENU, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) = len(ws))
     OR (len(ws) >= 5 AND len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1])) >= 0.4 * len(ws))
-    OR regexp_matches(lower(line), 'STOCK') AS failed
+    OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'STOCK') AS failed
   FROM l WHERE len(ws) > 0),
 s AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (failed) AS n_failed_lines, coalesce(sum(chars) FILTER (failed), 0)::BIGINT AS lost_chars FROM f GROUP BY doc_id),
 a AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed,
