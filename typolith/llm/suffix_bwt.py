@@ -45,7 +45,7 @@ LENGTH, DEPTH = 400, 4
 #: Bytes of text whose grams are hashed at once.
 CHUNK = 1 << 20
 #: Bytes that a task merges at once, bytes of a shard, contents beyond which an anchor is split, windows of a piece.
-MERGE_BYTES, SHARD_BYTES, MANY, PIECE = 1 << 20, 1 << 17, 2000, 16
+MERGE_BYTES, SHARD_BYTES, MANY, PIECE = 1 << 20, 1 << 17, 300, 16
 
 
 # -- anchors ---------------------------------------------------------------
