@@ -77,3 +77,16 @@ def test_stream_fills_panel_cells(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.entity, r.category): r.value for r in spark.sql("select * from cells").collect()} == {(1, "a"): 5.0, (2, "b"): 1.0}
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    from typolith.functions.columns import exact_quantile
+
+    rng = np.random.default_rng(1)
+    for x in (rng.normal(size=5000), rng.integers(0, 7, 4001).astype(float), np.array([2.5]), np.repeat(3.0, 100)):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+        for q in (0.0, 0.01, 0.5, 0.989, 1.0):
+            assert abs(exact_quantile(df, "v", q) - np.quantile(x, q)) < 1e-12
+    assert exact_quantile(df.where("v is null"), "v", 0.5) is None

@@ -40,6 +40,27 @@ def table_ranks(df: DataFrame, value: str, out: str, buckets: int = 64) -> DataF
     return df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
+def exact_quantile(df: DataFrame, value: str, q: float, width: float = 3e-4) -> float | None:
+    """The quantile with linear interpolation, of all rows; null values don't count.
+
+    Approximate quantiles a little below and above bound it; what lies below is counted, and only
+    the rows between, a few of ten thousand, are ordered.
+    """
+    rows = df.select(F.col(value).cast("double").alias("x")).where("x is not null")
+    n, ends = rows.agg(F.count(F.lit(1)), F.percentile_approx("x", [max(0.0, q - width), min(1.0, q + width)], 10_000)).first()
+    if not n:
+        return None
+    at = (n - 1) * q
+    low, high = math.floor(at), math.ceil(at)
+    below, top = rows.agg(F.count_if(F.col("x") < ends[0]), F.count_if(F.col("x") <= ends[1])).first()
+    between = rows.where(F.col("x").between(*ends)) if below <= low and high < top else rows
+    first = below if below <= low and high < top else 0
+    # as many rows as equal values and the width leave
+    placed = between.withColumn("r", F.row_number().over(Window.orderBy("x")) - 1 + first)
+    got = {r["r"]: r["x"] for r in placed.where(F.col("r").isin(low, high)).collect()}
+    return got[low] + (at - low) * (got[high] - got[low])
+
+
 def zscore(value: Column, window: WindowSpec, clip: float | None = None) -> Column:
     """Standard score by the population deviation; a deviation of 0 counts as 1."""
     sd = F.stddev_pop(value).over(window)

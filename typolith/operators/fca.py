@@ -58,7 +58,8 @@ def stability_bounds(found: DataFrame, objects: DataFrame, n: int) -> DataFrame:
     """Append delta (least), sigma_low and sigma_up to concepts."""
     masks = objects.groupBy("mask").agg(F.count(F.lit(1)).alias("_n"))
     bits = F.sequence(F.lit(0), F.lit(n - 1))
-    met = found.select("intent", "extent").join(F.broadcast(masks), F.col("mask").bitwiseAND(F.col("intent")) == F.col("intent"))
+    # concepts are as many as generators at most; masks can be as many as objects
+    met = masks.join(F.broadcast(found.select("intent", "extent")), F.col("mask").bitwiseAND(F.col("intent")) == F.col("intent"))
     one = met.select("intent", "extent", "mask", "_n", F.explode(bits).alias("m")).where(F.expr("shiftright(intent, m) & 1 = 0"))
     gap = one.groupBy("intent", "extent", "m").agg(F.sum(F.when(F.expr("shiftright(mask, m) & 1 = 0"), F.col("_n")).otherwise(0)).alias("d"))
     bounds = gap.groupBy("intent").agg(F.min("d").alias("delta"), F.sum(F.pow(F.lit(2.0), -F.col("d"))).alias("_s"))
@@ -91,7 +92,7 @@ def rules(found: DataFrame, objects: DataFrame, n: int, precision: float = 0.5,
     masks = objects.groupBy("mask", "label").agg(F.count(F.lit(1)).alias("_n"))
     sizes = objects.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     total = objects.agg(F.count(F.lit(1)).alias("total"))
-    met = found.join(F.broadcast(masks), F.col("mask").bitwiseAND(F.col("intent")) == F.col("intent"))
+    met = masks.join(F.broadcast(found), F.col("mask").bitwiseAND(F.col("intent")) == F.col("intent"))
     hits = met.groupBy("intent", "g", "len", "extent", "label").agg(F.sum("_n").alias("n_in")).join(F.broadcast(sizes), "label").crossJoin(F.broadcast(total))
     hits = hits.withColumns({"precision": F.col("n_in") / F.col("extent"), "coverage": F.col("n_in") / F.col("size")})
     hits = hits.withColumns({"f1": 2 * F.col("precision") * F.col("coverage") / (F.col("precision") + F.col("coverage")), "lift": F.col("precision") / (F.col("size") / F.col("total"))})

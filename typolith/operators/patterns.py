@@ -31,7 +31,7 @@ def dictionary(coded: DataFrame) -> DataFrame:
 
 
 def clusters(coded: DataFrame) -> DataFrame:
-    return coded.join(F.broadcast(dictionary(coded).select("code", "cluster")), "code")
+    return coded.join(dictionary(coded).select("code", "cluster"), "code")
 
 
 def text(code: Column, names: Sequence[str]) -> Column:

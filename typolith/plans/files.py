@@ -73,3 +73,21 @@ def month_start(spark, sf):
     """Months as text, renamed and made the first day of the month."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("entity"), F.date_format("o_orderdate", "yyyy-MM").alias("date"))
     return o.select("entity", panel.month_start(F.col("date")).alias("month"))
+
+
+_POINTS = "SELECT n_nationkey AS id, n_name AS name, 'Point' AS geometry, -170 + (n_nationkey * 83 % 340) AS lon, -60 + (n_nationkey * 37 % 120) AS lat FROM nation"
+
+
+@query(_POINTS)
+def geojson_scan(spark, sf):
+    """Points of a feature collection, written as one file and as a feature a line, and read from both."""
+    n = table(spark, sf, "nation")
+    point = F.array(F.lit(-170) + F.col("n_nationkey") * 83 % 340, F.lit(-60) + F.col("n_nationkey") * 37 % 120)
+    f = n.select(F.lit("Feature").alias("type"), F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).alias("properties"), F.struct(F.lit("Point").alias("type"), point.alias("coordinates")).alias("geometry"))
+    one, each = tables.scratch(spark, "geo"), tables.scratch(spark, "geo-lines")
+    f.agg(F.lit("FeatureCollection").alias("type"), F.collect_list(F.struct("*")).alias("features")).coalesce(1).write.json(one)
+    f.write.json(each)
+    kinds = f"id: {dict(n.dtypes)['n_nationkey']}, name: string"
+    got = tables.geojson(spark, one, kinds).join(tables.geojson(spark, each, kinds, lines=True), ["id", "name", "geometry", "coordinates"])
+    at = F.from_json("coordinates", "array<int>")
+    return got.select("id", "name", "geometry", at[0].alias("lon"), at[1].alias("lat"))

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PANEL = "territory_id int, month timestamp, category string, value double, share double"
 LABELS = "territory_id int, month string, label int"
@@ -36,6 +37,17 @@ def delimited(spark: SparkSession, path: str, schema: str, sep: str = ";", heade
     return spark.read.schema(schema).option("sep", sep).option("header", header).option("mode", "PERMISSIVE").csv(path)
 
 
+def geojson(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
+    """(properties, geometry type, coordinates as JSON text) of the features of a collection, or of a feature a line, which splits."""
+    parts = T.StructType.fromDDL(f"type string, properties struct<{properties}>, geometry struct<type: string, coordinates: string>")
+    if lines:
+        rows = spark.read.schema(parts).json(path)
+    else:
+        whole = T.StructType([T.StructField("features", T.ArrayType(parts))])
+        rows = spark.read.schema(whole).option("multiLine", True).json(path).select(F.inline("features"))
+    return rows.select("properties.*", F.col("geometry.type").alias("geometry"), F.col("geometry.coordinates").alias("coordinates"))
+
+
 def all_strings(names: Sequence[str]) -> str:
     return ", ".join(f"`{n}` string" for n in names)
 
