@@ -35,25 +35,24 @@ def clusters(coded: DataFrame) -> DataFrame:
 
 
 def text(code: Column, names: Sequence[str]) -> Column:
-    """All-pairs code as 'a > b = c': features by net wins, '=' between equal ones; the first name first."""
+    """All-pairs code as 'a > b = c': features by net wins, '=' between equal ones; the first name first.
+
+    Pairs without a sign don't count, names that have no other pairs are left out; null if that leaves none.
+    """
     n = len(names)
     wins = []
     for f in range(n):
-        total = F.lit(0)
-        for k, (i, j) in enumerate(pairs(n)):
-            if f == i:
-                total = total + F.get(code, F.lit(k))
-            elif f == j:
-                total = total - F.get(code, F.lit(k))
-        wins.append(F.struct((-total).alias("s"), F.lit(f).alias("k"), F.lit(names[f]).alias("name")))
-    order = F.array_sort(F.array(*wins))
+        own = [F.get(code, F.lit(k)) * (1 if f == i else -1) for k, (i, j) in enumerate(pairs(n)) if f in (i, j)]
+        total = sum((F.coalesce(x, F.lit(0)) for x in own), F.lit(0))
+        wins.append(F.when(F.coalesce(*own).isNotNull(), F.struct((-total).alias("s"), F.lit(f).alias("k"), F.lit(names[f]).alias("name"))))
+    order = F.array_sort(F.array_compact(F.array(*wins)))
     start = F.struct(F.lit(None).cast("int").alias("s"), F.lit("").alias("t"))
 
     def step(acc: Column, x: Column) -> Column:
         sep = F.when(acc["s"].isNull(), "").when(acc["s"] == x["s"], " = ").otherwise(" > ")
         return F.struct(x["s"].alias("s"), F.concat(acc["t"], sep, x["name"]).alias("t"))
 
-    return F.aggregate(order, start, step, lambda a: a["t"])
+    return F.aggregate(order, start, step, lambda a: F.nullif(a["t"], F.lit("")))
 
 
 def merge(table: list[tuple[list[int], int, list[float]]], least: int = 2) -> dict[int, list[int]]:

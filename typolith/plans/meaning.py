@@ -38,8 +38,8 @@ def pattern_dictionary(spark, sf):
              "ord AS (SELECT *, row_number() OVER w AS rn, lag(net) OVER w AS before FROM win WINDOW w AS (PARTITION BY entity, period ORDER BY net DESC, category))")
        + "SELECT entity, period, string_agg(CASE WHEN rn = 1 THEN '' WHEN net = before THEN ' = ' ELSE ' > ' END || category, '' ORDER BY rn) AS pattern FROM ord GROUP BY entity, period")
 def pattern_text(spark, sf):
-    """Orders in words."""
-    return _coded(spark, sf).select("entity", "period", patterns.text(F.col("code"), PARTS).alias("pattern"))
+    """Orders in words, of the types there are; none where fewer than two are."""
+    return _coded(spark, sf).select("entity", "period", patterns.text(F.col("code"), PARTS).alias("pattern")).where("pattern is not null")
 
 
 @query(with_(PY, WY) + "SELECT entity, period, array_to_string([" + ", ".join(f"CASE WHEN abs({a} / total - {b} / total) <= 0.05 THEN 0 ELSE CAST(sign({a} / total - {b} / total) AS INT) END" for a, b in zip(PARTS, PARTS[1:])) + "], ',') AS code FROM wy")
