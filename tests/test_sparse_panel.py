@@ -27,7 +27,7 @@ def sparse(tmp_path_factory):
     return str(at), c
 
 
-@pytest.mark.parametrize("name", ["panel_residual_share", "pattern_text"])
+@pytest.mark.parametrize("name", ["panel_residual_share", "pattern_text", "pattern_dictionary"])
 def test_missing_cells_as_in_sql(spark, sparse, tmp_path, name):
     sf, c = sparse
     got = entry.queries()[name](spark, sf)

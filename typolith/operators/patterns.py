@@ -24,10 +24,11 @@ def codes(columns: Sequence[str], mode: str = "all", eps: float = 0.0) -> Column
 
 
 def dictionary(coded: DataFrame) -> DataFrame:
-    """(code, n, cluster): codes numbered by falling frequency, lexicographic among equals."""
+    """(code, n, cluster): codes numbered by falling frequency, lexicographic among equals, a missing sign last."""
     counts = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     # as many rows as there are codes, which the number of features bounds
-    return counts.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "code")) - 1)
+    order = F.transform("code", lambda x: F.coalesce(x, F.lit(2)))
+    return counts.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("n"), order)) - 1)
 
 
 def clusters(coded: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ def _coded(spark, sf):
 
 
 def _joined(c):
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    """The signs there are as text; null if there are none."""
+    return F.when(F.exists(c, lambda x: x.isNotNull()), F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
 
 
 @query(with_(PY, WY) + f"SELECT entity, period, {_CODE} AS code FROM wy")
