@@ -39,3 +39,9 @@ def test_kefrin_takes_rows_or_a_matrix():
     x = points(400)
     a = methods.knn_matrix(x)
     assert same(methods.kefrin(x, a, 4), methods.kefrin(x, dense(a), 4)) and same(methods.kefrin(x, a, 4), np.arange(400) // 100)
+
+
+def test_canus_takes_rows():
+    x = points(400)
+    a = methods.knn_matrix(x)
+    assert same(methods.canus(x, a, 4, epochs=40), methods.canus(x, dense(a), 4, epochs=40))
