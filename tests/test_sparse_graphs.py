@@ -45,3 +45,11 @@ def test_canus_takes_rows():
     x = points(400)
     a = methods.knn_matrix(x)
     assert same(methods.canus(x, a, 4, epochs=40), methods.canus(x, dense(a), 4, epochs=40))
+
+
+def test_leiden_of_many_nodes_takes_rows():
+    # 400 cliques of 5, each tied to the next by a light edge
+    i, j = (np.concatenate([5 * c + x for c in range(400)]) for x in np.triu_indices(5, 1))
+    i, j, w = np.r_[i, np.arange(0, 1995, 5)], np.r_[j, np.arange(5, 2000, 5)], np.r_[np.ones(4000), np.full(399, 0.01)]
+    a = methods.Sparse(2000, np.r_[i, j], np.r_[j, i], np.r_[w, w])
+    assert same(methods.leiden(a, 20.0), np.arange(2000) // 5)
