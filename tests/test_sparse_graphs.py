@@ -53,3 +53,11 @@ def test_leiden_of_many_nodes_takes_rows():
     i, j, w = np.r_[i, np.arange(0, 1995, 5)], np.r_[j, np.arange(5, 2000, 5)], np.r_[np.ones(4000), np.full(399, 0.01)]
     a = methods.Sparse(2000, np.r_[i, j], np.r_[j, i], np.r_[w, w])
     assert same(methods.leiden(a, 20.0), np.arange(2000) // 5)
+
+
+def test_leading_vectors_are_the_whole_matrix_s():
+    a = methods.knn_matrix(np.random.default_rng(4).normal(size=(1500, 4)))
+    s = 1 / np.sqrt(np.bincount(a.row, a.w, len(a)))
+    a = methods.Sparse(len(a), a.row, a.col, s[a.row] * a.w * s[a.col])
+    got, want = methods.leading(a, 4), np.linalg.eigh(dense(a))[1][:, -4:]
+    assert np.abs((got * want).sum(axis=0)) == pytest.approx(np.ones(4))
