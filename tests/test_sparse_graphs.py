@@ -61,3 +61,11 @@ def test_leading_vectors_are_the_whole_matrix_s():
     a = methods.Sparse(len(a), a.row, a.col, s[a.row] * a.w * s[a.col])
     got, want = methods.leading(a, 4), np.linalg.eigh(dense(a))[1][:, -4:]
     assert np.abs((got * want).sum(axis=0)) == pytest.approx(np.ones(4))
+
+
+def test_ward_finds_all_numbers_of_clusters_at_once(monkeypatch):
+    x, seen, joins = points(200), [], methods.ward_joins
+    monkeypatch.setattr(methods, "ward_joins", lambda v: seen.append(1) or joins(v))
+    got = methods.TOGETHER["ward"](x, [2, 4, 9])
+    assert len(seen) == 1 and [len(set(v)) for v in got] == [2, 4, 9] and same(got[1], np.arange(200) // 50)
+    assert all((methods.ward(x, k) == v).all() for k, v in zip([2, 4, 9], got, strict=True))
