@@ -69,3 +69,13 @@ def test_ward_finds_all_numbers_of_clusters_at_once(monkeypatch):
     got = methods.TOGETHER["ward"](x, [2, 4, 9])
     assert len(seen) == 1 and [len(set(v)) for v in got] == [2, 4, 9] and same(got[1], np.arange(200) // 50)
     assert all((methods.ward(x, k) == v).all() for k, v in zip([2, 4, 9], got, strict=True))
+
+
+def test_lloyd_holds_no_row_by_centre_by_feature_array():
+    import tracemalloc
+
+    x = np.random.default_rng(7).normal(size=(4000, 60))
+    tracemalloc.start()
+    lab = methods.lloyd(x, 10, 1, n_init=1, rounds=5)
+    assert tracemalloc.get_traced_memory()[1] < 3 * 4000 * 10 * 60 * 8 / 4 and len(set(lab)) == 10
+    tracemalloc.stop()
