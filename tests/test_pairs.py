@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from typolith.operators import similarity
+from typolith.operators import graph, similarity
 
 
 def table(spark, x):
@@ -34,6 +34,22 @@ def test_equal_vectors_are_ranked_by_id(spark):
     assert all([got[i, k] for k in (1, 2, 3)] == [j for j in range(4) if j != i][:3] for i in range(30))
 
 
+@pytest.mark.parametrize("copies", [1, 8])
+def test_cut_and_what_is_above(spark, copies):
+    x = np.repeat(np.random.default_rng(copies).normal(size=(96 // copies, 3)), copies, axis=0)
+    s = cosines(x)
+    i, j = np.triu_indices(len(x), 1)
+    blocks = similarity.Blocks(table(spark, x), ["id", "vec"], 20)
+    for q in (0.0, 0.5, 0.9, 0.99, 1.0):
+        assert similarity.cosine_cut(blocks, q, bins=16, few=10) == pytest.approx(np.quantile(s[i, j], q), abs=1e-9)
+    cut = 0.9 if copies == 1 else 0.95
+    above = {(int(a), int(b)) for a, b in zip(i, j, strict=True) if s[a, b] > cut}
+    edges = similarity.cosine_above(blocks, cut)
+    assert {(r.src, r.dst) for r in edges.collect()} == above | {(b, a) for a, b in above} and edges.count() == 2 * len(above)
+    nodes = table(spark, x).selectExpr("id as node")
+    assert graph.linked_statistics(nodes, similarity.cosine_links(blocks, cut)).first() == graph.statistics(nodes, edges).first()
+
+
 def test_sums_of_near_copies_keep_their_digits(spark):
     x = np.repeat(np.random.default_rng(3).normal(10, 1, size=(4, 3)), 5, axis=0)
     x[::5] += 1e-7
