@@ -44,3 +44,20 @@ def test_circles_part_and_hexagons_differ(spark):
         assert all(math.hypot(p.x - q.x, p.y - q.y) > 0.9 * (p.r + q.r) for p in own for q in own if p.id < q.id)
     cells = geometry.hexagons(df, "g").collect()
     assert len({(r.g, r.q, r.r) for r in cells}) == len(cells) == 26
+
+
+def test_circles_are_compared_by_cells_as_by_all_pairs():
+    rng = np.random.default_rng(8)
+    x, y, r = rng.uniform(0, 60, 300), rng.uniform(0, 30, 300), rng.uniform(0.1, 2, 300)
+    x[:3], y[:3] = 7.0, 7.0
+    i, j = geometry.near_pairs(x, y, 2 * r.max())
+    near = np.hypot(x[:, None] - x[None], y[:, None] - y[None]) <= 2 * r.max()
+    assert {(a, b) for a, b in zip(*np.nonzero(near)) if a != b} <= set(zip(i, j, strict=True)) and len(i) == len(set(zip(i, j, strict=True))) < 300 * 299 / 2
+    # one round by hand
+    dx, dy = x[:, None] - x[None], y[:, None] - y[None]
+    d, turn = np.hypot(dx, dy), np.arange(300)[:, None] - np.arange(300)[None]
+    same = d < 1e-9
+    gap = np.maximum(0, r[:, None] + r[None] - np.where(same, 0, d)) * (turn != 0)
+    ux = np.where(same, np.cos(turn) * np.sign(turn), dx / np.where(same, 1, d))
+    want = x + (gap * r[None] / (r[:, None] + r[None]) * ux).sum(axis=1) * 0.5
+    assert geometry.relax(x, y, r, 1)[0] == pytest.approx(want)

@@ -74,26 +74,48 @@ def simplified(lines: DataFrame, tolerance: float) -> DataFrame:
     return lines.select("id", "x", "y").mapInPandas(run, "id long, x array<double>, y array<double>")
 
 
+def near_pairs(x: np.ndarray, y: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ordered pairs of different points no farther apart than reach, and some that are, by cells of that size; by first, then second point."""
+    cx, cy = (np.floor((v - v.min()) / reach).astype(np.int64) for v in (x, y))
+    wide = int(cy.max()) + 3  # an empty column on either side
+    cell = cx * wide + cy
+    order = np.argsort(cell, kind="stable")
+    held = cell[order]
+    first, second = [], []
+    for step in (a * wide + b for a in (-1, 0, 1) for b in (-1, 0, 1)):
+        lo, hi = np.searchsorted(held, cell + step, "left"), np.searchsorted(held, cell + step, "right")
+        n = hi - lo
+        i = np.repeat(np.arange(len(x)), n)
+        first.append(i)
+        second.append(order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(i))])
+    i, j = np.concatenate(first), np.concatenate(second)
+    i, j = i[i != j], j[i != j]
+    by = np.lexsort((j, i))
+    return i[by], j[by]
+
+
 def relax(x: np.ndarray, y: np.ndarray, r: np.ndarray, rounds: int = 300, pull: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """Circles pushed apart where they overlap and pulled back to where they began."""
+    """Circles pushed apart where they overlap and pulled back to where they began; only those in cells near each other are compared."""
     px, py = x.astype(float).copy(), y.astype(float).copy()
-    for _ in range(rounds):
-        dx, dy = px[:, None] - px[None], py[:, None] - py[None]
+    n = len(px)
+    for _ in range(rounds if n else 0):
+        i, j = near_pairs(px, py, 2 * float(r.max()))
+        dx, dy = px[i] - px[j], py[i] - py[j]
         d = np.hypot(dx, dy)
-        np.fill_diagonal(d, 1.0)
-        # circles on one spot part along an angle of their own
-        same = d < 1e-9
-        turn = np.arange(len(px))[:, None] - np.arange(len(px))[None]
-        dx, dy, d = np.where(same, np.cos(turn) * np.sign(turn), dx), np.where(same, np.sin(turn) * np.sign(turn), dy), np.where(same, 1.0, d)
-        gap = np.maximum(0.0, r[:, None] + r[None] - np.where(same, 0.0, d))
-        np.fill_diagonal(gap, 0.0)
+        gap = r[i] + r[j] - np.where(d < 1e-9, 0.0, d)
+        over = gap > 0
+        i, j, dx, dy, d, gap = i[over], j[over], dx[over], dy[over], d[over], gap[over]
         if gap.max(initial=0.0) < 1e-6:
             break
-        share = r[None] / (r[:, None] + r[None])  # the smaller one gives way
-        px += (gap * share * dx / d).sum(axis=1) * 0.5
-        py += (gap * share * dy / d).sum(axis=1) * 0.5
-        px += pull * (x - px) * (gap.max(axis=1) == 0)
-        py += pull * (y - py) * (gap.max(axis=1) == 0)
+        # circles on one spot part along an angle of their own
+        same, turn = d < 1e-9, i - j
+        dx, dy, d = np.where(same, np.cos(turn) * np.sign(turn), dx), np.where(same, np.sin(turn) * np.sign(turn), dy), np.where(same, 1.0, d)
+        push = gap * r[j] / (r[i] + r[j]) / d * 0.5  # the smaller one gives way
+        free = np.bincount(i, minlength=n) == 0
+        px += np.bincount(i, push * dx, n)
+        py += np.bincount(i, push * dy, n)
+        px += pull * (x - px) * free
+        py += pull * (y - py) * free
     return px, py
 
 
