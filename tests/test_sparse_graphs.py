@@ -79,3 +79,12 @@ def test_lloyd_holds_no_row_by_centre_by_feature_array():
     lab = methods.lloyd(x, 10, 1, n_init=1, rounds=5)
     assert tracemalloc.get_traced_memory()[1] < 3 * 4000 * 10 * 60 * 8 / 4 and len(set(lab)) == 10
     tracemalloc.stop()
+
+
+def test_periods_are_tasks_of_their_own(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(p, i, [float(v) for v in r]) for p in range(12) for i, r in enumerate(points(40, p))]
+    got = methods.sweep(spark.createDataFrame(rows, "period int, id long, vec array<double>"), "ward", [2])
+    tasks = got.select("period", F.spark_partition_id().alias("t")).distinct().collect()
+    assert len(tasks) == 12 and len({r.t for r in tasks}) > 6

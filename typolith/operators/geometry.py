@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .passes import dealt
+
 
 def albers(lat: Column, lon: Column, lat1: float, lat2: float, lat0: float, lon0: float, radius: float = 6371.0) -> tuple[Column, Column]:
     """Equal-area conic coordinates in km, on a sphere, from degrees and two standard parallels."""
@@ -129,7 +131,7 @@ def circles(df: DataFrame, group: str, scale: float = 1.0) -> DataFrame:
         x, y = relax(pdf.x.to_numpy(float), pdf.y.to_numpy(float), np.maximum(r, 1e-9))
         return pd.DataFrame({group: pdf[group], "id": pdf.id, "x": x, "y": y, "r": r})
 
-    return df.select(group, "id", "x", "y", "value").groupBy(group).applyInPandas(run, f"{group} {kind}, id long, x double, y double, r double")
+    return dealt(df.select(group, "id", "x", "y", "value"), group).groupBy(group).applyInPandas(run, f"{group} {kind}, id long, x double, y double, r double")
 
 
 def hexagons(df: DataFrame, group: str, size: float = 1.0) -> DataFrame:
