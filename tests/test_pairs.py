@@ -1,9 +1,10 @@
 """All pairs by blocks in the shared folder, against whole matrices."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from typolith.operators import graph, similarity
+from typolith.operators import graph, similarity, validity
 
 
 def table(spark, x):
@@ -55,3 +56,40 @@ def test_sums_of_near_copies_keep_their_digits(spark):
     x[::5] += 1e-7
     d = similarity._distances(x, x)
     assert d == pytest.approx(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), rel=1e-9, abs=1e-15)
+
+
+def shuffled_bytes(spark):
+    """What the tasks have written to shuffles so far."""
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+
+def test_shuffled_labels_are_not_dealt_between_tasks(spark):
+    rng = np.random.default_rng(4)
+    x, lab = rng.normal(size=(2000, 3)), rng.integers(0, 4, 2000)
+    df = spark.createDataFrame([(int(i) * 7, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, lab, strict=True))], "id long, vec array<double>, label long").repartition(5)
+    e = df.selectExpr("id as src", "(id + 7) % 14000 as dst", "1.0D as w")
+    before = shuffled_bytes(spark)
+    table = validity.scores(df, e, validity.Labellings.shuffles(df, 60))
+    assert table.count() == 61 and 0 < shuffled_bytes(spark) - before < 500_000
+
+
+@pytest.mark.parametrize("kind", ["long", "int"])
+def test_labellings_in_files_are_the_permutations(spark, kind):
+    ids = [*range(-20, 20), *range(10**6, 10**6 + 15)]
+    df = spark.createDataFrame([(i, [float(i)], "abc"[i % 3]) for i in ids], f"id {kind}, vec array<double>, label string").repartition(3)
+    told = validity.Labellings.shuffles(df, 5, seed=9, group=2)
+    want = np.array([[told.names.index(r.label) for r in validity.permutations(df, 5, seed=9).where(f"perm = {p}").orderBy("id").collect()] for p in range(6)]).T
+    got = np.concatenate([similarity.raw(told.folder, f, told.kind).reshape(-1, 2) for f in told.groups], axis=1)
+    beside = np.concatenate([similarity.raw(told.folder, f, told.kind).reshape(-1, 6) for f in told.rows.beside])
+    assert (got == want).all() and (beside == want).all()
+
+
+def test_rows_in_order_and_precision(spark):
+    x = np.random.default_rng(5).normal(size=(95, 4))
+    for vec, wanted in ((x, "double"), (x.astype(np.float32), "float")):
+        blocks = similarity.Blocks(table(spark, vec).repartition(6), ["id", "vec"], 20, by="id")
+        assert [blocks.n, *blocks.starts][:2] == [95, 0] and sum(map(len, blocks.files)) >= 5
+        held = similarity.load(blocks.folder, sum(blocks.files, []), ["id", "vec"])
+        assert (held["id"] == np.arange(95)).all() and (held["vec"] == vec).all() and held["vec"].dtype == float
+        assert str(pq.read_schema(blocks.files[0][0]).field("vec").type.value_type) == wanted
