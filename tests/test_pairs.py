@@ -93,3 +93,13 @@ def test_rows_in_order_and_precision(spark):
         held = similarity.load(blocks.folder, sum(blocks.files, []), ["id", "vec"])
         assert (held["id"] == np.arange(95)).all() and (held["vec"] == vec).all() and held["vec"].dtype == float
         assert str(pq.read_schema(blocks.files[0][0]).field("vec").type.value_type) == wanted
+
+
+def test_evaluation_deals_no_labels_between_tasks(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in r], i % 3) for i, r in enumerate(x)], "id long, vec array<double>, label long")
+    e = df.selectExpr("id as src", "(id + 3) % 1500 as dst", "1.0D as w")
+    before = shuffled_bytes(spark)
+    row = validity.evaluate(df, e, "m", "all", 3, n_perm=60).first()
+    assert row.K == 3 and row.min_size == 500 and row.AVI == pytest.approx(1) and shuffled_bytes(spark) - before < 500_000
