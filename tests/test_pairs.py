@@ -3,8 +3,10 @@
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from typolith.operators import graph, similarity, validity
+from typolith.functions.columns import haversine
+from typolith.operators import graph, methods, similarity, validity
 
 
 def table(spark, x):
@@ -103,3 +105,36 @@ def test_evaluation_deals_no_labels_between_tasks(spark):
     before = shuffled_bytes(spark)
     row = validity.evaluate(df, e, "m", "all", 3, n_perm=60).first()
     assert row.K == 3 and row.min_size == 500 and row.AVI == pytest.approx(1) and shuffled_bytes(spark) - before < 500_000
+
+
+def test_rows_that_are_settled_keep_no_constraints(spark):
+    df = spark.range(10).where("id > 3").selectExpr("id as a", "id as b")
+    kept = graph.settled(df)
+    assert kept._jdf.queryExecution().optimizedPlan().constraints().size() == 0 and sorted(r.a for r in kept.collect()) == [*range(4, 10)]
+
+
+def test_components_of_graphs_come_with_their_communities(spark):
+    links = [("x", i, i + 1, 1.0) for i in range(40) if i != 19] + [("y", 2, 5, 1.0)]
+    e = spark.createDataFrame([*links, *[(g, j, i, w) for g, i, j, w in links]], "graph string, src long, dst long, w double")
+    nodes = spark.createDataFrame([("x", i) for i in range(41)] + [("y", i) for i in range(8)], "graph string, id long")
+    got = {(r.graph, r.id): r.root for r in methods.leiden_graphs(e, nodes).collect()}
+    assert got == {("x", i): 0 if i < 20 else 20 for i in range(41)} | {("y", i): 2 if i == 5 else i for i in range(8)}
+
+
+def test_neighbours_and_cuts_by_other_measures(spark):
+    rng = np.random.default_rng(8)
+    series, lat, lon = rng.normal(size=(60, 2, 6)), rng.uniform(-60, 60, 60), rng.uniform(-170, 170, 60)
+    df = spark.createDataFrame([(i, series[i].tolist(), float(lat[i]), float(lon[i])) for i in range(60)], "id long, vecs array<array<double>>, lat double, lon double")
+    blocks = similarity.Blocks(df, ["id", "vecs", "lat", "lon"], 17)
+    lag = lambda a, b: similarity.lagged(a.vecs, b.vecs)[0]
+    pairs = similarity.lag_pairs(df.select("id", "vecs"), block=17)
+    best = {(r.i, r.j): r.w for r in graph.best_neighbours(pairs, 4).collect()}
+    assert {(r.i, r.j): r.w for r in similarity.topk(blocks, 4, lag).collect()} == pytest.approx(best)
+    w = np.array([r.w for r in pairs.where("i < j").collect()])
+    cut = similarity.cosine_cut(blocks, 0.9, bins=16, few=50, of=lag)
+    assert cut == pytest.approx(np.quantile(w, 0.9)) and similarity.cosine_above(blocks, cut, lag).count() == 2 * (w > cut).sum()
+    a, b = (df.selectExpr(f"id as {k}", f"lat as lat_{k}", f"lon as lon_{k}") for k in "ij")
+    line = a.crossJoin(b).select("i", "j", haversine(F.col("lat_i"), F.col("lon_i"), F.col("lat_j"), F.col("lon_j")).alias("d"))
+    near = {(r.i, r.j): -r.d for r in graph.best_neighbours(line.where("i <> j").withColumn("w", -F.col("d")), 3).collect()}
+    got = similarity.topk(blocks, 3, lambda a, b: -similarity.great_circles(a, b))
+    assert {(r.i, r.j): r.w for r in got.collect()} == pytest.approx(near)
