@@ -88,3 +88,43 @@ def test_periods_are_tasks_of_their_own(spark):
     got = methods.sweep(spark.createDataFrame(rows, "period int, id long, vec array<double>"), "ward", [2])
     tasks = got.select("period", F.spark_partition_id().alias("t")).distinct().collect()
     assert len(tasks) == 12 and len({r.t for r in tasks}) > 6
+
+
+def test_neighbours_of_a_draw_come_from_those_of_all():
+    from types import SimpleNamespace
+
+    from typolith.operators import similarity
+
+    x = points(600)
+    x[40:80] = x[:40]
+    u = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    whole = (SimpleNamespace(id=np.arange(lo, lo + 150), vec=u[lo : lo + 150]) for lo in range(0, 600, 150))
+    cos, near = similarity.nearest(SimpleNamespace(id=np.arange(600), vec=u), ((b, False) for b in whole), 25)
+    drawn = np.sort(np.random.default_rng(2).choice(600, 300, replace=False))
+    place = np.full(600, -1)
+    place[drawn] = np.arange(300)
+    # of a draw of half some rows hold fewer than ten of their 25
+    assert ((place[near[drawn]] >= 0).sum(axis=1) < 10).any()
+    got, want = methods.knn_among(x[drawn], place[near[drawn]], cos[drawn]), methods.knn_matrix(x[drawn])
+    assert np.allclose(dense(got), dense(want))
+
+
+def test_draws_share_one_search_for_neighbours(spark, monkeypatch):
+    x = points(200)
+    v = spark.createDataFrame([(i, [float(t) for t in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    ref = spark.createDataFrame([(i, i // 50) for i in range(200)], "entity long, label int")
+    asked = []
+    find = methods.neighbours
+    monkeypatch.setattr(methods, "neighbours", lambda df, k: asked.append(k) or find(df, k))
+    rows = methods.subsample_stability(v, ref, "kefrin", 4, 3).collect()
+    assert asked == [25] and len(rows) == 12 and all(r.ari == r.jaccard == 1.0 for r in rows)
+
+
+def test_kefrin_stands_still_where_plain_rounds_do():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 6))
+    a = methods.knn_matrix(x)
+    lab, k, whole = methods.kefrin(x, a, 5, n_init=3), 5, dense(a)
+    unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
+    c, m = (unit(np.stack([t[lab == j].mean(axis=0) for j in range(k)])) for t in (x, whole))
+    assert ((2 - unit(x) @ c.T - unit(whole) @ m.T).argmin(axis=1) == lab).all() and len(set(lab)) == k

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fca, features, methods, panel, patterns, profiles, serving
+from ..operators import fca, features, graph, methods, panel, patterns, profiles, serving
 from ..sources import tables
 from .base import CATEGORIES, EM, LQ, LY, PARTS, PY, PQ, WY, labels_quarterly, labels_yearly, query, r6, table, vectors, wide_yearly, with_, yearly
 
@@ -404,7 +404,8 @@ def bootstrap_stability(spark, sf):
     both = [f"{kind}_{c}" for c in cols for kind in ("mean", "trend")]
     # an entity seen once has no slope
     through = features.standardise_all(mean.fillna(0.0, both), both).select(F.col("entity").alias("id"), F.array(*both).alias("vec"))
-    v, out = _features(spark, sf), None
+    # draws, neighbours and references read the same rows
+    through, v, out = graph.settled(through), graph.settled(_features(spark, sf)), None
     for name, x, runs in [("all", through, 100), *[(str(y), v.where(F.col("period") == y).select("id", "vec"), 10) for y in (1995, 1997, 1999, 2001)]]:
         ref = methods.sweep(x.select(F.lit(0).alias("period"), "id", "vec"), "kefrin", [7]).select(F.col("id").alias("entity"), "label")
         found = methods.subsample_stability(x, ref, "kefrin", 7, runs).select(F.lit(name).alias("period"), "*")
