@@ -128,3 +128,21 @@ def test_kefrin_stands_still_where_plain_rounds_do():
     unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
     c, m = (unit(np.stack([t[lab == j].mean(axis=0) for j in range(k)])) for t in (x, whole))
     assert ((2 - unit(x) @ c.T - unit(whole) @ m.T).argmin(axis=1) == lab).all() and len(set(lab)) == k
+
+
+def test_graphs_are_read_in_parts_and_held_once(spark):
+    rng = np.random.default_rng(5)
+    i, j, w = rng.integers(0, 50, 900), rng.integers(0, 50, 900), rng.random(900).round(1)
+    want = methods.Sparse(50, i, j, w)
+    got = methods.Sparse.read(50, lambda: ((i[k : k + 70], j[k : k + 70], w[k : k + 70]) for k in range(0, 900, 70)))
+    assert all((getattr(got, c) == getattr(want, c)).all() for c in ("row", "col", "ends", "held")) and np.allclose(dense(got), dense(want))
+    assert got.row.itemsize + got.col.itemsize + got.w.itemsize == 16
+    spans = list(got.spans(100))
+    assert len(spans) > 5 and spans[0].start == 0 and spans[-1].stop == len(got.w) and all(p.stop == q.start for p, q in zip(spans, spans[1:]))
+    # cliques of five, in two graphs with names that paths don't hold, and a node alone
+    i, j = np.nonzero(np.kron(np.eye(4), np.ones((5, 5))) - np.eye(20))
+    e = spark.createDataFrame([(g, int(a) * 3, int(b) * 3, 1.0) for g in ("a/b", "c=d %") for a, b in zip(i, j)], "graph string, src long, dst long, w double")
+    nodes = spark.createDataFrame([(g, 3 * n) for g in ("a/b", "c=d %") for n in range(21)], "graph string, id long")
+    rows = methods.leiden_graphs(e, nodes).collect()
+    assert {(r.graph, r.id): r.root for r in rows} == {(g, 3 * n): n // 5 * 15 for g in ("a/b", "c=d %") for n in range(21)}
+    assert all(same([r.label for r in rows if r.graph == g], [r.root for r in rows if r.graph == g]) for g in ("a/b", "c=d %"))
